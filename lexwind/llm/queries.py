@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwind.llm.chat import format_chat, read_back
+from lexwind.llm.langid import fit, identify
 from lexwind.llm.mixing import mix_documents
 from lexwind.llm.packing import pack_documents
 from lexwind.llm.quality import robust_outliers
+from lexwind.llm.secrets import scan_secrets, written
 from lexwind.llm.sharding import kd_shards
 from lexwind.llm.simhash import near_duplicates
+from lexwind.llm.topk import top_k
+from lexwind.llm.urls import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +37,50 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+#: The rules of the URL query: verdict and host with path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the canonical URLs of all pages that were fetched without encryption."""
+    pages = table(spark, sf_dir, "pages")
+    judged = filter_urls(pages, pages.select("url").where(F.startswith("url", F.lit("http://"))), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_duplicates(table(spark, sf_dir, "documents"))
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    back = read_back(format_chat(turns.unionByName(more)))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def op8_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labelled = identify(docs, fit(docs, ~held_out))
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kd_shards(table(spark, sf_dir, "documents"), levels=4)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -47,8 +91,37 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_cost_balanced_packing, op2_robust_outliers, op4_pigeonring_simhash, op9_kd_tree_shards, op10_pivotal_mixing,
+    op1_cost_balanced_packing, op2_robust_outliers, op3_blocked_bloom_urls, op4_pigeonring_simhash, op5_budgeted_chat_windows,
+    op6_maxscore_top_k, op7_linked_secrets, op8_viterbi_language, op9_kd_tree_shards, op10_pivotal_mixing, pipeline,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL where SQL can express the whole result. The others are tested against brute force in tests/llm.
+ORACLE_SQL = {
+    "op3_blocked_bloom_urls": r"""
+WITH parsed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, url FROM pages),
+keyed AS (SELECT *, host || regexp_replace(path, '(\.html)?/*$', '') AS key FROM parsed),
+listed AS (SELECT DISTINCT key FROM keyed WHERE url LIKE 'http://%'),
+rules(verdict, rule, rule_host, rule_path) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+won AS (
+  SELECT page_id, host, path, key, (SELECT rule FROM rules r WHERE (k.host = r.rule_host OR ends_with(k.host, '.' || r.rule_host)) AND starts_with(k.path, r.rule_path)
+    ORDER BY length(rule) DESC LIMIT 1) AS rule FROM keyed k)
+SELECT page_id, host, path, w.rule, coalesce(r.verdict, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM won w LEFT JOIN rules r ON w.rule = r.rule LEFT JOIN listed l ON l.key = w.key""",
+    "op6_maxscore_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+}

@@ -199,3 +199,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = members.join(least, "root").select("fp", "component_id")
     named = cut(groups.join(labelled, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "n"))
     return join_by_frequency(table, named, "fp", "n")
+
+
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with the smallest id of their component, whole; one row if several share that id.
+
+    Of rows without an id one stays for each component that has no other.
+    """
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    i, t = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <=> component_id").select("doc_id", "fp").distinct()
+    # A row is found again by its id; one without an id by its fingerprint, which is computed for such rows alone.
+    named = flat.where(F.col(i).isNotNull()).join(kept.where("doc_id is not null").select(F.col("doc_id").alias(i)).distinct(), i, "left_semi").dropDuplicates([i])
+    if not docs.schema[id_col].nullable or flat.where(F.col(i).isNull()).isEmpty():
+        return named.select(*flat.columns).toDF(*docs.columns)
+    nameless = flat.where(F.col(i).isNull()).withColumn(i + "_key", F.xxhash64(t))
+    linked = near_duplicates(nameless.select(F.col(i + "_key").alias("doc_id"), F.col(t).alias("text")))
+    prints = linked.join(kept.where("doc_id is null").select("fp"), "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias(i + "_key")).distinct()
+    nameless = nameless.join(prints, i + "_key", "left_semi").dropDuplicates([i + "_key"])
+    return named.select(*flat.columns).unionByName(nameless.select(*flat.columns)).toDF(*docs.columns)
