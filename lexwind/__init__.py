@@ -1,0 +1 @@
+"""Speech-corpus analytics on Spark: number verbalisation, text cleaning, tokens, ingest, batching and synthesis planning."""
