@@ -55,14 +55,18 @@ def by_lang(lang: str | Column, made: Callable[[str], Column]) -> Column:
     return out.otherwise(checked_lang(lang))
 
 
+#: White space of any kind, the separators U+001C to U+001F among it.
+SPACE = r"[\s\x1c-\x1f]"
+
+
 def trimmed(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def collapsed(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
 
 
 def div(a: Column, b: int) -> Column:
