@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexwind.functions.text import compose
 from lexwind.sources.corpora import TarSource
 
 
-@F.udtf(returnType="idx int, chunk string")
+@F.udtf(returnType=T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("chunk", T.StringType())]))
 class TextChunks:
     """text_chunks(text, most): the pieces of split_chunks, one a row."""
 

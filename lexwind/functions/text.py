@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexwind import lexicon as L
 from lexwind.exprs import SPACE, by_lang, collapsed
@@ -19,7 +20,7 @@ KEPT = L.MN_LETTERS + L.MN_LETTERS.upper() + L.KZ_LETTERS + L.KZ_LETTERS.upper()
 MAJOR_BREAKS, MINOR_BREAKS = ".!?…", ",;:"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

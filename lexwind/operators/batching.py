@@ -14,7 +14,7 @@ from lexwind.functions.tokens import padded
 
 def portable_key(id_: Column, seed: int = 42) -> Column:
     """A number that orders ids as if shuffled; plain arithmetic, so that any engine can repeat it."""
-    return F.pmod(F.pmod(id_.cast("long") * F.lit(2654435761) + F.lit(seed).cast("long") * F.lit(40503), F.lit(4294967296)) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648))
+    return F.pmod(F.pmod(F.pmod(id_.cast("long"), F.lit(2147483648)) * F.lit(2654435761) + F.lit(seed).cast("long") * F.lit(40503), F.lit(4294967296)) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648))
 
 
 def train_val_split(df: DataFrame, id_: str, share: float = 0.1, seed: int = 42) -> DataFrame:
