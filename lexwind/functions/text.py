@@ -106,6 +106,6 @@ def split_chunks(text: Column, most: int = 120) -> Column:
             F.when(more, F.concat(acc["chunks"], F.array(F.trim(F.substr(rest, F.lit(1), at))))).otherwise(acc["chunks"]).alias("chunks"),
         )
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(whole) / (least + 1)).cast("int")))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(whole) / min(least + 1, most)).cast("int")))
     start = F.struct(whole.alias("rest"), F.array().cast("array<string>").alias("chunks"))
     return F.aggregate(steps, start, advance, lambda acc: F.filter(F.concat(acc["chunks"], F.array(acc["rest"])), lambda c: c != ""))

@@ -421,7 +421,7 @@ def synthesis_plans(s, d):
 
 
 @query("""SELECT c_custkey, greatest(50, CAST(floor(greatest(c_custkey % 40, 1) * 13 / 1.5) AS BIGINT)) AS free, CASE WHEN c_custkey % 3 = 0 THEN greatest(50, CAST(floor((c_custkey % 500) * (c_custkey % 40) / 20 / 1.5) AS BIGINT))
-  ELSE greatest(50, CAST(floor(greatest(c_custkey % 40, 1) * 13 / 1.5) AS BIGINT)) END AS referenced, (c_custkey % 9) * 93.75 AS exact_frames FROM customer""")
+  ELSE greatest(50, CAST(floor(greatest(c_custkey % 40, 1) * 13 / 1.5) AS BIGINT)) END AS referenced, CAST((c_custkey % 9) * 93.75 AS DOUBLE) AS exact_frames FROM customer""")
 def target_lengths(s, d):
     n, speed = c("c_custkey") % 40, lit(1.5)
     return t(s, d, "customer").select("c_custkey", M.target_frames(n, chars=n, speed=speed).alias("free"), M.target_frames(n, lit(20), F.when(c("c_custkey") % 3 == 0, c("c_custkey") % 500), n, speed=speed).alias("referenced"), M.frames(c("c_custkey") % 9).alias("exact_frames"))
