@@ -36,6 +36,7 @@ FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_upper", "f_marks
 #: Added to the variances: a standard deviation that any feature has at least.
 RIDGE = (0.08, 0.25, 0.35, 0.6, 0.3, 0.4)
 WINDOW = 5
+MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 32
 D = len(FEATURES)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
@@ -46,7 +47,7 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     m = len(ids) - WINDOW + 1
     if m <= 0:
         return np.zeros(n_docs, dtype=np.int64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * MIX
     mixed ^= mixed >> np.uint64(29)
     key = doc[:m].astype(np.uint64)
     for k in range(WINDOW):
@@ -84,12 +85,12 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
     for k, value in enumerate(texts):
         text = value.as_py() or ""
         raw = text.encode("utf-8", "replace")
+        out["n_symbols"][k] = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
         words = raw.split()  # bytes: splits at the ASCII white space only
         if not words:
             continue
         out["n_words"][k] = len(words)
         out["word_chars"][k] = len(text) - (len(raw) - len(raw.translate(None, b" \t\n\x0b\x0c\r")))
-        out["n_symbols"][k] = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
         out["n_upper"][k] = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         out["n_marks"][k] = len(raw) - len(raw.translate(None, b"!?.,;:\"'()[]{}-_=+/\\@^~`0123456789"))
         lines = [x for x in raw.split(b"\n") if x.strip()]
