@@ -79,7 +79,7 @@ def pivotal(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 def mix_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20, chunk_rows: int = 20_000, fan_in: int = 1_000,
+    weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20, chunk_rows: int = 2_000, fan_in: int = 1_000,
 ) -> DataFrame:
     """One row per document: doc_id, copy_key, size, source, source_size, target, copies.
 
