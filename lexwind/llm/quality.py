@@ -38,6 +38,7 @@ RIDGE = (0.08, 0.25, 0.35, 0.6, 0.3, 0.4)
 WINDOW = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 32
+FINE = 64
 D = len(FEATURES)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
@@ -206,17 +207,31 @@ def step(rows: DataFrame, params: DataFrame, of, *args: float) -> DataFrame:
     return cut(bucket_sums(rows, params).groupBy("cell", "start").applyInPandas(update, PARAMS))
 
 
+def medians(rows: DataFrame, names: list[str]) -> DataFrame:
+    """cell, n and the medians of the named columns (to 1/FINE), found on counts a cell and step of the scale."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(c) * FINE).alias("at")) for i, c in enumerate(names)])
+    counts = rows.select("cell", F.explode(steps).alias("s")).groupBy("cell", "s").count().select("cell", "s.i", "s.at", "count")
+
+    def middle(g: pd.DataFrame) -> pd.DataFrame:
+        out = {"cell": g["cell"].iloc[0], "n": int(g["count"].sum()) // len(names)}
+        for i in range(len(names)):
+            own = g[g["i"] == i].sort_values("at")
+            below = own["count"].cumsum().to_numpy()
+            out[names[i]] = (float(own["at"].iloc[int(np.searchsorted(below, below[-1] / 2))]) + 0.5) / FINE
+        return pd.DataFrame([out])
+
+    return counts.groupBy("cell").applyInPandas(middle, "cell string, n long, " + ", ".join(f"{c} double" for c in names))
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """Two deterministic estimates a cell: the median with the MAD, and with the covariance of directions from it."""
-    middle = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    middle = cut(middle)
+    middle = cut(medians(rows, list(FEATURES)).withColumnsRenamed({f: f"m{i}" for i, f in enumerate(FEATURES)}))
     placed = attach(rows, middle, ["cell"], "inner")
-    centred = placed.select("cell", "n", *[f"m{i}" for i in range(D)], *[((F.col(f) - F.col(f"m{i}")) / F.lit(RIDGE[i])).alias(f"c{i}") for i, f in enumerate(FEATURES)])
+    centred = placed.select("cell", *[((F.col(f) - F.col(f"m{i}")) / F.lit(RIDGE[i])).alias(f"c{i}") for i, f in enumerate(FEATURES)])
     norm = F.greatest(sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(D)), F.lit(0.0)), F.lit(1e-9))
-    spread = centred.groupBy("cell").agg(
-        F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(D)], *[F.percentile_approx(F.abs(f"c{i}"), 0.5, 1000).alias(f"d{i}") for i in range(D)],
-        *[F.avg(F.col(f"c{i}") * F.col(f"c{j}") / norm).alias(f"s{i}_{j}") for i, j in PAIRS],
-    )
+    directions = centred.groupBy("cell").agg(*[F.avg(F.col(f"c{i}") * F.col(f"c{j}") / norm).alias(f"s{i}_{j}") for i, j in PAIRS])
+    deviations = medians(centred.select("cell", *[F.abs(f"c{i}").alias(f"d{i}") for i in range(D)]), [f"d{i}" for i in range(D)]).drop("n")
+    spread = middle.join(directions, "cell").join(deviations, "cell")  # a row a cell on each side
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ridge = np.array(RIDGE)
