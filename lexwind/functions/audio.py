@@ -60,12 +60,14 @@ def resampled(x: np.ndarray, rate: int, wanted: int, zeros: int = 6, rolloff: fl
     return (blocks @ kernels.T).reshape(-1)[: math.ceil(len(x) * wanted / rate)].astype(np.float32)
 
 
-def decoded(raw: bytes, wanted: int, mix_first: bool = True) -> np.ndarray | None:
-    """Mono samples at the wanted rate; null if the bytes are no WAV. Channels are averaged before or after resampling."""
+def decoded(raw: bytes, wanted: int, mix_first: bool = True, first_channel: bool = False) -> np.ndarray | None:
+    """Mono samples at the wanted rate; null if the bytes are no WAV. Channels are averaged before or after resampling, or only the first is taken."""
     try:
         x, rate = read_wav(raw)
     except (wave.Error, EOFError, KeyError, ValueError):
         return None
+    if first_channel:
+        return resampled(x[:, 0], rate, wanted)
     if mix_first:
         return resampled(x.mean(axis=1), rate, wanted)
     return np.stack([resampled(x[:, c], rate, wanted) for c in range(x.shape[1])]).mean(axis=0)
@@ -123,8 +125,8 @@ def wav_seconds(raw: Column) -> Column:
     return per_row("double", probe, raw)
 
 
-def decode_audio(raw: Column, rate: int = SAMPLE_RATE, mix_first: bool = True) -> Column:
-    return per_row("array<float>", lambda b: decoded(b, rate, mix_first), raw)
+def decode_audio(raw: Column, rate: int = SAMPLE_RATE, mix_first: bool = True, first_channel: bool = False) -> Column:
+    return per_row("array<float>", lambda b: decoded(b, rate, mix_first, first_channel), raw)
 
 
 def resample(samples: Column, rate: int, wanted: int = SAMPLE_RATE) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexwind.functions.tokens import padded
+from lexwind.lineage import cut
 
 
 def portable_key(id_: Column, seed: int = 42) -> Column:
@@ -42,9 +43,9 @@ def train_val_split(df: DataFrame, id_: str, share: float = 0.1, seed: int = 42)
 def global_row_number(df: DataFrame, *order: str) -> DataFrame:
     """Adds n = 1, 2, ... by the order, without one task that sorts everything.
 
-    Rows are dealt by range and sorted; each task's first number follows from the counts of the tasks before it.
+    Rows are dealt by range, sorted and stored; each task's first number follows from the counts of the tasks before it.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
     counts = ranged.groupBy("_task").agg(F.count("*").alias("_rows"))  # one row a task
     before = counts.select("_task", (F.sum("_rows").over(Window.orderBy("_task")) - F.col("_rows")).alias("_before"))
     return ranged.join(F.broadcast(before), "_task").withColumn("n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_task", "_at", "_before")
@@ -52,21 +53,19 @@ def global_row_number(df: DataFrame, *order: str) -> DataFrame:
 
 def fixed_batches(df: DataFrame, order: str, size: int, drop_last: bool = False) -> DataFrame:
     """Adds batch_id and pos; `drop_last` leaves out an incomplete last batch."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    out = df.withColumn("_n", n).withColumns({"batch_id": F.floor(F.col("_n") / size), "pos": F.col("_n") % size}).drop("_n")
-    if drop_last:
-        out = out.withColumn("_size", F.count("*").over(Window.partitionBy("batch_id"))).where(F.col("_size") == size).drop("_size")
-    return out
+    numbered = global_row_number(df, order)
+    out = numbered.withColumns({"batch_id": F.floor((F.col("n") - 1) / size), "pos": (F.col("n") - 1) % size}).drop("n")
+    return out.where(F.col("batch_id") < numbered.count() // size) if drop_last else out
 
 
 def shard_rows(df: DataFrame, order: str, world: int) -> DataFrame:
     """Adds rank and pos: every world-th row to a rank; ranks are filled up to equal sizes with the first rows again."""
-    numbered = df.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
-    total = F.count("*").over(Window.partitionBy())
-    numbered = numbered.withColumn("_missing", F.pmod(-total, F.lit(world))).withColumn("_total", total)
-    places = F.array_compact(F.array(F.col("_n"), F.when(F.col("_n") < F.col("_missing"), F.col("_total") + F.col("_n"))))
+    numbered = global_row_number(df, order)
+    total = numbered.count()
+    missing = -total % world
+    places = F.array_compact(F.array(F.col("n") - 1, F.when(F.col("n") <= missing, F.col("n") - 1 + total)))
     dealt = numbered.withColumn("_place", F.explode(places))
-    return dealt.withColumns({"rank": F.col("_place") % world, "pos": F.floor(F.col("_place") / world)}).drop("_n", "_missing", "_total", "_place")
+    return dealt.withColumns({"rank": F.col("_place") % world, "pos": F.floor(F.col("_place") / world)}).drop("n", "_place")
 
 
 def greedy(frames: list[float], budget: float, most: int) -> tuple[list[int], list[int]]:

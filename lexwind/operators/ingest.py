@@ -138,9 +138,14 @@ def join_members(rows: DataFrame, members: DataFrame, file: str = "path", prefix
     return found.select(*rows.columns, member.alias("member"), ordinal.alias("ordinal"))
 
 
-def zip_by_position(left: DataFrame, right: DataFrame, index: str = "idx") -> DataFrame:
-    """Rows with equal positions; what one side lacks is left out."""
-    return left.join(right, index)
+def zip_by_position(left: DataFrame, right: DataFrame, index: str = "idx", strict: bool = False) -> DataFrame:
+    """Rows with equal positions; what one side lacks is left out, or is an error if `strict`."""
+    if not strict:
+        return left.join(right, index)
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), index, "full_outer")
+    whole = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    message = F.concat(F.lit("Only one side has position "), F.col(index).cast("string"))
+    return both.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_left", "_right")
 
 
 def union_sources(sources: Iterable[tuple[int, Callable[[], DataFrame]]]) -> tuple[DataFrame | None, list[str]]:

@@ -35,6 +35,12 @@ def to_load(registry: DataFrame, explicit: str | None = None) -> DataFrame:
     return registry.agg(F.coalesce(F.lit(explicit), best, F.max_by("path", "step")).alias("path"), F.coalesce(F.max("step"), F.lit(0)).alias("step"))
 
 
+def resume_state(registry: DataFrame) -> DataFrame:
+    """One row: step, epoch and best_val of the newest checkpoint, with 0, 0 and infinity where there is none."""
+    newest = lambda c, default: F.coalesce(F.max_by(c, "step"), F.lit(default)).alias(c)
+    return registry.agg(newest("step", 0), newest("epoch", 0), newest("best_val", float("inf")))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -376,9 +376,7 @@ def frame_batches(s, d):
 @query("""WITH b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents), k AS (SELECT *, n // 48 AS batch_id, n % 48 AS pos, count(*) OVER (PARTITION BY n // 48) AS size FROM b)
 SELECT doc_id, batch_id, pos FROM k WHERE size = 48""")
 def fixed_batches(s, d):
-    n = B.global_row_number(t(s, d, "documents").select("doc_id"), "doc_id").withColumns({"batch_id": F.floor((c("n") - 1) / 48), "pos": (c("n") - 1) % 48})
-    full = n.groupBy("batch_id").count().where("count = 48").select("batch_id")
-    return n.join(full, "batch_id").select("doc_id", "batch_id", "pos")
+    return B.fixed_batches(t(s, d, "documents").select("doc_id"), "doc_id", 48, drop_last=True)
 
 
 @query("""WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS n, count(*) OVER () AS total FROM supplier),

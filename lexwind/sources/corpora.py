@@ -41,8 +41,11 @@ def load_split(spark: SparkSession, path: str, split: str | None = None, streami
     return spark.read.parquet(where)
 
 
-def from_lists(spark: SparkSession, audio_paths: list[str], texts: list[str], speaker_ids: list[int] | None = None) -> DataFrame:
-    """A table of parallel lists; of unequal lengths the shortest wins. speaker_id only if there are any."""
+def from_lists(spark: SparkSession, audio_paths: list[str], texts: list[str], speaker_ids: list[int] | None = None, strict: bool = False) -> DataFrame:
+    """A table of parallel lists; of unequal lengths the shortest wins, or they are an error if `strict`. speaker_id only if there are any."""
+    lengths = {len(x) for x in (audio_paths, texts, *([speaker_ids] if speaker_ids else []))}
+    if strict and len(lengths) > 1:
+        raise ValueError(f"Lists of unequal lengths: {sorted(lengths)}")
     rows = list(zip(range(len(audio_paths)), audio_paths, texts, *([speaker_ids] if speaker_ids else []), strict=False))
     return spark.createDataFrame(rows, "idx long, audio_path string, text string" + (", speaker_id int" if speaker_ids else ""))
 
@@ -121,8 +124,10 @@ def save_checkpoint(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("step").parquet(path)
 
 
-def load_config(path: str) -> dict:
-    """JSON, or YAML where a reader is installed."""
+def load_config(path: str) -> dict | None:
+    """JSON, or YAML where a reader is installed; None if there is no such file."""
+    if not os.path.exists(path):
+        return None
     with open(path, encoding="utf-8") as f:
         if path.endswith((".yaml", ".yml")):
             import yaml
