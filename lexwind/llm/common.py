@@ -1,13 +1,16 @@
-"""Plumbing shared by the training-data operators: column picking, lineage cuts and skew-proof joins."""
+"""Plumbing shared by the training-data operators: column picking and skew-proof joins."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexwind.lineage import cut, ensure_checkpoint_dir
+
+__all__ = ["attach", "cut", "ensure_checkpoint_dir", "join_by_frequency", "pick"]
+
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Columns by exact name, renamed to the keywords.
@@ -19,24 +22,6 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{i}").alias(new) for new, i in at.items()])
 
 
-def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The frame with its columns named _c0, _c1, ... and the original names, for operators that return whole rows."""
-    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), df.columns
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once, store in the shared checkpoint folder and forget the lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def same(keys: Iterable[str], left: DataFrame, right: DataFrame, prefix: str) -> Column:
     """Null-safe equality of the keys; the right side's are named with the prefix."""
     cond = F.lit(True)
