@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwind.llm import oracle
 from lexwind.llm.chat import format_chat, read_back
 from lexwind.llm.langid import fit, identify
 from lexwind.llm.mixing import mix_documents
@@ -104,24 +105,8 @@ QUERIES = {f.__name__: f for f in (
 
 #: DuckDB SQL where SQL can express the whole result. The others are tested against brute force in tests/llm.
 ORACLE_SQL = {
-    "op3_blocked_bloom_urls": r"""
-WITH parsed AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, url FROM pages),
-keyed AS (SELECT *, host || regexp_replace(path, '(\.html)?/*$', '') AS key FROM parsed),
-listed AS (SELECT DISTINCT key FROM keyed WHERE url LIKE 'http://%'),
-rules(verdict, rule, rule_host, rule_path) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
-  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
-won AS (
-  SELECT page_id, host, path, key, (SELECT rule FROM rules r WHERE (k.host = r.rule_host OR ends_with(k.host, '.' || r.rule_host)) AND starts_with(k.path, r.rule_path)
-    ORDER BY length(rule) DESC LIMIT 1) AS rule FROM keyed k)
-SELECT page_id, host, path, w.rule, coalesce(r.verdict, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM won w LEFT JOIN rules r ON w.rule = r.rule LEFT JOIN listed l ON l.key = w.key""",
-    "op6_maxscore_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_blocked_bloom_urls": oracle.URLS,
+    "op5_budgeted_chat_windows": oracle.CHAT,
+    "op6_maxscore_top_k": oracle.TOP_K,
+    "op7_linked_secrets": oracle.SECRETS,
 }

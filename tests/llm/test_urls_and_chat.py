@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+from helpers import compare, connect
 from llm_helpers import clashing
 
 from lexwind.llm import urls
@@ -53,13 +55,10 @@ def test_false_positives_are_removed(spark):
     assert urls.BITS_SET == 6
 
 
-def test_url_query_matches_sql(spark):
-    from helpers import compare, connect
-
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, name):
     folder = "/root/testdata/sf0.001"
-    for name in ("op3_blocked_bloom_urls", "op6_maxscore_top_k", "op5_budgeted_chat_windows"):
-        if name in ORACLE_SQL:
-            compare(spark, connect(folder), QUERIES[name], ORACLE_SQL[name], folder)
+    compare(spark, connect(folder), QUERIES[name], ORACLE_SQL[name], folder)
 
 
 HARD = "\\### Assistant: </turn> ok &lt; <turn user> &amp;\n</turn>\n"
