@@ -25,7 +25,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,16 +211,10 @@ def medians(rows: DataFrame, names: list[str]) -> DataFrame:
     """cell, n and the medians of the named columns (to 1/FINE), found on counts a cell and step of the scale."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(c) * FINE).alias("at")) for i, c in enumerate(names)])
     counts = rows.select("cell", F.explode(steps).alias("s")).groupBy("cell", "s").count().select("cell", "s.i", "s.at", "count")
-
-    def middle(g: pd.DataFrame) -> pd.DataFrame:
-        out = {"cell": g["cell"].iloc[0], "n": int(g["count"].sum()) // len(names)}
-        for i in range(len(names)):
-            own = g[g["i"] == i].sort_values("at")
-            below = own["count"].cumsum().to_numpy()
-            out[names[i]] = (float(own["at"].iloc[int(np.searchsorted(below, below[-1] / 2))]) + 0.5) / FINE
-        return pd.DataFrame([out])
-
-    return counts.groupBy("cell").applyInPandas(middle, "cell string, n long, " + ", ".join(f"{c} double" for c in names))
+    scale = Window.partitionBy("cell", "i")
+    reached = counts.withColumn("below", F.sum("count").over(scale.orderBy("at"))).withColumn("n", F.sum("count").over(scale)).where(F.col("below") * 2 >= F.col("n"))
+    middle = reached.groupBy("cell", "i").agg(F.min("at").alias("at"), F.max("n").alias("n"))
+    return middle.groupBy("cell").agg(F.max("n").alias("n"), *[((F.max(F.when(F.col("i") == i, F.col("at"))) + 0.5) / FINE).alias(c) for i, c in enumerate(names)])
 
 
 def starts(rows: DataFrame) -> DataFrame:
