@@ -76,49 +76,47 @@ def spoken_digits(d: Column, lang: str) -> Column:
     return F.array_join(F.transform(F.split(d, "(?<=.)(?=.)"), lambda x: F.element_at(table, x.cast("int") + 1)), " ")
 
 
-def groups_words(g: Column, lang: str, attributive: bool) -> Column:
-    """Words of an array of three-digit groups, the highest first. Compact to plan, for use inside other lambdas."""
-    size, scales = CHUNK_DIGITS[lang] // 3, L.MN_SCALES if lang == "mn" else L.KZ_SCALES
-    inner, final = word_table(group_words(lang, True)), word_table(group_words(lang, attributive))
-    base, attr = (F.array(*[F.lit(x) for x in ("", *(s[k] for s in scales[:-1]))]) for k in (0, 1))
-    if attributive:
-        final = inner
-
-    def phrase(x: Column, k: Column) -> Column:
-        i = F.size(g) - 1 - k  # from the lowest group
-        place, counts_top = (i % size).cast("int"), i >= size
-        ends = ~F.exists(F.slice(g, k + 2, place), lambda y: y > 0)  # nothing follows within this chunk
-        scale = F.element_at(base, place + 1)
-        if lang == "mn":
-            scale = F.when((counts_top | F.lit(attributive)) & ends, F.element_at(attr, place + 1)).otherwise(scale)
-        above = F.exists(F.slice(g, 1, k), lambda y: y > 0)
-        own = (
-            F.when(x == 0, F.lit(None).cast("string"))
-            .when((place > 0) & (x == 1), scale)
-            .when(place > 0, F.concat(F.element_at(inner, x + 1), F.lit(" "), scale))
-            .when(counts_top & (x == 1) & ~above, F.lit(None).cast("string"))
-            .when(counts_top, F.element_at(inner, x + 1))
-            .otherwise(F.element_at(final, x + 1))
-        )
-        return F.concat_ws(" ", own, F.when((place == 0) & counts_top & (above | (x > 0)), F.lit(scales[-1][0])))
+def sql_table(words) -> str:
+    return f"split('{'|'.join(words)}', '[|]')"
 
-    return F.array_join(F.filter(F.transform(g, phrase), lambda p: p != ""), " ")
+
+@lru_cache
+def digits_lambda(lang: str, attributive: bool) -> str:
+    """SQL of a lambda from significant digits to words, for use inside other lambdas: as text it is quick to plan.
+
+    The digits become three-digit groups, the highest first. Group x at k stands i groups from the end, at `place`
+    within its chunk; in higher chunks words are attributive and the largest scale's word closes the chunk.
+    """
+    size, scales = CHUNK_DIGITS[lang] // 3, L.MN_SCALES if lang == "mn" else L.KZ_SCALES
+    inner = sql_table(group_words(lang, True))
+    final = inner if attributive else sql_table(group_words(lang, False))
+    base, attr = (sql_table(["", *(s[k] for s in scales[:-1])]) for k in (0, 1))
+    i, groups = "(size(g) - 1 - k)", MOST_DIGITS // 3
+    place, higher = f"({i} % {size})", f"({i} >= {size})"
+    scale = f"element_at({base}, {place} + 1)"
+    if lang == "mn":  # nothing follows within this chunk
+        scale = f"if(({higher} OR {str(attributive).lower()}) AND NOT exists(slice(g, k + 2, {place}), y -> y > 0), element_at({attr}, {place} + 1), {scale})"
+    above = "exists(slice(g, 1, k), y -> y > 0)"
+    own = (
+        f"CASE WHEN x = 0 THEN NULL WHEN {place} > 0 AND x = 1 THEN {scale} WHEN {place} > 0 THEN concat(element_at({inner}, x + 1), ' ', {scale}) "
+        f"WHEN {higher} AND x = 1 AND NOT {above} THEN NULL WHEN {higher} THEN element_at({inner}, x + 1) ELSE element_at({final}, x + 1) END"
+    )
+    phrase = f"concat_ws(' ', {own}, CASE WHEN {place} = 0 AND {higher} AND ({above} OR x > 0) THEN '{scales[-1][0]}' END)"
+    words = f"array_join(filter(transform(g, (x, k) -> {phrase}), p -> p != ''), ' ')"
+    all_groups = ", ".join(f"cast(substring(lpad(s, {MOST_DIGITS}, '0'), {a + 1}, 3) AS int)" for a in range(0, MOST_DIGITS, 3))
+    few = "cast(ceil(length(s) / 3) AS int)"
+    digit = sql_table([L.WORDS[lang]["zero"], *group_words(lang, False)[1:10]])
+    spoken = f"array_join(transform(split(s, '(?<=.)(?=.)'), c -> element_at({digit}, cast(c AS int) + 1)), ' ')"
+    return (
+        f"s -> CASE WHEN s = '' THEN '{L.WORDS[lang]['zero']}' "
+        f"WHEN length(s) <= {MOST_DIGITS} THEN element_at(transform(array(slice(array({all_groups}), {groups + 1} - {few}, {few})), g -> {words}), 1) ELSE {spoken} END"
+    )
 
 
 def digits_words(d: Column, lang: str, attributive: bool) -> Column:
     """Words of a string of digits; beyond MOST_DIGITS significant digits it is spoken digit by digit."""
-
-    def read(s: Column) -> Column:
-        padded = F.lpad(s, MOST_DIGITS, "0")
-        groups = F.array(*[F.substring(padded, a + 1, 3).cast("int") for a in range(0, MOST_DIGITS, 3)])
-        few = F.slice(groups, F.lit(MOST_DIGITS // 3 + 1) - F.ceil(F.length(s) / 3).cast("int"), F.ceil(F.length(s) / 3).cast("int"))
-        return (
-            F.when(s == "", F.lit(L.WORDS[lang]["zero"]))
-            .when(F.length(s) <= MOST_DIGITS, let(few, lambda g: groups_words(g, lang, attributive)))
-            .otherwise(spoken_digits(s, lang))
-        )
-
-    return let(F.regexp_replace(d, "^0+", ""), read)
+    significant = F.array(F.regexp_replace(d, "^0+", ""))
+    return F.element_at(F.call_function("transform", significant, F.expr(digits_lambda(lang, attributive))), 1)
 
 
 def long_words(n: Column, lang: str, attributive: bool) -> Column:
