@@ -84,17 +84,23 @@ def filter_urls(
     keys = cut(pick(listed, url=listed_url_col).select(canonical(F.col("url")).alias("key")).where("key != ''").distinct())
     blocks = max(1, keys.count() * bits_per_url // (64 * WORDS))
     bloom = bloom_filter(keys, blocks)
-    bloom = F.broadcast(bloom) if blocks <= broadcast_blocks else bloom.hint("shuffle_hash")
     asked = F.col("rule").isNull() & (F.col("key") != "")
-    rows = rows.withColumn("block", F.when(asked, block_of(F.col("key"), blocks)).otherwise(-1 - F.pmod(F.xxhash64("page_id", "key"), F.lit(1 << 30))))
-    held = asked & F.col("m0").isNotNull()
+    held = F.lit(True)
     for w, mask in enumerate(masks_of(F.col("key"))):
         held = held & (F.col(f"m{w}").bitwiseAND(mask) == mask)
-    probed = rows.join(bloom, "block", "left").select("page_id", "host", "path", "key", "rule", "ruled", F.coalesce(held, F.lit(False)).alias("maybe_listed"))
-    # The exact join takes each possible hit once; its few results go back to the pages over salts, as a URL may be hot.
-    hits = probed.where("maybe_listed").select("key").distinct().join(keys, "key").select("key", F.explode(F.sequence(F.expr("0L"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("listed"))
-    salt = F.xxhash64("page_id", "host", "path")
-    probed = probed.withColumn("salt", F.when(F.col("maybe_listed"), F.pmod(salt, F.lit(SALTS))).otherwise(salt)).withColumn("key", F.when(F.col("maybe_listed"), F.col("key")).otherwise(F.lit("")))
-    joined = probed.join(hits, ["key", "salt"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    block = block_of(F.col("key"), blocks).alias("block")
+    if blocks <= broadcast_blocks:
+        probed = rows.withColumn("block", F.when(asked, block)).join(F.broadcast(bloom), "block", "left").withColumn("meets", F.coalesce(asked & held, F.lit(False)))
+        possible = probed.where("meets").select("key").distinct()
+    else:  # too large to broadcast: ask for each distinct URL once, so that a hot one is no hot block
+        probed = rows.withColumn("meets", asked)
+        possible = rows.where(asked).select("key", block).distinct().join(bloom.hint("shuffle_hash"), "block").where(held).select("key")
+    # The exact hash join is built from the few possible hits. Answers go back to the pages over salts, as a URL may be hot.
+    hits = keys.join(possible.hint("shuffle_hash"), "key").withColumn("listed", F.lit(True))
+    answers = possible.join(hits, "key", "left").select("key", F.explode(F.sequence(F.expr("0L"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    spread = F.xxhash64("page_id", "host", "path")
+    probed = probed.select(
+        "page_id", "host", "path", "rule", "ruled", F.when(F.col("meets"), F.col("key")).otherwise(F.lit("")).alias("key"), F.when(F.col("meets"), F.pmod(spread, F.lit(SALTS))).otherwise(spread).alias("salt"))
+    joined = probed.join(answers, ["key", "salt"], "left").withColumn("maybe_listed", F.col("listed").isNotNull()).withColumn("listed", F.coalesce("listed", F.lit(False)))
     final = F.coalesce("ruled", F.when(F.col("listed"), F.lit(listed_verdict)).otherwise(F.lit(default)))
     return joined.select("page_id", "host", "path", "rule", final.alias("verdict"), "maybe_listed", "listed")
