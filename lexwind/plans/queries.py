@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexwind import lexicon as L
 from lexwind.functions import maths as M
 from lexwind.functions import tokens as K
-from lexwind.functions.audio import mel_spectrogram, trim_silence
+from lexwind.functions.audio import concat_with_pause, mel_spectrogram, trim_silence
 from lexwind.functions.numbers import digit_reading, normalize_numbers, number_words, ordinal_words, roman_to_int, stages, thousands_joined
 from lexwind.functions.text import basic_clean, clean_text, expand_abbreviations, foreign_letters, split_chunks
 from lexwind.operators import batching as B
@@ -612,6 +612,21 @@ def sway_times(s, d):
     return rows.select("r_regionkey", F.array_join(F.transform(made, lambda x: F.format_string("%.6f", F.round(x, 6))), " ").alias("times"))
 
 
+@query(f"""WITH b AS (SELECT vec_id, {_e} AS x FROM embeddings) SELECT vec_id, round(list_sum(list_transform(x, lambda v: (v - list_min(x)) / greatest(list_max(x) - list_min(x), 0.00000001))), 5) AS scaled,
+  greatest(1, vec_id // 4) AS steps, list_sum(list_transform(x, lambda v: CASE WHEN isfinite(v) THEN 1 ELSE 0 END)) = 64 AS finite FROM b""")
+def scaled_vectors(s, d):
+    return vectors(s, d).select("vec_id", total(M.min_max_normalized(c("x"))).alias("scaled"), M.steps_per_epoch(c("vec_id"), 4).alias("steps"), M.all_finite(c("x")).alias("finite"))
+
+
+@query("""SELECT r_regionkey, CAST(480 AS INTEGER) AS n, round(list_sum(list_transform(range(480), lambda i: abs(sin(i * (2 * pi() * 220 / 24000)) * 0.3))), 6) AS loudness, CAST(r_regionkey * 24000 AS DOUBLE) / 24000 AS seconds,
+  round(list_sum(list_transform(range(480), lambda i: abs(sin(i * (2 * pi() * 220 / 24000)) * 0.3))) * 2, 5) AS twice, 480 * 2 + 6000 AS joined FROM region""")
+def tones(s, d):
+    tone = M.sine(0.02)
+    loud = lambda x: F.aggregate(F.transform(x, lambda v: F.abs(v)), lit(0.0), lambda a, v: a + v)
+    rows = t(s, d, "region").select("r_regionkey", tone.alias("x")).select("*", concat_with_pause(F.array("x", "x")).alias("both"))
+    return rows.select("r_regionkey", F.size("x").alias("n"), F.round(loud("x"), 6).alias("loudness"), M.seconds(c("r_regionkey") * 24_000).alias("seconds"), F.round(loud("both"), 5).alias("twice"), F.size("both").alias("joined"))
+
+
 @query()
 def audio_features(s, d):
     """Tones of each customer's pitch: frames and loudest band of the log-mel, samples left after trimming."""

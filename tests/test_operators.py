@@ -113,6 +113,19 @@ def test_audio(spark):
     assert r[0][0] == pytest.approx(1, abs=1e-5) and r[1] == [0.0] and r[2] == 48_000 and r[3] == [1.0, 0.0, 0.0, 2.0]
 
 
+def test_pluggable_audio(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), (None,)], "x array<float>")
+
+    def fails(x):
+        raise RuntimeError
+
+    r = rows.select(A.denoise(F.col("x"), lambda x: x * 2).alias("a"), A.denoise(F.col("x"), fails).alias("b"), A.resample(F.col("x"), 8000, 16_000).alias("c"), A.decode_mp3(F.lit(b"no mp3"), ffmpeg="no-such-program").alias("d")).collect()
+    assert (r[0].a, r[0].b, len(r[0].c), r[0].d, r[1].a) == ([2.0, 4.0], [1.0, 2.0], 4, None, None)
+    assert C.presets("/x")["mbspeech"].text_column == "sentence_norm" and C.load_config("/none.json") is None
+    with pytest.raises(ValueError, match="unequal"):
+        C.from_lists(spark, ["a"], [], strict=True)
+
+
 def test_learning_rate_ends(spark):
     r = spark.range(1).select(*[M.learning_rate(F.lit(s), 1e-4, 100, 1100) for s in (0, 100, 1100)]).first()
     assert [round(x, 12) for x in r] == [1e-8, 1e-4, 1e-6] and math.isclose(r[1], 1e-4)
