@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexwind.exprs import trimmed
 from lexwind.lexicon import TEXT_COLUMNS
+from lexwind.operators.batching import global_row_number
 
 
 def text_column(df: DataFrame, candidates: Iterable[str] = TEXT_COLUMNS) -> str:
@@ -107,13 +108,13 @@ def sampler_violations(most: int = 65_536) -> Column:
 
 
 def dense_ids_by_appearance(df: DataFrame, key: str, order: str, out: str = "speaker_id", missing: str = "unknown") -> DataFrame:
-    """0, 1, ... to the keys in order of first appearance; null keys count as one key.
+    """0, 1, ... to the keys in order of first appearance; null keys count as one key. `order` is unique.
 
-    Only the distinct keys are ranked in one task; the rows meet their rank in a join.
+    Only the distinct keys are numbered, by ranges; the rows meet their number in a join.
     """
     named = df.withColumn("_key", F.coalesce(F.col(key), F.lit(missing)))
     first = named.groupBy("_key").agg(F.min(order).alias("_first"))
-    ranked = first.select("_key", (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
+    ranked = global_row_number(first, "_first").select("_key", (F.col("n") - 1).alias(out))
     return named.join(ranked, "_key").drop("_key")
 
 
