@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexwind.exprs import trimmed
 from lexwind.lexicon import TEXT_COLUMNS
+from lexwind.lineage import cut
 from lexwind.operators.batching import global_row_number
 
 
@@ -126,7 +127,7 @@ def join_members(rows: DataFrame, members: DataFrame, file: str = "path", prefix
     exact name may still do. The suffix match runs as an equi-join on the names' last `n` characters for each length n
     of a file name that the exact join has left over, so no rows are compared all against all.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    keyed = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     names = members.groupBy("name").agg(F.min("ordinal").alias("ordinal"))
     tried = [F.concat(F.lit(p), F.col(file)) for p in prefixes]
     exact = keyed.join(names.select(F.col("name").alias("_exact"), F.col("ordinal").alias("_at")), tried[0] == F.col("_exact"), "left")
