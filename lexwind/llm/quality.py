@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,7 +157,7 @@ def described(cell: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray)
     return {"cell": cell, "start": start, "n": n, "log_det": float(np.linalg.slogdet(cov)[1]), "mean": mean.tolist(), "inverse": packed}
 
 
-def moments_of(g: pd.DataFrame, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def moments_of(g: dict[str, np.ndarray], share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of bucket sums, each counted by its share."""
     n = float((g["n"] * share).sum())
     mean = np.array([float((g[f"s{i}"] * share).sum()) / n for i in range(D)])
@@ -168,29 +167,29 @@ def moments_of(g: pd.DataFrame, share: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mean, cov
 
 
-def nearest(g: pd.DataFrame, wanted: float) -> np.ndarray:
+def nearest(g: dict[str, np.ndarray], wanted: float) -> np.ndarray:
     """Of each bucket, in order of distance, the share that belongs to the nearest `wanted` rows."""
-    n = g["n"].to_numpy(dtype=float)
+    n = g["n"].astype(float)
     before = np.cumsum(n) - n
     return np.clip((wanted - before) / n, 0, 1)
 
 
-def concentrate(g: pd.DataFrame, support: float) -> dict:
-    g = g.sort_values("bucket")
+def concentrate(g: dict[str, np.ndarray], support: float) -> tuple[np.ndarray, np.ndarray]:
+    """Moments of the share of rows that is nearest. Buckets come in order of distance."""
     total = int(g["n"].sum())
-    mean, cov = moments_of(g, nearest(g, max(support * total, min(total, D + 2))))
-    return described(g["cell"].iloc[0], int(g["start"].iloc[0]), total, mean, cov)
+    return moments_of(g, nearest(g, max(support * total, min(total, D + 2))))
 
 
-def reweight(g: pd.DataFrame, inner: float) -> dict:
+def reweight(g: dict[str, np.ndarray], inner: float) -> tuple[np.ndarray, np.ndarray]:
     """Make the distances consistent by their median, then take mean and covariance of the rows within the inner quantile."""
-    g = g.sort_values("bucket")
-    total = int(g["n"].sum())
-    middle = int(np.searchsorted(np.cumsum(g["n"].to_numpy()), total / 2))
-    scale = max(1.0, 2.0 ** (float(g["bucket"].iloc[middle]) / BUCKETS) / chi_square_quantile(0.5))
-    within = 2.0 ** (g["bucket"].to_numpy(dtype=float) / BUCKETS) <= scale * chi_square_quantile(inner)
-    mean, cov = moments_of(g, within.astype(float))
-    return described(g["cell"].iloc[0], int(g["start"].iloc[0]), total, mean, cov)
+    middle = int(np.searchsorted(np.cumsum(g["n"]), g["n"].sum() / 2))
+    scale = max(1.0, 2.0 ** (float(g["bucket"][middle]) / BUCKETS) / chi_square_quantile(0.5))
+    return moments_of(g, (2.0 ** (g["bucket"] / BUCKETS) <= scale * chi_square_quantile(inner)).astype(float))
+
+
+def params_table(rows: list[dict]) -> pa.Table:
+    kinds = {"cell": pa.string(), "start": pa.int32(), "n": pa.int64(), "log_det": pa.float64(), "mean": pa.list_(pa.float64()), "inverse": pa.list_(pa.float64())}
+    return pa.table({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
 
 
 def bucket_sums(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -201,10 +200,12 @@ def bucket_sums(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def step(rows: DataFrame, params: DataFrame, of, *args: float) -> DataFrame:
-    def update(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([of(g, *args)])
+    def update(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        g = {c: t[c].to_numpy() for c in t.column_names if c != "cell"}
+        return params_table([described(t["cell"][0].as_py(), int(g["start"][0]), int(g["n"].sum()), *of(g, *args))])
 
-    return cut(bucket_sums(rows, params).groupBy("cell", "start").applyInPandas(update, PARAMS))
+    return cut(bucket_sums(rows, params).groupBy("cell", "start").applyInArrow(update, PARAMS))
 
 
 def medians(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -227,20 +228,20 @@ def starts(rows: DataFrame) -> DataFrame:
     deviations = medians(centred.select("cell", *[F.abs(f"c{i}").alias(f"d{i}") for i in range(D)]), [f"d{i}" for i in range(D)]).drop("n")
     spread = middle.join(directions, "cell").join(deviations, "cell")  # a row a cell on each side
 
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ridge = np.array(RIDGE)
         for b in batches:
             made = []
-            for r in b.to_dict("records"):
+            for r in b.to_pylist():
                 mean = np.array([r[f"m{i}"] for i in range(D)])
                 mad = np.array([1.4826 * r[f"d{i}"] for i in range(D)]) * ridge
                 sign = np.zeros((D, D))
                 for i, j in PAIRS:
                     sign[i, j] = sign[j, i] = r[f"s{i}_{j}"] * D * ridge[i] * ridge[j]
-                made += [described(r["cell"], 0, int(r["n"]), mean, np.diag(mad**2)), described(r["cell"], 1, int(r["n"]), mean, sign)]
-            yield pd.DataFrame(made, columns=PARAMS.names)
+                made += [described(r["cell"], 0, r["n"], mean, np.diag(mad**2)), described(r["cell"], 1, r["n"], mean, sign)]
+            yield from params_table(made).to_batches()
 
-    return cut(spread.mapInPandas(begin, PARAMS))
+    return cut(spread.mapInArrow(begin, PARAMS))
 
 
 def name_cells(rows: DataFrame, min_rows: int) -> DataFrame:
