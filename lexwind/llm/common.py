@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexwind.lineage import cut, ensure_checkpoint_dir
 
-__all__ = ["attach", "cut", "ensure_checkpoint_dir", "join_by_frequency", "pick"]
+__all__ = ["attach", "cut", "ensure_checkpoint_dir", "join_by_frequency", "pick", "text_batches"]
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -22,6 +22,13 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{i}").alias(new) for new, i in at.items()])
 
 
+def text_batches(spark: SparkSession, most: int = 1_000) -> None:
+    """Hold at most so many rows in an Arrow batch from now on: whole texts are long, and a batch lies in memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def same(keys: Iterable[str], left: DataFrame, right: DataFrame, prefix: str) -> Column:
     """Null-safe equality of the keys; the right side's are named with the prefix."""
     cond = F.lit(True)

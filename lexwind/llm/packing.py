@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwind.llm.common import pick
+from lexwind.llm.common import pick, text_batches
 from lexwind.llm.tokens import encode, load_encoding
 
 
@@ -51,7 +51,7 @@ def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048,
-    end_id: int = 1, linear: float = 1.0, quadratic: float = 1.0 / 2048, window_tokens: int = 1 << 22,
+    end_id: int = 1, linear: float = 1.0, quadratic: float = 1.0 / 2048, window_tokens: int = 1 << 20,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, tokens (binary, little-endian uint32), doc_tokens, sequence_id, offset, cost.
 
@@ -60,6 +60,7 @@ def pack_documents(
     number times 2**40 plus a running number, so they stay unique without a shuffle and are the same when a lost
     task runs again.
     """
+    text_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("part", F.spark_partition_id())
     schema = T.StructType([
         T.StructField("doc_id", rows.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length")),

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwind.llm.common import attach, cut, pick
+from lexwind.llm.common import attach, cut, pick, text_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_upper", "f_marks")
@@ -104,13 +104,14 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def with_counts(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The kept columns and COUNTS of the text."""
+    text_batches(rows.sparkSession)
     columns = list(dict.fromkeys([*keep, text]))
     schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 counts = count_texts(part.column(columns.index(text)))
                 arrays = [part.column(columns.index(c)) for c in keep] + [pa.array(v) for v in counts.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *COUNTS])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwind.llm.common import cut, join_by_frequency, pick
+from lexwind.llm.common import cut, join_by_frequency, pick, text_batches
 from lexwind.llm.components import connected_components
 
 SEGMENTS, BITS, LIMIT, SMALL = 4, 16, 3, 16
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long)."""
+    text_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
 
