@@ -427,12 +427,12 @@ def target_lengths(s, d):
 
 # Registry.
 
-_names = "(SELECT p_partkey AS step, 'ckpt/f5_step_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.pt' AS path, p_partkey % 97 = 0 AS is_best FROM part)"
+_names = "(SELECT p_partkey AS step, 'ckpt/voice_step_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.pt' AS path, p_partkey % 97 = 0 AS is_best FROM part)"
 
 
 def registry(s, d) -> DataFrame:
     p = c("p_partkey")
-    return t(s, d, "part").select(p.alias("step"), F.concat(lit("ckpt/"), R.step_path("f5", p)).alias("path"), (p % 97 == 0).alias("is_best"))
+    return t(s, d, "part").select(p.alias("step"), F.concat(lit("ckpt/"), R.step_path("voice", p)).alias("path"), (p % 97 == 0).alias("is_best"))
 
 
 @query(f"SELECT step, path FROM {_names} WHERE step NOT IN (SELECT step FROM {_names} ORDER BY step DESC LIMIT 5)")
@@ -450,13 +450,13 @@ def checkpoint_to_load(s, d):
     return R.to_load(registry(s, d))
 
 
-@query("""WITH r AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'tb_logs/e' || p_partkey || '.pt' ELSE 'f5_step_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.pt' END AS path FROM part),
-l AS (SELECT 'f5_step_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.pt' AS name FROM part WHERE p_partkey % 3 = 0)
-SELECT path FROM r WHERE regexp_matches(path, '^f5_step_[0-9]{8}[.]pt$') AND NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.path)""")
+@query("""WITH r AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'tb_logs/e' || p_partkey || '.pt' ELSE 'voice_step_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.pt' END AS path FROM part),
+l AS (SELECT 'voice_step_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.pt' AS name FROM part WHERE p_partkey % 3 = 0)
+SELECT path FROM r WHERE regexp_matches(path, '^voice_step_[0-9]{8}[.]pt$') AND NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.path)""")
 def stale_remote_files(s, d):
     p = c("p_partkey")
-    remote = t(s, d, "part").select(F.when(p % 7 == 0, text("tb_logs/e", p, ".pt")).otherwise(R.step_path("f5", p)).alias("path"))
-    return R.stale_remote(remote, t(s, d, "part").where(p % 3 == 0).select(F.concat(lit("out/"), R.step_path("f5", p)).alias("path")), "f5")
+    remote = t(s, d, "part").select(F.when(p % 7 == 0, text("tb_logs/e", p, ".pt")).otherwise(R.step_path("voice", p)).alias("path"))
+    return R.stale_remote(remote, t(s, d, "part").where(p % 3 == 0).select(F.concat(lit("out/"), R.step_path("voice", p)).alias("path")), "voice")
 
 
 def keys(s, d, share: int, compiled: int) -> DataFrame:
@@ -492,7 +492,7 @@ def registry_names(s, d):
     p = c("p_partkey")
     parts = t(s, d, "part").select("p_partkey")
     names = parts.select("p_partkey", F.explode(F.when(p % 3 == 0, F.array(lit("model_state_dict"), lit("ema_state_dict"))).when(p % 3 == 1, F.array(lit("model_state_dict"))).otherwise(F.array(lit("epoch")))).alias("name"))
-    path = F.when(p % 2 == 0, R.step_path("f5", p)).otherwise(lit("f5_best.pt"))
+    path = F.when(p % 2 == 0, R.step_path("voice", p)).otherwise(lit("voice_best.pt"))
     out = parts.select("p_partkey", R.parsed_step(path).alias("step"), R.metric_tag(lit("mn"), lit("сайн байна уу та нар хаана")).alias("tag"))
     return out.join(R.preferred_weights(names, "p_partkey").withColumnRenamed("weights", "preferred"), "p_partkey").join(R.preferred_weights(names, "p_partkey", use_average=False).withColumnRenamed("weights", "plain"), "p_partkey")
 

@@ -82,11 +82,11 @@ def test_synthesis_plan(spark):
 
 
 def test_registry(spark):
-    assert spark.range(1).select(R.step_path("f5", F.lit(7)), R.parsed_step(F.lit("a/f5_step_00000010.pt")), R.parsed_step(F.lit("f5_best.pt"))).first()[:] == ("f5_step_00000007.pt", 10, None)
-    names = ["README.md", "config.json", "f5_best.pt", "f5_step_00000010.pt", "f5_step_00000020.pt", "f5_step_00000030.pt", "tb_logs/x"]
+    assert spark.range(1).select(R.step_path("voice", F.lit(7)), R.parsed_step(F.lit("a/voice_step_00000010.pt")), R.parsed_step(F.lit("voice_best.pt"))).first()[:] == ("voice_step_00000007.pt", 10, None)
+    names = ["README.md", "config.json", "voice_best.pt", "voice_step_00000010.pt", "voice_step_00000020.pt", "voice_step_00000030.pt", "tb_logs/x"]
     remote = spark.createDataFrame([(n,) for n in names], "path string")
-    local = spark.createDataFrame([("out/f5_step_00000020.pt",), ("out/f5_step_00000030.pt",)], "path string")
-    assert [r.path for r in R.stale_remote(remote, local, "f5").collect()] == ["f5_step_00000010.pt"]
+    local = spark.createDataFrame([("out/voice_step_00000020.pt",), ("out/voice_step_00000030.pt",)], "path string")
+    assert [r.path for r in R.stale_remote(remote, local, "voice").collect()] == ["voice_step_00000010.pt"]
     assert R.to_load(spark.createDataFrame([], "path string, step long, is_best boolean")).first()[:] == (None, 0)
     assert "| dim | ? |" in R.model_card({}, "m")
 
