@@ -144,10 +144,10 @@ def roman(n: Column) -> Column:
     return F.concat(F.element_at(tens, (n / 10).cast("int") + 1), F.element_at(ones, (n % 10 + 1).cast("int")))
 
 
-@query(O.select(f"p_partkey, CAST(p_size AS BIGINT) AS value, {O.ordinal('p_size', 'mn')} || ' зуун' AS phrase, CAST(NULL AS BIGINT) AS invalid", "part"))
+@query(O.select(f"p_partkey, CAST(p_size AS BIGINT) AS value, {O.ordinal('p_size', 'mn')} || ' зуун' AS phrase, true AS invalid", "part"))
 def roman_numerals(s, d):
     r = roman(c("p_size"))
-    return t(s, d, "part").select("p_partkey", roman_to_int(r).alias("value"), rewritten(text(r, " зуун"), "roman").alias("phrase"), roman_to_int(text(r, "IIII")).alias("invalid"))
+    return t(s, d, "part").select("p_partkey", roman_to_int(r).alias("value"), rewritten(text(r, " зуун"), "roman").alias("phrase"), roman_to_int(text(r, "IIII")).isNull().alias("invalid"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS plain, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) || ' x' AS spaced FROM orders")
@@ -487,13 +487,13 @@ def parameter_count(s, d):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'ema_state_dict' WHEN p_partkey % 3 = 1 THEN 'model_state_dict' ELSE 'raw' END AS preferred, CASE WHEN p_partkey % 3 = 2 THEN 'raw' ELSE 'model_state_dict' END AS plain,
-  CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS step, 'mn/' || replace('сайн байна уу та нар', ' ', '_') AS tag FROM part""")
+  CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE -1 END AS step, 'mn/' || replace('сайн байна уу та нар', ' ', '_') AS tag FROM part""")
 def registry_names(s, d):
     p = c("p_partkey")
     parts = t(s, d, "part").select("p_partkey")
     names = parts.select("p_partkey", F.explode(F.when(p % 3 == 0, F.array(lit("model_state_dict"), lit("ema_state_dict"))).when(p % 3 == 1, F.array(lit("model_state_dict"))).otherwise(F.array(lit("epoch")))).alias("name"))
     path = F.when(p % 2 == 0, R.step_path("voice", p)).otherwise(lit("voice_best.pt"))
-    out = parts.select("p_partkey", R.parsed_step(path).alias("step"), R.metric_tag(lit("mn"), lit("сайн байна уу та нар хаана")).alias("tag"))
+    out = parts.select("p_partkey", F.coalesce(R.parsed_step(path), lit(-1).cast("long")).alias("step"), R.metric_tag(lit("mn"), lit("сайн байна уу та нар хаана")).alias("tag"))
     return out.join(R.preferred_weights(names, "p_partkey").withColumnRenamed("weights", "preferred"), "p_partkey").join(R.preferred_weights(names, "p_partkey", use_average=False).withColumnRenamed("weights", "plain"), "p_partkey")
 
 
