@@ -26,8 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of near-duplicates the document with the smallest id stays."""
-    return keep_representatives(docs)
+    """Operator 4: of each group of near-duplicates the document with the smallest id stays.
+
+    Texts are linked by fingerprints within 3 bits, and all whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    return keep_representatives(docs, similarity=0.8, shingle=5)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

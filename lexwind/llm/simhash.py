@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from lexwind.llm.common import cut, join_by_frequency, pick, text_batches
 from lexwind.llm.components import connected_components
+from lexwind.llm.similar import similar_links
 
 SEGMENTS, BITS, LIMIT, SMALL = 4, 16, 3, 16
 
@@ -184,16 +185,22 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return filed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(links_of, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id (the smallest doc_id reachable over links of at most 3 bits).
 
+    With `similarity`, texts whose sets of `shingle`-word shingles have at least that Jaccard similarity are linked too,
+    all of them, however many bits their fingerprints differ in.
+
     Null texts and texts without words have the fingerprint 0, which links like any other. Repeated rows stay rows of
     their own in the same component. A null id never is the smallest, unless the component has no other. An empty
     table gives no rows.
     """
     table = cut(fingerprints(docs, id_col, text_col))
     groups = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
-    roots = cut(connected_components(link_fingerprints(groups.select("fp"))))
+    links = link_fingerprints(groups.select("fp"))
+    if similarity is not None:
+        links = links.unionByName(similar_links(docs, text_col=text_col, similarity=similarity, shingle=shingle))
+    roots = cut(connected_components(links))
     # A component's root is a node without a row of its own in roots.
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     least = members.join(groups.select("fp", "least_id"), "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -202,20 +209,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return join_by_frequency(table, named, "fp", "n")
 
 
-def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """The rows of `docs` with the smallest id of their component, whole; one row if several share that id.
 
     Of rows without an id one stays for each component that has no other.
     """
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     i, t = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <=> component_id").select("doc_id", "fp").distinct()
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity, shingle=shingle).where("doc_id <=> component_id").select("doc_id", "fp").distinct()
     # A row is found again by its id; one without an id by its fingerprint, which is computed for such rows alone.
     named = flat.where(F.col(i).isNotNull()).join(kept.where("doc_id is not null").select(F.col("doc_id").alias(i)).distinct(), i, "left_semi").dropDuplicates([i])
     if not docs.schema[id_col].nullable or flat.where(F.col(i).isNull()).isEmpty():
         return named.select(*flat.columns).toDF(*docs.columns)
     nameless = flat.where(F.col(i).isNull()).withColumn(i + "_key", F.xxhash64(t))
-    linked = near_duplicates(nameless.select(F.col(i + "_key").alias("doc_id"), F.col(t).alias("text")))
+    linked = near_duplicates(nameless.select(F.col(i + "_key").alias("doc_id"), F.col(t).alias("text")), similarity=similarity, shingle=shingle)
     prints = linked.join(kept.where("doc_id is null").select("fp"), "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias(i + "_key")).distinct()
     nameless = nameless.join(prints, i + "_key", "left_semi").dropDuplicates([i + "_key"])
     return named.select(*flat.columns).unionByName(nameless.select(*flat.columns)).toDF(*docs.columns)
