@@ -1,8 +1,9 @@
 """Language identification of mixed-language text (operator 8).
 
-Words are scored by hashed character n-grams (naive Bayes); the script of a word's letters narrows the languages that
-may take it. A Viterbi pass over the words of a text, with a penalty for every switch, labels spans; the language with
-the most letters in its spans is the text's, and its share of the letters is the score.
+Words are runs of letters; a run of over 64 letters (glued text, scripts without spaces) is several words, one for every
+64 letters. They are scored by hashed character n-grams (naive Bayes); the script of a word's letters narrows the
+languages that may take it. A Viterbi pass over the words of a text, with a penalty for every switch, labels spans; the
+language with the most letters in its spans is the text's, and its share of the letters is the score.
 
 The model is fitted on at most `sample_docs` labelled documents a language (chosen by the hash of their ids); n-gram counts
 are summed by Spark and only the finished table (languages times 2**16 numbers) reaches the driver. Prediction is
@@ -39,19 +40,19 @@ SCRIPT_RANGES = (
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other"),
 )
 STARTS = [a for a, _ in SCRIPT_RANGES]
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]{1,64}")
 
 
 def script_of(letters: str) -> str:
     """The script of most letters; of equals the first."""
     if max(letters) < "\u0370":
         return "latin"
-    return Counter(SCRIPT_RANGES[bisect_right(STARTS, ord(c)) - 1][1] for c in letters[:64]).most_common(1)[0][0]
+    return Counter(SCRIPT_RANGES[bisect_right(STARTS, ord(c)) - 1][1] for c in letters).most_common(1)[0][0]
 
 
 def grams(letters: str) -> list[int]:
     """Buckets of a word's 2- to 4-grams (UTF-8, with its ends marked) and of the word."""
-    w = f"^{letters[:64].lower()}$".encode()
+    w = f"^{letters.lower()}$".encode()
     n = len(w)
     found = [w[a : a + 2] for a in range(n - 1)] + [w[a : a + 3] for a in range(n - 2)] + [w[a : a + 4] for a in range(n - 3)]
     return [crc32(g) & (BUCKETS - 1) for g in found] + [crc32(b"=" + w) & (BUCKETS - 1)]
@@ -83,7 +84,7 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters; signs that only count as numbers make no word."""
+    """Runs of letters, longer ones in pieces of 64; signs that only count as numbers make no word."""
     return [w for w in LETTERS.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
 
 
