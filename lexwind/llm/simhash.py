@@ -10,7 +10,9 @@ full Hamming check.
 Equal fingerprints are one node from the start. Within a key, pairs of up to `SMALL` fingerprints are compared at
 once for all keys of a batch; larger keys (groups of near copies) are connected through leaders: everything within 3
 bits of a leader hangs on it, and only members of balls that could touch are compared. Links come out as a spanning
-forest, never as all pairs.
+forest, never as all pairs. A key of over `MOST` fingerprints is not compared at all: its fingerprints go on, streamed,
+to four keys each that add a quarter of the bits not agreed on yet, one of which two fingerprints within 3 bits share
+(they have at most three differences for four quarters); this goes on until no key is that large.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwind.llm.common import cut, join_by_frequency, pick, text_batches
+from lexwind.llm.common import KEYS, cut, join_by_frequency, one_of_each, pick, positional, repeated, row_keys, text_batches
 from lexwind.llm.components import connected_components
-from lexwind.llm.similar import similar_links
+from lexwind.llm.similar import parities, shingle_set, similar_links
 
-SEGMENTS, BITS, LIMIT, SMALL = 4, 16, 3, 16
+SEGMENTS, BITS, LIMIT, SMALL, MOST = 4, 16, 3, 16, 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -50,16 +52,27 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = None) -> DataFrame:
+    """doc_id, KEYS (of the whole row), node (a hash of the text) and fp (the fingerprint as a signed long).
+
+    With `shingle` also shingles and bits: how many shingles of so many words the text's set has, and their parities.
+    """
     text_batches(docs.sparkSession)
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    flat = positional(docs)
+    text = F.col(f"_c{docs.columns.index(text_col)}")
+    rows = flat.select(F.col(f"_c{docs.columns.index(id_col)}").alias("doc_id"), *row_keys(flat), F.xxhash64(text).alias("node"), text.alias("text"))
+    held = ["doc_id", *KEYS, "node"]
+    more = [T.StructField("shingles", T.LongType()), T.StructField("bits", T.BinaryType())] if shingle else []
+    schema = T.StructType([*(rows.schema[c] for c in held), T.StructField("fp", T.LongType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            texts = [t.as_py() for t in b.column(4)]
+            made = [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))]
+            if shingle:
+                sets = [shingle_set(t, shingle) for t in texts]
+                made += [pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -124,7 +137,7 @@ def leader_links(f: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def key_links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+def key_links(key: np.ndarray, fp: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Links (n, 2) within the keys; rows sorted by key, each key whole."""
     found = [np.empty((0, 2), dtype=np.uint64)]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -135,7 +148,7 @@ def key_links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
         if not len(i):
             break
         x = fp[i] ^ fp[i + lag]
-        held = chain_holds(x, (key[i] >> 25).astype(np.int64)) & (x != 0)
+        held = (x != 0) & (np.bitwise_count(x) <= LIMIT) & ((start[i] < 0) | chain_holds(x, start[i]))
         found.append(np.stack([fp[i][held], fp[i + lag][held]], axis=1))
     for k in np.flatnonzero(sizes > SMALL).tolist():
         found.append(np.array(leader_links(np.unique(fp[edge[k] : edge[k + 1]])), dtype=np.uint64).reshape(-1, 2))
@@ -143,46 +156,112 @@ def key_links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
 
 
 def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by key; the last key of a batch waits for the next batch."""
-    def out(key, fp):
-        pairs = key_links(key, fp).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    """Rows (key, fp, agreed) arrive sorted by key. Gives links (a, b), and of keys of over MOST rows the rows (a, agreed).
+
+    The last key of a batch waits for the next batch, until it has too many rows to be compared.
+    """
+    def links(key, fp, agreed):
+        pairs = key_links(key, fp, start_of(agreed)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "agreed"])
 
-    keys: list[np.ndarray] = []
-    fps: list[np.ndarray] = []
+    def passed_on(fp, agreed):
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(agreed.view(np.int64))], names=["a", "b", "agreed"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    large = None
     for b in batches:
-        key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        key, fp, agreed = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().view(np.uint64)
         if not len(key):
             continue
-        if keys and key[-1] == keys[0][0]:
-            keys.append(key)
-            fps.append(fp)
-            continue
-        key, fp = np.concatenate([*keys, key]), np.concatenate([*fps, fp])
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield out(key[:last], fp[:last])
-        keys, fps = [key[last:]], [fp[last:]]
-    if keys:
-        yield out(np.concatenate(keys), np.concatenate(fps))
-
-
-def ring_keys(fp: str):
-    """The 8 keys of a fingerprint: start (2 bits), half (1), first segment (16), half of the next (8)."""
-    keys = []
-    for i in range(SEGMENTS):
-        first = F.shiftrightunsigned(fp, BITS * i).bitwiseAND((1 << BITS) - 1)
-        for half in range(2):
-            next_half = F.shiftrightunsigned(fp, BITS * ((i + 1) % SEGMENTS) + 8 * half).bitwiseAND(0xFF)
-            keys.append((F.lit((i << 25) | (half << 24)) + first * 256 + next_half).cast("int"))
-    return F.array(*keys)
+        if large is not None:
+            n = int(np.searchsorted(key, large, side="right"))
+            yield passed_on(fp[:n], agreed[:n])
+            if n == len(key):
+                continue
+            key, fp, agreed, large = key[n:], fp[n:], agreed[n:], None
+        if held:
+            key, fp, agreed = (np.concatenate(x) for x in zip(*held, (key, fp, agreed), strict=True))
+            held = []
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        whole = np.repeat(np.diff(edge) <= MOST, np.diff(edge))
+        last = int(edge[-2])
+        if whole[last]:
+            held = [(key[last:], fp[last:], agreed[last:])]
+        else:
+            large = key[-1]
+        if not whole.all():
+            yield passed_on(fp[~whole], agreed[~whole])
+        whole = np.flatnonzero(whole[: last if held else len(key)])
+        if len(whole):
+            yield links(key[whole], fp[whole], agreed[whole])
+    if held:
+        yield links(*held[0])
+
+
+def start_of(agreed: np.ndarray) -> np.ndarray:
+    """The start in the ring to which a mask of agreed bits belongs; -1 if bits were added to it."""
+    start = np.full(len(agreed), -1)
+    for k, mask in enumerate(ring_masks()):
+        start[agreed == mask] = k // 2
+    return start
+
+
+def ring_masks() -> np.ndarray:
+    """The bits that two fingerprints of one key agree on, for each start and half of the next segment."""
+    return np.array([((0xFFFF << BITS * i) | (0xFF << (BITS * ((i + 1) % SEGMENTS) + 8 * half))) for i in range(SEGMENTS) for half in range(2)], dtype=np.uint64)
+
+
+def quarters(agreed: int) -> list[int]:
+    """The mask with a quarter of the other bits added, for each quarter; alternate bits, so that a quarter spreads over the ring."""
+    other = [b for b in range(64) if not agreed >> b & 1]
+    return [agreed | sum(1 << b for b in other[k::4]) for k in range(4)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def filed_under(fps: DataFrame, masks: Column) -> DataFrame:
+    """(key, fp, agreed): each fingerprint under each of its masks."""
+    filed = fps.select("fp", F.explode(masks).alias("agreed"))
+    return filed.select(F.xxhash64("agreed", F.col("fp").bitwiseAND(F.col("agreed"))).alias("key"), "fp", "agreed")
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints within 3 bits."""
-    filed = fps.select(F.explode(ring_keys("fp")).alias("key"), "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return filed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(links_of, "a long, b long").distinct()
+    filed = filed_under(fps, F.array(*[F.lit(signed(int(m))) for m in ring_masks()]))
+    links = None
+    while True:
+        met = cut(filed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(links_of, "a long, b long, agreed long"))
+        found = met.where("b is not null").select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        masks = [r[0] for r in met.where("b is null").select("agreed").distinct().collect()]  # 8 at first, at most four times as many a round
+        if not masks:
+            return links.distinct()
+        more = fps.sparkSession.createDataFrame([(m, [signed(q) for q in quarters(m % (1 << 64))]) for m in masks], "agreed long, masks array<long>")
+        large = met.where("b is null").select(F.col("a").alias("fp"), "agreed").join(F.broadcast(more), "agreed")
+        filed = filed_under(large.select("fp", "masks"), F.col("masks"))
+
+
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float | None, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(rows doc_id, KEYS, fp, n: distinct rows and how often they come; fp, root, component_id, n: fingerprints and their components)."""
+    made = fingerprints(docs, id_col, text_col, shingle if similarity is not None else None)
+    rows = cut(made.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in made.columns if c not in KEYS], F.count("*").alias("n")))
+    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    links = link_fingerprints(groups.select("fp"))
+    if similarity is not None:
+        links = cut(links)
+        texts = pick(docs, text=text_col).where("text is not null").select(F.xxhash64("text").alias("node"), "text")
+        marks = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "shingles", "bits")]))
+        links = links.unionByName(similar_links(texts, marks, links, similarity=similarity, shingle=shingle))
+        rows = rows.drop("node", "shingles", "bits")
+    roots = cut(connected_components(links))
+    # A component's root is a node without a row of its own in roots.
+    members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    least = members.join(groups.select("fp", "least_id"), "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    labelled = members.join(least, "root")
+    return rows, cut(groups.join(labelled, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"), "n"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
@@ -191,38 +270,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     With `similarity`, texts whose sets of `shingle`-word shingles have at least that Jaccard similarity are linked too,
     all of them, however many bits their fingerprints differ in.
 
-    Null texts and texts without words have the fingerprint 0, which links like any other. Repeated rows stay rows of
-    their own in the same component. A null id never is the smallest, unless the component has no other. An empty
-    table gives no rows.
+    Null texts and texts without words have the fingerprint 0, which links like any other; texts of any length are read
+    whole. Repeated rows stay rows of their own in the same component. A null id never is the smallest, unless the
+    component has no other. Extra columns do no harm. An empty table gives no rows.
     """
-    table = cut(fingerprints(docs, id_col, text_col))
-    groups = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
-    links = link_fingerprints(groups.select("fp"))
-    if similarity is not None:
-        links = links.unionByName(similar_links(docs, text_col=text_col, similarity=similarity, shingle=shingle))
-    roots = cut(connected_components(links))
-    # A component's root is a node without a row of its own in roots.
-    members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    least = members.join(groups.select("fp", "least_id"), "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = members.join(least, "root").select("fp", "component_id")
-    named = cut(groups.join(labelled, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "n"))
-    return join_by_frequency(table, named, "fp", "n")
+    rows, named = linked_rows(docs, id_col, text_col, similarity, shingle)
+    labelled = join_by_frequency(rows.withColumnRenamed("n", "times"), named.drop("root"), "fp", "n")
+    return repeated(labelled, "times").select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
-    """The rows of `docs` with the smallest id of their component, whole; one row if several share that id.
+    """Of each component the row with the smallest id, whole.
 
-    Of rows without an id one stays for each component that has no other.
+    Rows that share an id but differ otherwise are told apart, so each component keeps one row; of several rows with its
+    smallest id the one with the least hash of all columns stays, however the table is partitioned. Rows without an id
+    stand last. Null and empty texts are one component.
     """
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    i, t = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity, shingle=shingle).where("doc_id <=> component_id").select("doc_id", "fp").distinct()
-    # A row is found again by its id; one without an id by its fingerprint, which is computed for such rows alone.
-    named = flat.where(F.col(i).isNotNull()).join(kept.where("doc_id is not null").select(F.col("doc_id").alias(i)).distinct(), i, "left_semi").dropDuplicates([i])
-    if not docs.schema[id_col].nullable or flat.where(F.col(i).isNull()).isEmpty():
-        return named.select(*flat.columns).toDF(*docs.columns)
-    nameless = flat.where(F.col(i).isNull()).withColumn(i + "_key", F.xxhash64(t))
-    linked = near_duplicates(nameless.select(F.col(i + "_key").alias("doc_id"), F.col(t).alias("text")), similarity=similarity, shingle=shingle)
-    prints = linked.join(kept.where("doc_id is null").select("fp"), "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias(i + "_key")).distinct()
-    nameless = nameless.join(prints, i + "_key", "left_semi").dropDuplicates([i + "_key"])
-    return named.select(*flat.columns).unionByName(nameless.select(*flat.columns)).toDF(*docs.columns)
+    rows, named = linked_rows(docs, id_col, text_col, similarity, shingle)
+    labelled = join_by_frequency(rows.withColumnRenamed("n", "times"), named.select("fp", "root", "n"), "fp", "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *KEYS, "times")).alias("first")
+    chosen = cut(labelled.groupBy("root").agg(first).select(*[f"first.{k}" for k in KEYS], F.col("first.times").alias("n")))
+    flat = positional(docs)
+    return one_of_each(flat.select("*", *row_keys(flat)), chosen).select(*flat.columns).toDF(*docs.columns)

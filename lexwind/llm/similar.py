@@ -5,7 +5,12 @@ n - ceil(s * n) + 1 of the one and the first m - ceil(s * m) + 1 of the other ha
 those alone (prefix filtering). Rare shingles come first: the frequent ones of a sample stand last by their counts, the
 others by their hashes. The sample only decides how many candidates there are, never which links are found. Candidates
 must agree in size, in what can follow their shared shingle and in enough parities of their shingles (bits that differ
-are at most the shingles that differ); what is left is compared set by set.
+are at most the shingles that differ); what is left is compared set by set, unless links already connect it.
+
+Texts that share a shingle are compared all with all only in groups of up to SMALL. In a larger group (near copies, shared
+passages) each is first compared with one leader. Then what the links found so far connect is one component, and only
+texts of different components are compared, those of the largest component never with each other. So no link between
+components is lost, and a group of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -18,19 +23,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwind.llm.common import cut, pick, text_batches
+from lexwind.llm.common import cut
+from lexwind.llm.components import connected_components
 
-SAMPLE, FREQUENT, SEEN, PARITIES = 10_000, 1 << 16, 1 << 20, 1024
+SAMPLE, FREQUENT, SEEN, PARITIES, SMALL, MOST = 20_000, 1 << 17, 1 << 20, 1024, 16, 1 << 16
 
 
-def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """The sorted, distinct 64-bit hashes of the text's word shingles, lower-cased as for a fingerprint; empty without words."""
-    import xxhash
+class WordHashes(dict):
+    """64-bit hashes of words, kept while they are fewer than `most`."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = made = xxhash.xxh64_intdigest(word, 42)
+        return made
+
+
+KNOWN = WordHashes()
+
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted, distinct 64-bit hashes of the text's word shingles, lower-cased as for a fingerprint; empty without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    of = xxhash.xxh64_intdigest
-    return np.array(sorted({of(b" ".join(words[i : i + shingle]), seed) for i in range(n)}), dtype=np.uint64)
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    each = np.fromiter(map(KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    mixed = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, share: Fraction) -> np.ndarray:
@@ -44,10 +73,9 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, share: Fr
     return hashes[np.argsort(place, kind="stable")[:most]]
 
 
-def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of texts repeats, sorted by hash, and the place of each by its count."""
-    n = texts.count()
-    some = texts.where(F.pmod("key", F.lit(1 << 20)) * F.lit(n) < F.lit(SAMPLE << 20)) if n > SAMPLE else texts
+def frequent_shingles(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the n texts repeats, sorted by hash, and the place of each by its count."""
+    some = texts.where(F.pmod("node", F.lit(1 << 20)) * F.lit(n) < F.lit(SAMPLE << 20)) if n > SAMPLE else texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,42 +96,75 @@ def parities(hashes: np.ndarray) -> bytes:
 
 
 def keys_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+class Rule:
+    """What a pair of sets must meet to be similar, by sizes, places of a shared shingle and parities; in whole numbers."""
+
+    def __init__(self, share: Fraction):
+        self.p, self.q = share.numerator, share.denominator
+
+    def sizes(self, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (m * self.q >= n * self.p) & (n * self.q >= m * self.p)
+
+    def places(self, m: np.ndarray, at_m: np.ndarray, n: np.ndarray, at_n: np.ndarray) -> np.ndarray:
+        """If the shared shingle is the first that they share."""
+        return np.minimum(m - at_m, n - at_n) * (self.p + self.q) >= (m + n) * self.p
+
+    def bits(self, x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """`both` are the sums of the sizes."""
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) * (self.p + self.q) <= (self.q - self.p) * both
 
 
-def candidates(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, share: Fraction) -> Iterator[np.ndarray]:
-    """Pairs (m, 2) of nodes that share a key and can be similar; rows sorted by key, size and node, each key whole."""
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-    key, node, n, at = key[new], node[new], n[new], at[new]
-    p, q = share.numerator, share.denominator
-    i = np.arange(len(key))
-    lag = 1
+def ordered(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    return [np.minimum(x, y), np.maximum(x, y)]
+
+
+def pairs_of_small(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, rule: Rule) -> Iterator[list[np.ndarray]]:
+    """Pairs of nodes that share a key and can be similar; rows sorted by key, size and node, each key whole."""
+    i, lag = np.arange(len(key)), 1
     while True:
         i = i[i + lag < len(key)]
         j = i + lag
-        near = (key[i] == key[j]) & (n[i] * q >= n[j] * p)  # sizes rise, so a row that fails is done
+        near = (key[i] == key[j]) & rule.sizes(n[i], n[j])  # sizes rise, so a row that fails is done
         i, j = i[near], j[near]
         if not len(i):
             return
-        most = np.minimum(n[i] - at[i], n[j] - at[j])  # if this is the first shingle they share
-        held = most * (p + q) >= (n[i] + n[j]) * p
+        held = rule.places(n[i], at[i], n[j], at[j]) & (node[i] != node[j])
         if held.any():
-            x, y = node[i[held]], node[j[held]]
-            yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+            yield ordered(node[i[held]], node[j[held]])
         lag += 1
 
 
-def similar_links(docs: DataFrame, *, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Links (a, b) between the fingerprints of all texts whose shingle sets have a Jaccard similarity of at least `similarity`.
-
-    Texts without words have no shingles and no links.
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.Array]]:
+    """Batches sorted by their first column, put together so that no key is parted."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and b.column(0)[-1] == held[0].column(0)[0]:
+            held.append(b)
+            continue
+        t = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+        last = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))
+        if last:
+            yield t.slice(0, last)
+        held = [t.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def similar_links(texts: DataFrame, marks: DataFrame, links: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Links (a, b) between fingerprints that connect, along with `links`, all texts whose shingle sets are that similar.
+
+    texts: node (a hash of the text) and text, not null; marks: node, fp, shingles (how many), bits (parities). Texts
+    without words have no shingles and no links.
     """
-    from lexwind.llm.simhash import fingerprint
-
     share = Fraction(str(similarity))
-    text_batches(docs.sparkSession)
-    texts = pick(docs, text=text_col).where("text is not null").select(F.xxhash64("text").alias("key"), "text")
-    frequent, rank = frequent_shingles(texts, shingle)
+    rule = Rule(share)
+    frequent, rank = frequent_shingles(texts, marks.count(), shingle)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -124,54 +185,36 @@ def similar_links(docs: DataFrame, *, text_col: str = "text", similarity: float
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "at"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by key; the last key of a batch waits for the next batch."""
-        held: list[list[np.ndarray]] = []
-
-        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for found in candidates(rows[0], rows[1], rows[2].astype(np.int64), rows[3].astype(np.int64), share):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-        for b in batches:
-            rows = [c.to_numpy() for c in b.columns]
-            if not len(rows[0]):
-                continue
-            if held and rows[0][-1] == held[0][0][0]:
-                held.append(rows)
+        """Pairs (a, b) of small keys and of large keys' leaders; the rows of large keys besides, with b null."""
+        names = ["a", "b", "key", "n", "at"]
+
+        def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names=names)
+
+        for t in whole_keys(batches):
+            key, node, n, at = (c.to_numpy() for c in t.columns)
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node, n, at = key[new], node[new], n[new].astype(np.int64), at[new].astype(np.int64)
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            size = np.repeat(np.diff(edge), np.diff(edge))
+            few = size <= SMALL
+            for a, b in pairs_of_small(key[few], node[few], n[few], at[few], rule):
+                yield found(a, b)
+            if few.all():
                 continue
-            rows = [np.concatenate(c) for c in zip(*held, rows, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                yield from out([c[:last] for c in rows])
-            held = [[c[last:] for c in rows]]
-        if held:
-            yield from out([np.concatenate(c) for c in zip(*held, strict=True)])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = texts.mapInArrow(file, "key long, node long, n int, at int")
-    pairs = cut(filed.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pair, "a long, b long").distinct())
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read = [t.as_py() for t in b.column(1)]
-            fp = np.array([fingerprint(t) for t in read], dtype=np.uint64).view(np.int64)
-            sets = [shingle_set(t, shingle) for t in read]
-            columns = [b.column(0), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "n", "bits"])
+            lead = np.repeat((edge[:-1] + edge[1:]) // 2, np.diff(edge))
+            held = ~few & rule.sizes(n, n[lead]) & rule.places(n, at, n[lead], at[lead]) & (node != node[lead])
+            yield found(*ordered(node[held], node[lead[held]]))
+            many = np.flatnonzero(~few)
+            for x in range(0, len(many), 1 << 16):
+                i = many[x : x + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.nulls(len(i), pa.int64()), pa.array(key[i]), pa.array(n[i].astype(np.int32)), pa.array(at[i].astype(np.int32))], names=names)
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bits that differ are at most the shingles that differ, which a similar pair has few of."""
-        p, q = share.numerator, share.denominator
         for b in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64) for c in (b.column("x"), b.column("y")))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            stays = apart * (p + q) <= (q - p) * b.column("n").to_numpy()
-            yield b.select(["a", "b", "fp_a", "fp_b"]).filter(pa.array(stays))
-
-    marks = cut(texts.join(keys_of(pairs), "key", "left_semi").mapInArrow(mark, "key long, fp long, n long, bits binary").dropDuplicates(["key"]))
-    a, b = (marks.toDF(k, f"fp_{k}", f"n_{k}", v) for k, v in (("a", "x"), ("b", "y")))
-    # Equal fingerprints are one node already.
-    met = pairs.join(a, "a").join(b, "b").where("fp_a != fp_b").select("a", "b", "fp_a", "fp_b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
-    likely = cut(met.mapInArrow(rule_out, "a long, b long, fp_a long, fp_b long"))
+            yield b.select(["a", "b", "fp_a", "fp_b"]).filter(pa.array(rule.bits(x, y, b.column("n").to_numpy())))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +225,52 @@ def similar_links(docs: DataFrame, *, text_col: str = "text", similarity: float
                 near.append(both * share.denominator >= (len(x) + len(y) - both) * share.numerator)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    # Texts are shuffled rather than their hashes, which don't compress.
-    whole = texts.join(keys_of(likely), "key", "left_semi").dropDuplicates(["key"])
-    both = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("fp_a", "fp_b", "x", "y")
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    def rooted(roots: DataFrame) -> DataFrame:
+        members = roots.select(F.col("node").alias("fp"), "root")
+        return cut(marks.join(members, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Links of the pairs that aren't connected yet and are similar."""
+        a, b = (known.select(F.col("node").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("shingles").alias(f"n_{k}"), F.col("bits").alias(v), F.col("root").alias(f"root_{k}")) for k, v in (("a", "x"), ("b", "y")))
+        met = pairs.join(a, "a").join(b, "b").where("root_a != root_b").select("a", "b", "fp_a", "fp_b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
+        likely = cut(met.mapInArrow(rule_out, "a long, b long, fp_a long, fp_b long"))
+        # Texts are shuffled rather than their hashes, which don't compress.
+        whole = texts.join(keys_of(likely), "node", "left_semi").dropDuplicates(["node"])
+        both = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("fp_a", "fp_b", "x", "y")
+        return cut(both.mapInArrow(compare, "a long, b long").distinct())
+
+    filed = texts.mapInArrow(file, "key long, node long, n int, at int")
+    met = cut(filed.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pair, "a long, b long, key long, n int, at int").distinct())
+    first = verified(met.where("b is not null").select("a", "b"), rooted(connected_components(links)))
+    large = met.where("b is null").select("key", F.col("a").alias("node"), "n", "at")
+    if large.isEmpty():
+        return first
+    known = rooted(connected_components(links.unionByName(first)))
+    placed = large.join(known.select("node", "root"), "node")
+    parted = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+    rest = placed.join(parted, "key", "left_semi").join(known.select("node", "bits"), "node").select("key", "node", "n", "at", "root", "bits")
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of different components within a key; the rows of the largest component are not compared with each other."""
+        for t in whole_keys(batches):
+            key, node, n, at, root = (c.to_numpy() for c in t.columns[:5])
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            out = [[], []]
+            for first, last in zip(edge[:-1], edge[1:], strict=True):
+                names, counts = np.unique(root[first:last], return_counts=True)
+                largest = names[counts.argmax()]
+                for i in (first + np.flatnonzero(root[first:last] != largest)).tolist():
+                    j = np.arange(first, last)
+                    j = j[(root[j] != root[i]) & ((root[j] == largest) | (j > i))]
+                    j = j[rule.sizes(n[j], n[i]) & rule.places(n[j], at[j], n[i], at[i])]
+                    j = j[rule.bits(bits[j], bits[i], n[j] + n[i])]
+                    a, b = ordered(node[j], np.full(len(j), node[i]))
+                    out[0].append(a)
+                    out[1].append(b)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b"])
+
+    more = cut(rest.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(cross, "a long, b long").distinct())
+    return first if more.isEmpty() else first.unionByName(verified(more, known))

@@ -116,3 +116,81 @@ def test_query_by_brute_force(spark):
     want = groups_by_hand(prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op4_pigeonring_simhash"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {d: (f"{prints[d]:016x}", want[d]) for d in docs}
+
+
+def test_large_keys_are_split(spark, monkeypatch):
+    """With keys of at most 20 fingerprints, groups of near copies go on to quarters of their bits and lose no link."""
+    from lexwind.llm import simhash
+
+    monkeypatch.setattr(simhash, "MOST", 20)
+    draw = random.Random(9)
+    prints = close_prints(draw, 400, 2, 7) + [draw.getrandbits(64) for _ in range(100)]
+    keys = np.repeat(np.arange(3), [10, 90, 15])
+    import pyarrow as pa
+
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.array(prints[:115], dtype=np.uint64).view(np.int64)[a:b]), pa.array(np.zeros(115, dtype=np.int64)[a:b])], names=["key", "fp", "agreed"])
+    for cuts in ([0, 115], [0, 5, 15, 40, 41, 100, 103, 115]):
+        out = list(simhash.links_of(batch(a, b) for a, b in zip(cuts, cuts[1:], strict=False)))
+        assert sum(x.num_rows for x in out if x.column(2).null_count == 0 and x.num_rows) == 90
+    monkeypatch.undo()
+    assert all(len({q for q in simhash.quarters(int(m))}) == 4 for m in simhash.ring_masks())
+
+
+def test_split_keys_give_the_same_components(spark):
+    """The same links whether or not keys are split: MOST is set where the workers read it."""
+    import pyarrow as pa
+
+    from lexwind.llm import simhash
+
+    draw = random.Random(10)
+    prints = sorted(set(close_prints(draw, 300, 2, 6)))
+    fps = np.array(prints, dtype=np.uint64)
+    links, agreed, most = [], [int(m) for m in simhash.ring_masks()], simhash.MOST
+    try:
+        simhash.MOST = 12
+        rows = [(m, int(f)) for f in prints for m in agreed]
+        rounds = 0
+        while rows:
+            rounds += 1
+            rows.sort(key=lambda r: (r[0], r[0] & r[1], r[1]))
+            key = np.cumsum([0] + [int(a[0] != b[0] or a[0] & a[1] != b[0] & b[1]) for a, b in zip(rows, rows[1:], strict=False)])
+            batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array([f for _, f in rows], dtype=np.uint64).view(np.int64)), pa.array(np.array([m for m, _ in rows], dtype=np.uint64).view(np.int64))], names=["key", "fp", "agreed"])
+            rows = []
+            for out in simhash.links_of(iter([batch.slice(0, 700), batch.slice(700)])):
+                for a, b, m in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    if m is None:
+                        links.append((a % (1 << 64), b % (1 << 64)))
+                    else:
+                        rows += [(q, a % (1 << 64)) for q in simhash.quarters(m % (1 << 64))]
+    finally:
+        simhash.MOST = most
+    assert rounds > 2 and all((a ^ b).bit_count() <= 3 for a, b in links)
+    label = {int(f): int(f) for f in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    assert label == groups_by_hand({p: p for p in prints})
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_rows_that_share_an_id_are_told_apart(spark, order):
+    one, other = "a text of its own about the sea and ships", "quite another text that speaks of mountains only"
+    rows = [(7, one), (7, other), (3, one)]
+    rows = rows[order:] + rows[:order]
+    out = keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + order)).collect()
+    assert sorted(map(tuple, out)) == [(3, one), (7, other)]
+    out = keep_representatives(spark.createDataFrame([r for r in rows if r[0] == 7], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [(7, one), (7, other)]
+
+
+def test_representatives_are_the_same_after_repartitioning(spark):
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(40)}" for _ in range(12)) for _ in range(30)]
+    rows = [(draw.randrange(8), draw.choice(texts), draw.choice("ab"), {"k": draw.randrange(2)}) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, more map<string,int>")
+    kept = [sorted(map(str, keep_representatives(df.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == len({r[1] for r in rows})
