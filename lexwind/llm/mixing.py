@@ -6,20 +6,23 @@ are paired and probability mass moves between them in a random direction, weight
 expected words stay the same, until one of them is 0 or 1; the other goes on to the next pair. Every chance so stays
 as it was, and the words taken stay at the target but for the last document left over.
 
-The work is a reduction tree: sources are cut into chunks of bounded size by the hash of the id, every chunk is rounded
-in one task down to a single left-over document, and the left-overs are rounded together, level by level, until a
-source has one, which a fair draw decides. Draws are hashes of the ids, so reruns agree however rows are partitioned.
+Equal rows are paired with each other first: of n rows with the chance p, floor(n * p) get their copy and one is left
+over with the fraction, so a row that comes very often is one entry from there on. The rest is a reduction tree: sources
+are cut into chunks of bounded size by the hash of the row, every chunk is rounded in one task down to a single left-over
+document, and the left-overs are rounded together, level by level, until a source has one, which a fair draw decides.
+Draws are hashes of the rows, so reruns agree however rows are partitioned.
 """
 
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexwind.llm.common import attach, cut, pick
+from lexwind.llm.common import KEYS, attach, cut, one_of_each, positional, repeated, row_keys
 
 #: The words of the mix contract: anything but a space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,8 +34,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     Sources in code point order, nulls last, get the weights in turn and share all words. A target stops at `most`
     times its source's size and the excess is shared by weight among the others until none is above: that is the one
     level at which min(most * size, level * weight) add up to all words, found on sources ordered by size over weight.
+    A row a source passes through one task, which is what ordering them takes: sources are names of collections, some
+    millions at most, not addresses. With a column `times` a row counts so often.
     """
-    per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"), F.count("*").alias("n"))
+    times = F.col("times") if "times" in sizes.columns else F.lit(1)
+    per = sizes.groupBy("source").agg(F.coalesce(F.sum(F.col("size") * times), F.lit(0)).cast("long").alias("source_size"), F.count("*").alias("n"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int")))
     per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -77,52 +83,63 @@ def pivotal(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return p
 
 
-def mix_documents(
+def mix_rows(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20, chunk_rows: int = 2_000, fan_in: int = 1_000,
 ) -> DataFrame:
-    """One row per document: doc_id, copy_key, size, source, source_size, target, copies.
+    """One row per distinct row of `docs`: KEYS, doc_id, size, source, source_size, target, times, whole, more.
 
-    A null text has size 0; a document of size 0 gets no copy. The null source is a source of its own. Repeated rows
-    are documents of their own (copy_key tells rows with the same id apart). An empty table gives no rows.
+    The row comes `times` times; each of these gets `whole` copies, and `more` of them get one besides.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = rows.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source", copy_key(F.col("text"), F.col("source")).alias("copy_key"))
-    sized = cut(sized)
-    per = source_targets(sized, weights, most)
+    flat = positional(docs)
+    doc_id, text, source = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col, source_col))
+    sized = flat.select(*row_keys(flat), doc_id.alias("doc_id"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), source.alias("source"))
+    rows = cut(sized.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source")], F.count("*").alias("times")))
+    per = source_targets(rows, weights, most)
     per = cut(per.withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk_rows)).cast("long")).drop("n"))
-    joined = attach(sized, per, ["source"])
+    joined = attach(rows, per, ["source"])
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     whole = F.floor(rate + F.lit(1e-9))
     part = F.when((F.col("size") > 0) & (rate - whole > 1e-9), rate - whole).otherwise(F.lit(0.0))
-    joined = joined.withColumn("copies", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long")).withColumn("p", part)
-    key = F.xxhash64(F.col("doc_id"), F.col("copy_key"), F.lit(seed))
-    joined = joined.withColumn("key", key)
-    sure = joined.where("p = 0").drop("p", "key")
+    joined = joined.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long")).withColumn("p", part * F.col("times"))
+    # Of equal rows all but one are rounded by pairing them with each other.
+    joined = joined.withColumn("more", F.floor(F.col("p") + F.lit(1e-12)).cast("long"))
+    joined = joined.withColumn("p", F.when(F.col("p") - F.col("more") > 1e-9, F.col("p") - F.col("more")).otherwise(F.lit(0.0)))
+    joined = joined.withColumn("key", F.xxhash64(*KEYS, F.lit(seed)))
+    sure = joined.where("p = 0").drop("p", "key", "chunks")
     unsure = joined.where("p > 0")
     # A hot source has as many chunks as its rows need; a small one has one.
     most_chunks = per.agg(F.max("chunks")).first()[0] or 1
     done = [sure]
-    unsure = unsure.withColumn("chunk", F.pmod("key", "chunks"))
+    unsure = unsure.withColumn("chunk", F.pmod("key", "chunks")).drop("chunks")
     while True:
         rounded = cut(unsure.groupBy("source", "chunk").applyInArrow(round_chunk, unsure.schema))
-        done.append(rounded.where("p = 0 or p = 1").withColumn("copies", F.col("copies") + F.col("p").cast("long")).drop("p", "key", "chunk"))
+        done.append(rounded.where("p = 0 or p = 1").withColumn("more", F.col("more") + F.col("p").cast("long")).drop("p", "key", "chunk"))
         left = rounded.where("p > 0 and p < 1")
         if most_chunks == 1:
             break
         most_chunks = math.ceil(most_chunks / fan_in)
         unsure = left.withColumn("chunk", F.floor(F.col("chunk") / F.lit(fan_in)).cast("long"))
     draw = (F.col("key").bitwiseAND((1 << 52) - 1)) / F.lit(float(1 << 52))
-    done.append(left.withColumn("copies", F.col("copies") + F.when(draw < F.col("p"), 1).otherwise(0)).drop("p", "key", "chunk"))
+    done.append(left.withColumn("more", F.col("more") + F.when(draw < F.col("p"), 1).otherwise(0)).drop("p", "key", "chunk"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "copy_key", "size", "source", "source_size", "target", "copies")
+    return out.select(*KEYS, "doc_id", "size", "source", "source_size", "target", "times", "whole", "more")
+
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, copies. Options are those of `mix_rows`.
 
-def copy_key(text, source):
-    """Tells rows apart that share an id."""
-    return F.xxhash64(text, source)
+    A null text has size 0; a document of size 0 gets no copy. Texts of any length are counted whole. The null source is a
+    source of its own. Repeated rows are documents of their own, with copies that may differ by one; rows that share only
+    the id are told apart. Extra columns do no harm. An empty table gives no rows.
+    """
+    rows = mix_rows(docs, **options)
+    kinds = F.array(F.struct(F.col("more").alias("times"), (F.col("whole") + 1).alias("copies")), F.struct((F.col("times") - F.col("more")).alias("times"), F.col("whole").alias("copies")))
+    kept = [*KEYS, "doc_id", "size", "source", "source_size", "target"]
+    split = rows.select(*kept, F.explode(kinds).alias("kind")).select(*kept, "kind.times", "kind.copies")
+    return repeated(split, "times").select("doc_id", "size", "source", "source_size", "target", "copies")
 
 
 def round_chunk(rows: pa.Table) -> pa.Table:
@@ -133,17 +150,12 @@ def round_chunk(rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.column_names.index("p"), "p", pa.array(p))
 
 
-def materialise(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, each repeated as often as the mix says.
+def materialise(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `docs`, each repeated as often as the mix says; `rows` are those that `mix_rows` gives for the same table.
 
-    Rows that share id, text and source are alike, so their copies are given to them in turn.
+    Of equal rows one stands for all, so only it is repeated; a row with very many copies is dealt over the tasks first.
+    Nulls, empty and very long texts and extra columns stay as they are; an empty table gives no rows.
     """
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    i, t, s = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
-    keyed = flat.withColumn("_key", F.xxhash64(F.col(i), copy_key(F.col(t), F.col(s))))
-    alike = Window.partitionBy("_key").orderBy("_key")
-    keyed = keyed.withColumn("_nth", F.row_number().over(alike))
-    counts = mix.where("copies > 0").select(F.xxhash64("doc_id", "copy_key").alias("_key"), "copies")
-    counts = counts.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("copies").desc())))
-    repeated = keyed.join(counts, ["_key", "_nth"]).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[f"_c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+    taken = cut(rows.select(*KEYS, (F.col("times") * F.col("whole") + F.col("more")).alias("_copies"), F.col("times").alias("n")).where("_copies > 0"))
+    flat = positional(docs)
+    return repeated(one_of_each(flat.select("*", *row_keys(flat)), taken), "_copies").select(*flat.columns).toDF(*docs.columns)
