@@ -4,14 +4,17 @@ Every document gets counts, then a vector of transformed rates (FEATURES). For e
 covariance determinant (MCD) estimate describes the usual documents; a document whose Mahalanobis distance from it
 exceeds a chi-square quantile is rejected.
 
-MCD: from deterministic robust starts (median and MAD; median and the covariance of directions), concentration steps
-take the mean and covariance of the `support` share of rows nearest by the previous estimate. Each step is one pass
-over the small feature table: Spark sums moments by cell, start and distance bucket (32 buckets a doubling), so that
-no group is ever gathered in a task, however many rows it holds; the share then follows from the bucket sums. The
-start with the smaller determinant wins, its covariance is made consistent by the median distance, and one reweighting
-step ends the estimate. A ridge on the variances keeps groups regular in which most rates are zero.
-
-Groups with under `min_rows` rows are pooled by language, languages with under `min_rows` such rows are pooled together.
+MCD: from three deterministic robust starts (median and MAD; median and the covariance of directions; median and the
+covariance of tanh scores), concentration steps take the mean and covariance of the `support` share of rows nearest by the
+previous estimate, until no determinant falls any more (or `most_steps`). Each step is one pass over the small feature
+table: Spark sums moments by cell, start and distance bucket (32 buckets a doubling), so that no group is ever gathered
+in a task, however many rows it holds; the share then follows from the bucket sums. The start with the smallest
+determinant wins, its covariance is made consistent by the median distance, and one reweighting step ends the estimate.
+A ridge on the variances keeps groups regular in which most rates are zero.
+
+Estimates are made for each language and source, for each language and for everything, and small groups lean on larger
+ones without a threshold: a language takes in `prior_rows` pseudo-rows of everything, and a language and source so many of
+its language, so that a group of a few rows is judged by its language and one of a million by itself.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwind.llm.common import attach, cut, pick, text_batches
+from lexwind.llm.common import attach, cut, pick, positional, text_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_upper", "f_marks")
@@ -147,15 +150,15 @@ def chi_square_quantile(q: float, d: int = D) -> float:
 
 PARAMS = T.StructType([
     T.StructField("cell", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("log_det", T.DoubleType()),
-    T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType())),
+    T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("cov", T.ArrayType(T.DoubleType())),
 ])
 
 
 def described(cell: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
-    cov = cov + np.diag(np.square(RIDGE))
-    inverse = np.linalg.inv(cov)
+    ridged = cov + np.diag(np.square(RIDGE))
+    inverse = np.linalg.inv(ridged)
     packed = [float(inverse[i, j] * (1 if i == j else 2)) for i, j in PAIRS]
-    return {"cell": cell, "start": start, "n": n, "log_det": float(np.linalg.slogdet(cov)[1]), "mean": mean.tolist(), "inverse": packed}
+    return {"cell": cell, "start": start, "n": n, "log_det": float(np.linalg.slogdet(ridged)[1]), "mean": mean.tolist(), "inverse": packed, "cov": [float(cov[i, j]) for i, j in PAIRS]}
 
 
 def moments_of(g: dict[str, np.ndarray], share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +192,13 @@ def reweight(g: dict[str, np.ndarray], inner: float) -> tuple[np.ndarray, np.nda
 
 
 def params_table(rows: list[dict]) -> pa.Table:
-    kinds = {"cell": pa.string(), "start": pa.int32(), "n": pa.int64(), "log_det": pa.float64(), "mean": pa.list_(pa.float64()), "inverse": pa.list_(pa.float64())}
+    kinds = {"cell": pa.string(), "start": pa.int32(), "n": pa.int64(), "log_det": pa.float64(), "mean": pa.list_(pa.float64()), "inverse": pa.list_(pa.float64()), "cov": pa.list_(pa.float64())}
     return pa.table({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
 
 
 def bucket_sums(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Moments by cell, start and bucket of distance under the parameters."""
-    near = attach(rows, params, ["cell"], "inner").withColumn("bucket", F.floor(F.log2(distance(F.col("mean"), F.col("inverse")) + F.lit(1e-9)) * BUCKETS).cast("int"))
+    near = attach(rows, params.select("cell", "start", "mean", "inverse"), ["cell"], "inner").withColumn("bucket", F.floor(F.log2(distance(F.col("mean"), F.col("inverse")) + F.lit(1e-9)) * BUCKETS).cast("int"))
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i, j in PAIRS]
     return near.groupBy("cell", "start", "bucket").agg(F.count("*").alias("n"), *sums)
 
@@ -220,12 +223,13 @@ def medians(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """Two deterministic estimates a cell: the median with the MAD, and with the covariance of directions from it."""
+    """Deterministic estimates a cell around the median: with the MAD, with the covariance of directions, with that of tanh scores."""
     middle = cut(medians(rows, list(FEATURES)).withColumnsRenamed({f: f"m{i}" for i, f in enumerate(FEATURES)}))
     placed = attach(rows, middle, ["cell"], "inner")
     centred = placed.select("cell", *[((F.col(f) - F.col(f"m{i}")) / F.lit(RIDGE[i])).alias(f"c{i}") for i, f in enumerate(FEATURES)])
     norm = F.greatest(sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(D)), F.lit(0.0)), F.lit(1e-9))
-    directions = centred.groupBy("cell").agg(*[F.avg(F.col(f"c{i}") * F.col(f"c{j}") / norm).alias(f"s{i}_{j}") for i, j in PAIRS])
+    directions = centred.groupBy("cell").agg(
+        *[F.avg(F.col(f"c{i}") * F.col(f"c{j}") / norm).alias(f"s{i}_{j}") for i, j in PAIRS], *[F.avg(F.tanh(f"c{i}") * F.tanh(f"c{j}")).alias(f"t{i}_{j}") for i, j in PAIRS])
     deviations = medians(centred.select("cell", *[F.abs(f"c{i}").alias(f"d{i}") for i in range(D)]), [f"d{i}" for i in range(D)]).drop("n")
     spread = middle.join(directions, "cell").join(deviations, "cell")  # a row a cell on each side
 
@@ -236,39 +240,80 @@ def starts(rows: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 mean = np.array([r[f"m{i}"] for i in range(D)])
                 mad = np.array([1.4826 * r[f"d{i}"] for i in range(D)]) * ridge
-                sign = np.zeros((D, D))
+                sign, soft = np.zeros((D, D)), np.zeros((D, D))
                 for i, j in PAIRS:
                     sign[i, j] = sign[j, i] = r[f"s{i}_{j}"] * D * ridge[i] * ridge[j]
-                made += [described(r["cell"], 0, r["n"], mean, np.diag(mad**2)), described(r["cell"], 1, r["n"], mean, sign)]
+                    soft[i, j] = soft[j, i] = r[f"t{i}_{j}"] * ridge[i] * ridge[j]
+                made += [described(r["cell"], k, r["n"], mean, cov) for k, cov in enumerate((np.diag(mad**2), sign, soft))]
             yield from params_table(made).to_batches()
 
     return cut(spread.mapInArrow(begin, PARAMS))
 
 
-def name_cells(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Adds cell: language and source, or the language where those are too few, or one cell for what is still too little."""
-    label = lambda *c: F.to_json(F.struct(*c))
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = sizes.where(F.col("n") < min_rows).groupBy("lang").agg(F.sum("n").alias("pooled"))
-    cells = attach(cut(sizes), cut(pooled), ["lang"]).select(
-        "lang", "source",
-        F.when(F.col("n") >= min_rows, label(F.lit(2).alias("by"), "lang", "source")).when(F.col("pooled") >= min_rows, label(F.lit(1).alias("by"), "lang")).otherwise(F.lit("{}")).alias("cell"),
-    )
-    return attach(rows, cut(cells), ["lang", "source"], "inner")
+LEVELS = ("cell", "cell_lang", "cell_all")
 
 
-def fit_outliers(counts: DataFrame, *, support: float = 0.7, steps: int = 4, inner: float = 0.99, min_rows: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(rows with their cell, parameters a cell) from a table of lang, source and COUNTS.
+def name_cells(rows: DataFrame) -> DataFrame:
+    """Adds LEVELS: the names of a row's groups by language and source, by language, and of everything."""
+    label = lambda by, *c: F.to_json(F.struct(F.lit(by).alias("by"), *c))
+    return rows.withColumns(dict(zip(LEVELS, (label(2, "lang", "source"), label(1, "lang"), label(0)), strict=True)))
 
-    Documents that fail the base rules take no part in the estimates.
-    """
-    rows = cut(name_cells(counts.withColumns(dict(zip(FEATURES, features(), strict=True))), min_rows))
-    usual = rows.where(~base_failed()).select("cell", *FEATURES)
+
+def leaning(estimates: list[tuple[float, np.ndarray, np.ndarray]], prior_rows: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the last group (rows, mean, covariance), each taking in pseudo-rows of the one before it."""
+    _, mean, cov = estimates[0]
+    for n, own, own_cov in estimates[1:]:
+        w = n / (n + prior_rows)
+        apart = own - mean
+        mean, cov = w * own + (1 - w) * mean, w * own_cov + (1 - w) * cov + w * (1 - w) * np.outer(apart, apart)
+    return mean, cov
+
+
+def lean_on_larger(cells: DataFrame, params: DataFrame, prior_rows: float) -> DataFrame:
+    """The final parameters of each language and source: its estimate and those of its larger groups, put together."""
+    held = cells
+    for k, level in enumerate(LEVELS):
+        own = params.select(F.col("cell").alias(level), *[F.col(c).alias(f"{c}{k}") for c in ("n", "mean", "cov")])
+        held = attach(held, own, [level])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for r in b.to_pylist():
+                found = []
+                for k in reversed(range(len(LEVELS))):
+                    if r[f"n{k}"]:
+                        cov = np.zeros((D, D))
+                        for (i, j), v in zip(PAIRS, r[f"cov{k}"], strict=True):
+                            cov[i, j] = cov[j, i] = v
+                        found.append((r[f"n{k}"], np.array(r[f"mean{k}"]), cov))
+                if found:
+                    made.append(described(r["cell"], 0, r["n0"] or 0, *leaning(found, prior_rows)))
+            yield from params_table(made).to_batches()
+
+    return cut(held.mapInArrow(put_together, PARAMS))
+
+
+def fit_outliers(
+    counts: DataFrame, *, support: float = 0.7, most_steps: int = 20, settled: float = 0.05, inner: float = 0.99, prior_rows: float = 100.0,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their cell, final parameters a cell) from a table of lang, source and COUNTS.
+
+    Documents that fail the base rules take no part in the estimates. Steps end when no logarithm of a determinant has
+    fallen by over `settled`.
+    """
+    rows = cut(name_cells(counts.withColumns(dict(zip(FEATURES, features(), strict=True)))))
+    cells = cut(rows.select(*LEVELS).distinct())
+    usual = rows.where(~base_failed()).select(F.explode(F.array(*LEVELS)).alias("cell"), *FEATURES)
     params = starts(usual)
-    for _ in range(steps):
+    for _ in range(most_steps):
+        before = params.select("cell", "start", F.col("log_det").alias("was"))
         params = step(usual, params, concentrate, support)
+        fell = params.join(before, ["cell", "start"]).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
+        if fell is None or fell <= settled:
+            break
     best = params.groupBy("cell").agg(F.min_by(F.struct(*PARAMS.names[1:]), F.struct("log_det", "start")).alias("best")).select("cell", "best.*")
-    return rows, step(usual, cut(best), reweight, inner)
+    return rows, lean_on_larger(cells, step(usual, cut(best), reweight, inner), prior_rows)
 
 
 def judge(rows: DataFrame, params: DataFrame, quantile: float) -> DataFrame:
@@ -281,8 +326,9 @@ def judge(rows: DataFrame, params: DataFrame, quantile: float) -> DataFrame:
 def robust_outliers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = 0.99999, **fit: float) -> DataFrame:
     """One row per document: doc_id, lang, source, COUNTS, FEATURES, cell, base_failed, distance, kept.
 
-    A null or empty text has no words and fails the base rules. Null languages and sources are groups of their own.
-    Repeated rows count as often as they come. An empty table gives no rows.
+    A null or empty text has no words and fails the base rules; texts of any length are counted whole. Null languages and
+    sources are groups of their own. Repeated rows count as often as they come; rows at equal distances are treated alike.
+    Extra columns do no harm. An empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col)
     counts = cut(with_counts(rows, "text", ["doc_id", "lang", "source"]))
@@ -290,8 +336,12 @@ def robust_outliers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_usual(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = 0.99999, **fit: float) -> DataFrame:
-    """The rows of `docs` that are kept, whole. Counts are taken a second time on the way, which spares shuffling texts."""
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    """The rows of `docs` that `robust_outliers` keeps, whole, repeated ones as often as they come.
+
+    Counts are taken a second time on the way, which spares shuffling and storing texts. Rows with null or empty texts
+    go; other nulls and extra columns stay as they are; an empty table gives no rows.
+    """
+    flat = positional(docs)
     text, lang, source = (f"_c{docs.columns.index(c)}" for c in (text_col, lang_col, source_col))
     light = with_counts(flat.select(text, lang, source), text, [lang, source]).withColumnsRenamed({lang: "lang", source: "source"})
     rows, params = fit_outliers(cut(light), **fit)
