@@ -3,11 +3,16 @@
 Turns are marked as `<turn ROLE>TEXT</turn>` and a line feed; `&`, `<` and `>` inside roles and texts are written as
 `&amp;`, `&lt;` and `&gt;`, so no text can close a turn and every text can be read back.
 
-Prefix sums of the turns' tokens choose the windows: the tokens that the system turn and the history leave over in the
-budget are halved into a grid, and a turn belongs to the cell in which it starts, so that windows are cut between turns
-only and stay within the budget. A turn larger than half of that room has a window of its own. Every window
-repeats the system turn and, after it, the last turns of the window before as far as the history budget reaches. The
-repeated turns are masked: only an assistant turn's first appearance is a target of the loss.
+Prefix sums of the turns' tokens choose the windows. The room is what the system turn and the history leave over in the
+budget. A turn over half of it has a window of its own; the others are cut by a grid as wide as the room less the
+conversation's largest such turn, and a turn belongs to the cell in which it starts, so that windows are cut between
+turns only and stay within the budget. Every window repeats the system turn and, after it, the last turns of the window
+before as far as the history budget reaches. The repeated turns are masked: only an assistant turn's first appearance is
+a target of the loss.
+
+Tokens are counted as the bytes of the formatted turn, which is the most that any byte-level vocabulary can make of it, so
+a window never has more tokens than the budget, whatever the vocabulary. The one exception can't be cut between turns: a
+turn that is larger than the room alone. Its window is whole and flagged as `over_budget`.
 
 Everything is window functions over one conversation's turns, and what is gathered is one window's turns at a time.
 """
@@ -28,26 +33,27 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
-def estimated_tokens(formatted: Column) -> Column:
-    """A token for each three bytes begun, an upper estimate for byte-level vocabularies on prose."""
-    return F.ceil(F.octet_length(formatted) / F.lit(3)).cast("long")
+def most_tokens(formatted: Column) -> Column:
+    """Bytes, since a token of a byte-level vocabulary stands for at least one."""
+    return F.octet_length(formatted).cast("long")
 
 
 def format_chat(
     turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = 1024, history: int = 128, target_role: str = "assistant", system_role: str = "system",
+    budget: int = 3072, history: int = 384, target_role: str = "assistant", system_role: str = "system",
 ) -> DataFrame:
-    """One row per window: conv_id, window_id (gapless from 0), n_repeated (its leading repeated turns), formatted, loss_spans.
+    """One row per window: conv_id, window_id (gapless from 0), n_repeated (its leading repeated turns), formatted, loss_spans, over_budget.
 
     loss_spans are (start, end) code points in `formatted`, end exclusive. The system turn is a conversation's first
     turn if that has the system role. Null texts and roles count as empty; rows go by turn (nulls first), then role
-    and text; repeated rows are turns of their own; rows with a null conversation form one. Empty tables give no rows.
-    A system turn of over half of the budget is still repeated, and windows then hold one turn each.
+    and text; repeated rows are turns of their own; rows with a null conversation form one; extra columns do no harm.
+    Empty tables give no rows. A system turn that leaves no room is still repeated, and windows then hold one turn each;
+    these and very long turns make windows over the budget, which `over_budget` tells.
     """
     rows = pick(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     marked = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">"), escaped(F.col("text")), F.lit("</turn>\n"))
-    rows = rows.select("conv_id", "turn", "role", "text", marked.alias("out")).withColumn("tokens", estimated_tokens(F.col("out")))
+    rows = rows.select("conv_id", "turn", "role", "text", marked.alias("out")).withColumn("tokens", most_tokens(F.col("out")))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("nth", F.row_number().over(order))
     is_system = (F.col("nth") == 1) & (F.col("role") == system_role)
@@ -57,9 +63,11 @@ def format_chat(
         "start": F.coalesce(F.sum(F.when(is_system, 0).otherwise(F.col("tokens"))).over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "is_system": is_system,
     })
-    room = F.greatest(F.lit(1.0), (F.lit(budget - history) - F.col("system_tokens")) / 2)
+    rows = rows.withColumn("room", F.greatest(F.lit(2).cast("long"), F.lit(budget - history) - F.col("system_tokens")))
+    rows = rows.withColumn("large", 2 * F.col("tokens") > F.col("room"))
+    largest = F.max(F.when(~F.col("large") & ~F.col("is_system"), F.col("tokens"))).over(Window.partitionBy("conv_id"))
     # A large turn opens a window and so does the turn after it; else the grid decides.
-    rows = rows.withColumns({"cell": F.floor(F.col("start") / room), "large": F.col("tokens") > room})
+    rows = rows.withColumn("cell", F.floor(F.col("start") / (F.col("room") - F.coalesce(largest, F.lit(0)))))
     opens = (F.col("nth") > 1) & ~F.lag("is_system", 1, False).over(by_turn) & ((F.lag("cell").over(by_turn) != F.col("cell")) | F.col("large") | F.lag("large").over(by_turn))
     rows = rows.withColumn("opens", F.when(opens, 1).otherwise(0)).withColumn("window_id", F.sum("opens").over(by_turn))
     # Tokens from this turn to the end of its window: within the history budget it is repeated in the next window.
@@ -93,7 +101,8 @@ def format_chat(
         lambda acc: acc["spans"])
     return grouped.select(
         "conv_id", "window_id", (F.col("n_history") + F.col("system_out").isNotNull().cast("int")).cast("long").alias("n_repeated"),
-        F.concat("prefix", F.array_join(F.transform("turns", lambda t: t["out"]), "")).alias("formatted"), spans.alias("loss_spans"))
+        F.concat("prefix", F.array_join(F.transform("turns", lambda t: t["out"]), "")).alias("formatted"), spans.alias("loss_spans")
+    ).withColumn("over_budget", F.octet_length("formatted") > budget)
 
 
 def read_back(windows: DataFrame) -> DataFrame:

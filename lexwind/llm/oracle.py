@@ -8,8 +8,11 @@ URLS = r"""
 WITH parsed AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, url FROM pages),
-keyed AS (SELECT *, host || regexp_replace(path, '(\.html)?/*$', '') AS key FROM parsed),
-listed AS (SELECT DISTINCT key FROM keyed WHERE url LIKE 'http://%'),
+asked AS (SELECT *, lower(regexp_extract(url, '^(?s:(.*?))://', 1)) AS scheme,
+  list_sort(list_filter(string_split(regexp_extract(url, '^(?s:.*?)://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '')) AS parameters FROM parsed),
+keyed AS (SELECT page_id, host, path, url, CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END
+  || regexp_replace(path, '(\.html)?/*$', '') || CASE WHEN len(parameters) > 0 THEN '?' || array_to_string(parameters, '&') ELSE '' END AS key FROM asked),
+listed AS (SELECT DISTINCT key FROM keyed WHERE url LIKE 'http://%' AND key <> ''),
 rules(verdict, rule, rule_host, rule_path) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 won AS (
@@ -27,25 +30,26 @@ CHAT = rf"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 made AS (SELECT *, '<turn ' || {escaped("role")} || '>' || {escaped("text")} || '</turn>' || chr(10) AS out, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM turns),
-counted AS (SELECT *, CAST(ceil(strlen(out) / 3.0) AS BIGINT) AS tokens, nth = 1 AND role = 'system' AS is_system FROM made),
+counted AS (SELECT *, strlen(out) AS tokens, nth = 1 AND role = 'system' AS is_system FROM made),
 summed AS (SELECT *, first_value(CASE WHEN is_system THEN tokens ELSE 0 END) OVER c AS system_tokens, first_value(CASE WHEN is_system THEN length(out) ELSE 0 END) OVER c AS system_chars,
   coalesce(sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counted WINDOW c AS (PARTITION BY conv_id ORDER BY nth)),
-grid AS (SELECT *, greatest(CAST(1 AS DOUBLE), CAST(896 - system_tokens AS DOUBLE) / 2) AS room FROM summed),
-placed AS (SELECT *, floor(CAST(start AS DOUBLE) / room) AS cell, tokens > room AS large FROM grid),
+room AS (SELECT *, greatest(2, 2688 - system_tokens) AS room FROM summed),
+grid AS (SELECT *, 2 * tokens > room AS large FROM room),
+placed AS (SELECT *, floor(CAST(start AS DOUBLE) / (room - coalesce(max(tokens) FILTER (NOT large AND NOT is_system) OVER (PARTITION BY conv_id), 0))) AS cell FROM grid),
 opened AS (SELECT *, CASE WHEN nth > 1 AND NOT lag(is_system, 1, false) OVER c AND (lag(cell) OVER c <> cell OR large OR lag(large) OVER c) THEN 1 ELSE 0 END AS opens FROM placed WINDOW c AS (PARTITION BY conv_id ORDER BY nth)),
 windowed AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY nth) AS window_id FROM opened),
 ended AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id, window_id ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS to_end, max(window_id) OVER (PARTITION BY conv_id) AS last_window FROM windowed)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(out)) + coalesce(sum(length(out)) FILTER (NOT is_system AND to_end <= 128 AND window_id < last_window), 0) + max(last_window) * max(system_chars) AS BIGINT) AS formatted_chars
+  CAST(sum(length(out)) + coalesce(sum(length(out)) FILTER (NOT is_system AND to_end <= 384 AND window_id < last_window), 0) + max(last_window) * max(system_chars) AS BIGINT) AS formatted_chars
 FROM ended GROUP BY conv_id"""
 
 TOP_K = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
 

@@ -4,8 +4,12 @@ Rules decide first. Every other URL is judged by a list of canonical URLs: a blo
 URL sets BITS_SET bits within one block of 256 bits) passes possible hits, and an exact hash join of these with the
 list removes the false positives, so that only few rows take part in the join.
 
-The filter has a known size before it is built (`bits_per_url` bits a listed URL, in blocks), so it is broadcast up to
-`broadcast_blocks` blocks and joined by block number beyond that.
+The filter has a known size before it is built (`bits_per_url` bits a listed URL, in blocks). Its bits are packed, 1024
+blocks a row, and broadcast up to `broadcast_bytes` of bits: 256 MB hold 134 million listed URLs at 16 bits. Beyond that
+each distinct URL asks the block it belongs to in a shuffled join.
+
+URLs are compared in canonical form: host in lower case without the scheme's own port, path without a `.html` ending and
+closing slashes, query parameters sorted; scheme and fragment don't count.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexwind.llm.common import cut, pick
 
-WORDS, BITS_SET, SALTS = 4, 6, 16
+WORDS, BITS_SET, SALTS, PACKED = 4, 6, 16, 1024
 
 
 def host_of(url: Column) -> Column:
@@ -30,8 +34,14 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """host and path without scheme, query, fragment, a `.html` ending and closing slashes; empty without ://."""
-    return F.concat(host_of(url), F.regexp_replace(path_of(url), r"(\.html)?/*$", ""))
+    """The form in which URLs are compared (see above); empty without ://."""
+    scheme = F.lower(F.regexp_extract(url, r"^(?s:(.*?))://", 1))
+    host = host_of(url)
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    asked = F.regexp_extract(url, r"^(?s:.*?)://[^?#]*\?([^#]*)", 1)
+    parameters = F.array_join(F.array_sort(F.filter(F.split(asked, "&"), lambda p: p != "")), "&")
+    query = F.when(parameters != "", F.concat(F.lit("?"), parameters)).otherwise(F.lit(""))
+    return F.coalesce(F.concat(host, F.regexp_replace(path_of(url), r"(\.html)?/*$", ""), query), F.lit(""))
 
 
 def winning_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -68,14 +78,24 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[F.bit_or(f"m{w}").alias(f"m{w}") for w in range(WORDS)])
 
 
+def packed(bloom: DataFrame) -> DataFrame:
+    """(chunk, bits): PACKED blocks a row as one array of longs; blocks without a key are zeros."""
+    blocks = bloom.select(
+        F.floor(F.col("block") / F.lit(PACKED)).cast("long").alias("chunk"), (F.col("block") % PACKED).cast("int").alias("at"), F.array(*[f"m{w}" for w in range(WORDS)]).alias("m"))
+    held = blocks.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("held"))  # at most PACKED
+    none = F.array(*[F.lit(0).cast("long")] * WORDS)
+    return held.select("chunk", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PACKED - 1)), lambda i: F.coalesce(F.try_element_at("held", i), none))).alias("bits"))
+
+
 def filter_urls(
     pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url",
-    listed_url_col: str = "url", listed_verdict: str = "block", default: str = "allow", bits_per_url: int = 16, broadcast_blocks: int = 1 << 16,
+    listed_url_col: str = "url", listed_verdict: str = "block", default: str = "allow", bits_per_url: int = 16, broadcast_bytes: int = 256 << 20,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, maybe_listed (the filter's answer), listed (the exact one).
 
     A null URL or one without :// has an empty host and path, meets no rule and is never listed. Repeated pages and
-    list entries don't matter; an empty list allows what no rule blocks; an empty table gives no rows.
+    list entries don't matter; an empty list allows what no rule blocks; URLs of any length and extra columns do no
+    harm; an empty table gives no rows.
     """
     rows = pick(pages, page_id=id_col, url=url_col)
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("key"))
@@ -85,16 +105,23 @@ def filter_urls(
     blocks = max(1, keys.count() * bits_per_url // (64 * WORDS))
     bloom = bloom_filter(keys, blocks)
     asked = F.col("rule").isNull() & (F.col("key") != "")
-    held = F.lit(True)
-    for w, mask in enumerate(masks_of(F.col("key"))):
-        held = held & (F.col(f"m{w}").bitwiseAND(mask) == mask)
-    block = block_of(F.col("key"), blocks).alias("block")
-    if blocks <= broadcast_blocks:
-        probed = rows.withColumn("block", F.when(asked, block)).join(F.broadcast(bloom), "block", "left").withColumn("meets", F.coalesce(asked & held, F.lit(False)))
+    block = block_of(F.col("key"), blocks)
+    masks = masks_of(F.col("key"))
+    if blocks * WORDS * 8 <= broadcast_bytes:
+        first = (F.col("block") % PACKED).cast("int") * WORDS
+        held = F.lit(True)
+        for w, mask in enumerate(masks):
+            held = held & (F.get("bits", first + w).bitwiseAND(mask) == mask)
+        placed = rows.withColumn("block", F.when(asked, block)).withColumn("chunk", F.floor(F.col("block") / F.lit(PACKED)).cast("long"))
+        probed = placed.join(F.broadcast(packed(bloom)), "chunk", "left").withColumn("meets", F.coalesce(asked & held, F.lit(False)))
+        probed = probed.select("page_id", "host", "path", "key", "rule", "ruled", "meets")
         possible = probed.where("meets").select("key").distinct()
-    else:  # too large to broadcast: ask for each distinct URL once, so that a hot one is no hot block
+    else:  # ask for each distinct URL once, so that a hot one is no hot block
+        held = F.lit(True)
+        for w, mask in enumerate(masks):
+            held = held & (F.col(f"m{w}").bitwiseAND(mask) == mask)
         probed = rows.withColumn("meets", asked)
-        possible = rows.where(asked).select("key", block).distinct().join(bloom.hint("shuffle_hash"), "block").where(held).select("key")
+        possible = rows.where(asked).select("key", block.alias("block")).distinct().join(bloom.hint("shuffle_hash"), "block").where(held).select("key")
     # The exact hash join is built from the few possible hits. Answers go back to the pages over salts, as a URL may be hot.
     hits = keys.join(possible.hint("shuffle_hash"), "key").withColumn("listed", F.lit(True))
     answers = possible.join(hits, "key", "left").select("key", F.explode(F.sequence(F.expr("0L"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.coalesce("listed", F.lit(False)).alias("listed"))
