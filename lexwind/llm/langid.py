@@ -1,12 +1,14 @@
 """Language identification of mixed-language text (operator 8).
 
-Words are runs of letters; a run of over 64 letters (glued text, scripts without spaces) is several words, one for every
-64 letters. They are scored by hashed character n-grams (naive Bayes); the script of a word's letters narrows the
+Words are runs of letters with the marks that combine with them (vowel signs, accents); a run of over 64 (glued text,
+scripts without spaces) is several words, one for every 64. They are scored by hashed character n-grams (naive Bayes); the script of a word's letters narrows the
 languages that may take it. A Viterbi pass over the words of a text, with a penalty for every switch, labels spans; the
-language with the most letters in its spans is the text's, and its share of the letters is the score.
+language with the most letters in its spans is the text's, and its share of the letters is the score. A word counts
+with the mean score of its n-grams times half of its letters plus one, of which at most 11 letters count: longer
+words say more, but a single long one can't outvote a sentence.
 
-The model is fitted on at most `sample_docs` labelled documents a language (chosen by the hash of their ids); n-gram counts
-are summed by Spark and only the finished table (languages times 2**16 numbers) reaches the driver. Prediction is
+The model is fitted on at most `sample_docs` labelled documents a language (distinct ids and texts, chosen by their hash);
+n-gram counts are summed by Spark and only the finished table (languages times 2**16 numbers) reaches the driver. Prediction is
 one narrow Arrow stage: distinct words are scored once a task, and the Viterbi steps run for all texts of a batch side
 by side.
 """
@@ -14,6 +16,8 @@ by side.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +44,18 @@ SCRIPT_RANGES = (
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other"),
 )
 STARTS = [a for a, _ in SCRIPT_RANGES]
-LETTERS = re.compile(r"[^\W\d_]{1,64}")
+PIECE = 64
+
+
+def mark_class() -> str:
+    """The characters that combine with letters, as ranges of a regular expression's class."""
+    marks = [i for i in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(i)).startswith("M")]
+    first = [m for m, before in zip(marks, [-1, *marks], strict=False) if m != before + 1]
+    last = [m for m, after in zip(marks, [*marks[1:], -1], strict=True) if after != m + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True))
+
+
+LETTERS = re.compile(rf"[^\W\d_]+(?:[{mark_class()}]+[^\W\d_]*)*")
 
 
 def script_of(letters: str) -> str:
@@ -84,20 +99,28 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, longer ones in pieces of 64; signs that only count as numbers make no word."""
-    return [w for w in LETTERS.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
+    """Runs of letters and their marks, longer ones in pieces of 64; signs that only count as numbers make no word."""
+    found = [w for w in LETTERS.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
+    if found and max(map(len, found)) > PIECE:
+        found = [w[a : a + PIECE] for w in found for a in range(0, len(w), PIECE)]
+    return found
 
 
 def fit(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1000, least_share: float = 0.01) -> Model:
-    """Fit on texts with a language where `may_learn` (a condition on the column doc_id) holds."""
+    """Fit on texts with a language where `may_learn` (a condition on the column doc_id) holds.
+
+    Null texts teach nothing, nor do rows without an id or a language; repeated rows count once; very long texts are read
+    whole. An empty table gives a model without languages, which calls every text `und`.
+    """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    learners = rows.select("doc_id", "lang").where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string")))
+    rows = rows.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    learners = rows.select("lang", "draw").distinct()
     # Rows are ranked only below a hash threshold that lets about twice the sample through, however frequent a language is.
     sizes = cut(learners.groupBy("lang").agg(F.count("*").alias("n")))
     through = F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n") < 2 * sample_docs + 100
     near = attach(learners, sizes, ["lang"], "inner").where(through)
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    chosen = cut(near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select("doc_id").distinct())
+    order = Window.partitionBy("lang").orderBy("draw")
+    chosen = cut(near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select("lang", "draw"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -123,8 +146,8 @@ def fit(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_col:
                 values.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.int64())], names=["lang", "kind", "n"])
 
-    # The sample is at most sample_docs ids a language, so it is broadcast.
-    sample = rows.where(may_learn & F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang")
+    # The sample is at most sample_docs rows a language, so it is broadcast; of equal rows one stays.
+    sample = rows.join(F.broadcast(chosen), ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.first("text").alias("text")).select("text", "lang")
     counts = sample.mapInArrow(count, "lang string, kind string, n long").groupBy("lang", "kind").agg(F.sum("n").alias("n")).toPandas()
     return build(counts, least_share)
 
@@ -179,7 +202,8 @@ def identify(
 
     `und` with score 0 and no span if the text is null or has no letters, or if nothing could be learned. Letters of
     a script that no language was learned with take the language around them, or the usual one with score 0. Repeated
-    rows are labelled each for itself; equal scores go to the first language in code point order.
+    rows are labelled each for itself; equal scores go to the first language in code point order; extra columns do no
+    harm; an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import clashing
 from pyspark.sql import functions as F
@@ -11,20 +12,18 @@ from lexwind.llm import topk
 from lexwind.llm.langid import fit, identify, script_of, viterbi
 from lexwind.llm.queries import QUERIES
 from lexwind.llm.secrets import redact, scan_secrets, written
-from lexwind.llm.topk import Shard, top_k
+from lexwind.llm.topk import top_k
 
 
 def best_by_hand(rows, k):
-    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fits = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    kept = [(n, i, [math.floor(64 * x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    asked = {}
-    for i, w in kept:
-        if i % 20 == 0:
-            asked[i] = min(asked.get(i, w), w)
-    for q, w in sorted(asked.items()):
-        scored = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), i) for i, v in kept if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
-    return out
+    for n, q, w in kept:
+        if q % 20 == 0:
+            scored = sorted((-fits(sum(a * b for a, b in zip(w, v, strict=False))), i) for m, i, v in kept if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def test_search_of_all_kinds(spark, monkeypatch):
@@ -40,21 +39,60 @@ def test_search_of_all_kinds(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in few) == best_by_hand([r for r in rows if r[0] in (0, 1, 2)], 20)
 
 
-def test_pruning_keeps_ties_and_skips_hopeless_blocks():
-    draw = np.random.default_rng(1)
-    rows = draw.integers(-40, 40, size=(500, 16))
-    rows[100:200] = rows[3]
-    q = rows[3]
-    held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
-    for a in range(0, 500, 64):
-        held = Shard(np.arange(a, min(a + 64, 500))[::-1], rows[a : a + 64][::-1]).search(3, q, 20, held)
-    scores = rows @ q
-    want = sorted((-int(s), i) for i, s in enumerate(scores.tolist()) if i != 3)[:20]
-    assert list(zip((-held[1]).tolist(), held[0].tolist(), strict=True)) == want
-    assert Shard(np.arange(5), np.zeros((5, 16), dtype=np.int64)).search(3, q, 20, (held[0], held[1] + 10**9))[0] is held[0]
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(0, [1e7, 0.0]), (1, [1e7, 0.0]), (2, [2e7, 0.0]), (3, [5e6, 0.0]), (20, [1e150, 1.0]), (21, [-1e150, 2.0]), (40, [3.0e8, 1.0]), (41, [3.0e8, 2.0]), (42, [3.0e8, 3.0])]
+    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()))
+    assert got == best_by_hand(rows, 20)
+    first = [r for r in best_by_hand(rows[:4], 20) if r[0] == 0]
+    assert [r[2] for r in first] == [2, 1, 3]
+
+
+def test_rows_that_share_an_id_ask_each(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [2.0, 1.0])]
+    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()))
+    assert got == best_by_hand(rows, 20) and len(got) == 9
+
+
+def table_of(rows, ids, vectors):
+    return pa.table({"row": pa.array(rows), "id": pa.array(ids), "w": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+@pytest.mark.parametrize("seeded", [False, True])
+def test_pruning_keeps_ties_and_equals_a_full_scan(block, seeded):
+    draw = np.random.default_rng(block)
+    vectors = draw.integers(-40, 40, size=(500, 16)).astype(float)
+    vectors[100:200] = vectors[3]
+    ids = np.arange(500)[::-1] // 2
+    queries = [0, 3, 150, 499]
+    every = table_of(np.arange(500), ids, vectors)
+    out, read, whole = topk.search_cell(every.take(queries), every, 20, every.slice(0, 60) if seeded else None, block)
+    got = {q: [r for r in out.to_pylist() if r["query_row"] == q] for q in queries}
+    for q in queries:
+        want = sorted((-int(s), int(i)) for r, (s, i) in enumerate(zip((vectors @ vectors[q]).tolist(), ids.tolist(), strict=True)) if r != q)[:20]
+        found = sorted((-r["score"], r["vec_id"]) for r in got[q])
+        assert [s for s, _ in found[:20]] == [s for s, _ in want] and found[:20] == want
+    assert 0 < read <= whole
+
+
+def test_hopeless_blocks_are_skipped():
+    block = topk.Block(np.arange(5), np.arange(5), np.ones((5, 16)))
+    q, c, s = block.search(np.array([-1]), np.ones((1, 16)), np.array([17.0]))
+    assert not len(q) and block.read == 0 and block.whole == 80
+    q, c, s = block.search(np.array([2]), np.ones((1, 16)), np.array([16.0]))
+    assert c.tolist() == [0, 1, 3, 4] and s.tolist() == [16.0] * 4
     assert topk.best(np.array([5, 4, 3]), np.array([1, 1, 2]), 2)[0].tolist() == [3, 4]
 
 
+def test_postings_are_skipped_on_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    vectors = np.floor(64 * np.array([r.embedding for r in rows], dtype=np.float32).astype(float))
+    ids = np.array([r.vec_id for r in rows])
+    every = table_of(np.arange(len(ids)), ids, vectors)
+    _, read, whole = topk.search_cell(every.filter(pa.array(ids % 20 == 0)), every, 20, every.take(np.arange(0, len(ids), 4)), 256)
+    assert read < 0.8 * whole
+
+
 def spans_by_hand(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
@@ -80,6 +118,33 @@ def test_weak_parts_need_their_complements(spark):
     assert got == {0: ["weak_id", "endpoint", "weak_secret"], 1: [], 2: [], 3: ["weak_id", "assign", "weak_secret"], 4: [], 5: ["access", "weak_secret"]}
 
 
+def test_texts_with_many_parts_give_the_same_spans(spark):
+    """The windows over rows against the array functions, on every text and on long mixtures of all of them."""
+    weak = "Zk9aB3dE5xQ7wR2tY6uP"
+    draw = np.random.default_rng(6)
+    pieces = [t for t in TEXTS if t and len(t) < 500] + [f"user: bob42 see http://db.example.com/x key {weak}", f"login=alice {weak}", "s3://bucket/x", "client_id: zzz", "é" * 150, "." * 250, "\U0001f600 "]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join(draw.choice(pieces, size=60))) for i in range(40)]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    shown = lambda many: sorted(map(str, scan_secrets(df, many=many).select("doc_id", written("base").alias("b"), written("spans").alias("s")).collect()))
+    assert shown(10**9) == shown(0) == shown(5)
+    assert sum("weak" in x for x in shown(0)) > 20
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    cleaned = lambda many: sorted(map(str, redact(docs, chars_col="n_chars", many=many).collect()))
+    assert cleaned(10**9) == cleaned(0)
+
+
+def test_time_follows_the_number_of_parts(spark):
+    import time
+
+    rows = [(1, "token=abcdef " * 32_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    redact(docs).collect()
+    began = time.perf_counter()
+    found = scan_secrets(docs).select(F.size("spans").alias("n")).first().n
+    assert found == 32_000 and time.perf_counter() - began < 20
+    assert redact(docs).first().text == "[assign] " * 32_000
+
+
 def test_redaction(spark):
     docs = clashing(spark.createDataFrame([(1, f"a {ACCESS} é token=abcdef.", 9), (2, None, 0), (3, "clean", 5), (4, "password=" + "0a" * 15, 39)], "doc_id long, text string, n_chars long"))
     out = redact(docs, chars_col="n_chars")
