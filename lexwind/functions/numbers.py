@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexwind import lexicon as L
-from lexwind.exprs import by_lang, div, let, lookup, replace_matches, word_table
+from lexwind.exprs import SPACE, ascii_digits, by_lang, div, let, lookup, opaque, replace_matches, word_table
 
 #: Digits of a chunk, and the most digits that are read as one number.
 CHUNK_DIGITS = {"mn": 12, "kz": 9}
@@ -148,18 +148,18 @@ def ordinal_words(n: Column, lang: str | Column = "mn") -> Column:
 
 
 def digit_reading(digits: Column, lang: str | Column = "mn") -> Column:
-    """Each digit of a string by itself; other characters are left out."""
-    only = F.regexp_replace(digits, "[^0-9]", "")
+    """Each digit of a string by itself, in whatever script; other characters are left out."""
+    only = F.regexp_replace(ascii_digits(digits), "[^0-9]+", "")
     return by_lang(lang, lambda x: F.when(F.length(only) > 0, spoken_digits(only, x)).when(only.isNotNull(), F.lit("")))
 
 
 def roman_to_int(text: Column) -> Column:
     """Value of an upper-case Roman numeral; null if it isn't one."""
     many = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    value = sum((many(c) * v for c, v in zip("MDCLXVI", (1000, 500, 100, 50, 10, 5, 1), strict=True)), F.lit(0))
+    value = sum((many(c) * v for c, v in zip(L.ROMAN_LETTERS, (1000, 500, 100, 50, 10, 5, 1), strict=True)), F.lit(0))
     for pair, less in (("IV|IX", 2), ("XL|XC", 20), ("CD|CM", 200)):
         value = value - F.when(text.rlike(pair), less).otherwise(0)
-    valid = text.rlike(r"^(?=.)M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$")
+    valid = text.rlike(L.ROMAN_NUMERAL)
     return F.when(valid, value.cast("long"))
 
 
@@ -170,7 +170,7 @@ def currency_name(symbol: Column) -> Column:
 
 def thousands_joined(text: Column) -> Column:
     """1,234,567 and 1 234 567 lose their separators."""
-    return F.regexp_replace(text, r"(?<=\d)[ ,](?=\d{3})", "")
+    return F.regexp_replace(text, L.WRITTEN["thousands"], "")
 
 
 # Rewriting stages. Their order is part of the meaning: each one sees what the ones before have left.
@@ -209,9 +209,9 @@ def stages(lang: str) -> dict[str, Callable[[Column], Column]]:
     def fraction(g):
         whole = lambda k: g(k).cast("int")
         if lang == "mn":
-            of = let(ordinal(g(2)), lambda o: F.concat(o, F.when(F.endswith(o, F.lit(L.MN_ORDINAL_FRONT)), F.lit("ийн ")).otherwise(F.lit("ын "))))
+            of = let(ordinal(g(2)), lambda o: F.concat(o, F.when(F.endswith(o, F.lit(L.MN_ORDINAL_FRONT)), F.lit(L.MN_DENOMINATOR_FRONT + " ")).otherwise(F.lit(L.MN_DENOMINATOR_BACK + " "))))
         else:
-            of = F.concat(card(g(2)), F.lit(" ден "))
+            of = F.concat(card(g(2)), F.lit(f" {L.KZ_DENOMINATOR} "))
         return F.when((whole(1) == 1) & (whole(2) == 2), F.lit(w["half"])).otherwise(F.concat(of, card(g(1))))
 
     def roman(hit: Column) -> Column:
@@ -222,41 +222,59 @@ def stages(lang: str) -> dict[str, Callable[[Column], Column]]:
             text = F.replace(text, F.lit(symbol), F.lit(f" {word} "))
         return text
 
-    after = rf"(?U)(\d+)\s*({symbols}|(?:{codes})(?!\w))"
+    written = {k: p.replace("S", SPACE) for k, p in L.WRITTEN.items()}
+    digits = written["cardinal"]
+    codes = rf"(?:{codes})(?!(?U:\w))"
+    endings = lambda words: "|".join(words)
     return {
         "thousands": thousands_joined,
-        "date_ymd": numbered(r"(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})", date(1, 2, 3)),
-        "date_dmy": numbered(r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})", date(3, 2, 1)),
-        "time": numbered(r"(\d{1,2}):(\d{2})(?::(\d{2}))?", time),
-        "temperature": numbered(r"(?U)(-?)(\d+)°\s*([CcFf])?", temperature),
-        "currency_after": numbered(after, lambda g: F.concat(attr(g(1)), F.lit(" "), currency_name(g(2))), rf"(?U)(\d+)\s*({symbols}|{codes})"),
-        "currency_before": numbered(rf"(?U)({symbols})\s*(\d+)", lambda g: F.concat(attr(g(2)), F.lit(" "), currency_name(g(1)))),
-        "percent": numbered(r"(\d+)%", lambda g: F.concat(attr(g(1)), F.lit(f" {w['percent']}"))),
-        "decimal": numbered(r"(\d+)\.(\d+)", lambda g: F.concat(card(g(1)), F.lit(f" {w['point']} "), spoken_digits(g(2), lang))),
-        "fraction": numbered(r"(\d{1,2})/(\d{1,2})", fraction),
-        "phone": rule(r"(?U)\+\d[\d\s\-]{6,15}\d", lambda hit: F.concat(F.lit(L.MATH_SYMBOLS[lang]["+"] + " "), spoken_digits(F.regexp_replace(hit, r"\D", ""), lang))),
-        "range": numbered(r"(?U)(\d+)\s*[-–—]\s*(\d+)", lambda g: F.concat(card(g(1)), F.lit(f" {w['from']} "), card(g(2)), F.lit(f" {w['to']}"))),
-        "ordinal_r": numbered(r"(?U)(\d+)-р\b", lambda g: ordinal(g(1)), r"(\d+)"),
-        "ordinal_suffix": numbered(r"(\d+)-д(?:угаар|үгээр|ахь)", lambda g: ordinal(g(1))),
-        "ordinal_kazakh": numbered(r"(\d+)-(?:ші|шы)", lambda g: ordinal(g(1))),
-        "genitive": numbered(r"(?U)(\d+)-(?:ны|ний|ын|ийн)\b", lambda g: attr(g(1)), r"(\d+)"),
-        "roman": rule(r"(?U)\b[MDCLXVI]+\b", roman),
+        "date_ymd": numbered(written["date_ymd"], date(1, 2, 3)),
+        "date_dmy": numbered(written["date_dmy"], date(3, 2, 1)),
+        "time": numbered(written["time"], time),
+        "temperature": numbered(written["temperature"], temperature),
+        "currency_after": numbered(rf"({digits}){SPACE}*({symbols}|{codes})", lambda g: F.concat(attr(g(1)), F.lit(" "), currency_name(g(2)))),
+        "currency_before": numbered(rf"({symbols}){SPACE}*({digits})", lambda g: F.concat(attr(g(2)), F.lit(" "), currency_name(g(1)))),
+        "percent": numbered(written["percent"], lambda g: F.concat(attr(g(1)), F.lit(f" {w['percent']}"))),
+        "decimal": numbered(written["decimal"], lambda g: F.concat(card(g(1)), F.lit(f" {w['point']} "), spoken_digits(g(2), lang))),
+        "fraction": numbered(written["fraction"], fraction),
+        "phone": rule(written["phone"], lambda hit: F.concat(F.lit(L.MATH_SYMBOLS[lang]["+"] + " "), spoken_digits(F.regexp_replace(hit, "[^0-9]+", ""), lang))),
+        "range": numbered(written["range"], lambda g: F.concat(card(g(1)), F.lit(f" {w['from']} "), card(g(2)), F.lit(f" {w['to']}"))),
+        "ordinal_r": numbered(rf"({digits})-{L.ORDINAL_ENDING}(?U:\b)", lambda g: ordinal(g(1)), f"({digits})"),
+        "ordinal_suffix": numbered(rf"({digits})-(?:{endings(L.ORDINAL_ENDINGS_MN)})", lambda g: ordinal(g(1))),
+        "ordinal_kazakh": numbered(rf"({digits})-(?:{endings(L.ORDINAL_ENDINGS_KZ)})", lambda g: ordinal(g(1))),
+        "genitive": numbered(rf"({digits})-(?:{endings(L.GENITIVE_ENDINGS)})(?U:\b)", lambda g: attr(g(1)), f"({digits})"),
+        "roman": rule(rf"(?U)\b[{L.ROMAN_LETTERS}]+\b", roman),
         "math": math,
-        "attributive": numbered(r"(?U)(\d+)(?=\s+[а-яёәғқңұһі])", lambda g: attr(g(1)), r"(\d+)"),
-        "cardinal": rule(r"\d+", card),
+        "attributive": numbered(rf"({digits})(?={SPACE}+[{L.ATTRIBUTIVE_BEFORE}])", lambda g: attr(g(1)), f"({digits})"),
+        "cardinal": rule(digits, card),
     }
 
 
+#: What a text must hold for a stage to find anything, besides a digit: cheap tests before the patterns.
+SIGNS = {
+    "date_ymd": "/.-", "date_dmy": "/.-", "time": ":", "temperature": "°", "currency_after": "".join(L.CURRENCY_SYMBOLS) + "NTDPRYWK", "currency_before": "".join(L.CURRENCY_SYMBOLS),
+    "percent": "%", "decimal": ".", "fraction": "/", "phone": "+", "range": "-–—", "ordinal_r": "-", "ordinal_suffix": "-", "ordinal_kazakh": "-", "genitive": "-",
+}
+
+
 def normalize_numbers(df: DataFrame, text: str = "text", lang: str | Column = "mn", out: str | None = None) -> DataFrame:
     """All numbers, dates, times, amounts and symbols in a text column as words, written to `out` (or in place).
 
     One projection a stage: the optimizer keeps them apart, so no stage repeats the work of the one before. Texts
-    with nothing to rewrite skip all stages. `lang` is a language or a column of languages.
+    with nothing to rewrite skip all stages, and a stage is skipped by a text that lacks its signs. Decimal digits of
+    any script count. `lang` is a language or a column of languages.
     """
     out = out or text
-    anything, spoken = "_lexwind_rewrites", "_lexwind_text"
-    df = df.withColumns({spoken: F.col(text), anything: F.col(text).rlike("[0-9MDCLXVI+×÷=≠<>≤≥±~]")})
+    anything, digits, spoken = "_lexwind_rewrites", "_lexwind_digits", "_lexwind_text"
+    df = df.withColumn(spoken, ascii_digits(F.col(text)))
+    df = df.withColumns({anything: F.col(spoken).rlike(f"[0-9{L.ROMAN_LETTERS}{''.join(L.MATH_SYMBOLS['mn'])}]"), digits: F.col(spoken).rlike("[0-9]")})
     for name in stages("mn"):
         made = by_lang(lang, lambda x, name=name: stages(x)[name](F.col(spoken)))
-        df = df.withColumn(spoken, F.when(F.col(anything), made).otherwise(F.col(spoken)))
-    return df.withColumn(out, F.col(spoken)).drop(spoken, anything)
+        needed = F.col(anything) if name in ("roman", "math") else F.col(digits)
+        for sign in [SIGNS[name]] if name in SIGNS else []:
+            some = F.lit(False)
+            for c in sign:
+                some = some | F.contains(F.col(spoken), F.lit(c))
+            needed = needed & some
+        df = df.withColumn(spoken, F.when(needed, made).otherwise(F.col(spoken)))
+    return df.withColumn(out, opaque(F.col(spoken))).drop(spoken, anything, digits)

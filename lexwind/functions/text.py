@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexwind import lexicon as L
-from lexwind.exprs import SPACE, by_lang, collapsed
+from lexwind.exprs import SPACE, by_lang, collapsed, ranges
 from lexwind.functions.numbers import normalize_numbers
 
 #: Texts of these characters alone are composed already: no marks that combine, no singletons.
@@ -38,7 +38,12 @@ def map_punctuation(text: Column) -> Column:
 
 def drop_other_characters(text: Column) -> Column:
     """Only the two alphabets and the marks stay."""
-    return F.regexp_replace(text, f"[^{re.escape(KEPT)}]", "")
+    return F.regexp_replace(text, f"[^{ranges(KEPT)}]+", "")
+
+
+def single_spaces(text: Column) -> Column:
+    """Of a text without other white space: runs of spaces become one, none at the ends."""
+    return F.trim(F.regexp_replace(text, " {2,}", " "))
 
 
 def single_marks(text: Column) -> Column:
@@ -47,15 +52,21 @@ def single_marks(text: Column) -> Column:
 
 
 def expand_abbreviations(text: Column, lang: str | Column = "mn") -> Column:
-    """Abbreviations that stand alone, then units after a digit, in the lexicon's order and any case."""
+    """Abbreviations that stand alone, then units after a digit, in the lexicon's order and any case.
+
+    One search for any of them comes first, so that texts without one are not searched for each.
+    """
 
     def made(x: str) -> Column:
+        alone = {short: rf"(?<!\w){re.escape(short)}(?!\w)" for short in L.ABBREVIATIONS[x]}
+        behind = {unit: rf"(\d){SPACE}*{unit}(?!\w)" for unit in L.UNITS}
         out = text
-        for short, full in L.ABBREVIATIONS[x].items():
-            out = F.regexp_replace(out, rf"(?iuU)(?<!\w){re.escape(short)}(?!\w)", full)
-        for unit, full in L.UNITS.items():
-            out = F.regexp_replace(out, rf"(?iuU)(\d){SPACE}*{unit}(?!\w)", f"$1 {full}")
-        return out
+        for short, pattern in alone.items():
+            out = F.regexp_replace(out, f"(?iuU){pattern}", L.ABBREVIATIONS[x][short])
+        for unit, pattern in behind.items():
+            out = F.regexp_replace(out, f"(?iuU){pattern}", f"$1 {L.UNITS[unit]}")
+        some = text.rlike("[\u0400-\u04ff]") & text.rlike("(?iuU)" + "|".join([*alone.values(), *behind.values()]))
+        return F.when(some, out).otherwise(text)
 
     return by_lang(lang, made)
 
@@ -65,12 +76,12 @@ def clean_text(df: DataFrame, text: str = "text", lang: str | Column = "mn", out
     out = out or text
     df = df.withColumn("_lexwind_clean", expand_abbreviations(map_punctuation(nfc(F.col(text))), lang))
     df = normalize_numbers(df, "_lexwind_clean", lang)
-    return df.withColumn(out, F.lower(single_marks(collapsed(drop_other_characters(F.col("_lexwind_clean")))))).drop(*(["_lexwind_clean"] if out != "_lexwind_clean" else []))
+    return df.withColumn(out, F.lower(single_marks(single_spaces(drop_other_characters(F.col("_lexwind_clean")))))).drop(*(["_lexwind_clean"] if out != "_lexwind_clean" else []))
 
 
 def basic_clean(text: Column) -> Column:
     """Cleaning without abbreviations and numbers."""
-    return F.lower(single_marks(collapsed(drop_other_characters(map_punctuation(nfc(text))))))
+    return F.lower(single_marks(single_spaces(drop_other_characters(map_punctuation(nfc(text))))))
 
 
 def foreign_letters(text: Column, lang: str | Column = "mn") -> Column:
@@ -89,23 +100,7 @@ def split_chunks(text: Column, most: int = 120) -> Column:
     if most < 1:
         return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
     least = max(1, int(most * 0.55))
-
-    def cut_at(rest: Column) -> Column:
-        head = F.substring(rest, 1, most)
-        ends = [F.length(F.regexp_extract(head, f"(?s)^(.*[{marks}])", 1)) for marks in (MAJOR_BREAKS, MINOR_BREAKS, " ")]
-        at = F.lit(most)
-        for e in reversed(ends):
-            at = F.when(e > least, e).otherwise(at)
-        return at
-
-    def advance(acc: Column, _: Column) -> Column:
-        rest, at = acc["rest"], cut_at(acc["rest"])
-        more = F.length(rest) > most
-        return F.struct(
-            F.when(more, F.trim(F.substr(rest, at + 1))).otherwise(rest).alias("rest"),
-            F.when(more, F.concat(acc["chunks"], F.array(F.trim(F.substr(rest, F.lit(1), at))))).otherwise(acc["chunks"]).alias("chunks"),
-        )
-
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(whole) / min(least + 1, most)).cast("int")))
-    start = F.struct(whole.alias("rest"), F.array().cast("array<string>").alias("chunks"))
-    return F.aggregate(steps, start, advance, lambda acc: F.filter(F.concat(acc["chunks"], F.array(acc["rest"])), lambda c: c != ""))
+    marked = [rf".{{{least},{most - 1}}}[{marks}]" for marks in (MAJOR_BREAKS, MINOR_BREAKS, " ")] if least < most else []
+    piece = "|".join([rf".{{1,{most}}}$", *marked, rf".{{1,{most}}}"])
+    found = F.regexp_extract_all(whole, F.lit(rf"(?s) *({piece})"), F.lit(1))
+    return F.filter(F.transform(found, lambda c: F.trim(c)), lambda c: c != "")

@@ -22,6 +22,35 @@ MN_BACK_LETTERS, MN_FRONT_LETTERS = "аоуь", "эөүие"
 MN_ORDINAL_BACK, MN_ORDINAL_FRONT = "дугаар", "дүгээр"
 KZ_ORDINAL = "нші"
 
+# What a Mongolian denominator ends in, after a front and after a back ordinal, and what follows a Kazakh one.
+MN_DENOMINATOR_FRONT, MN_DENOMINATOR_BACK, KZ_DENOMINATOR = "ийн", "ын", "ден"
+
+# Endings behind a number and a dash that make it an ordinal, or take its attributive form.
+ORDINAL_ENDING, ORDINAL_ENDINGS_MN, ORDINAL_ENDINGS_KZ, GENITIVE_ENDINGS = "р", ("дугаар", "дүгээр", "дахь"), ("ші", "шы"), ("ны", "ний", "ын", "ийн")
+
+# The letters with which a word must begin that makes the number before it attributive.
+ATTRIBUTIVE_BEFORE = "а-яёәғқңұһі"
+
+# The letters of Roman numerals, and the pattern of a well-formed one.
+ROMAN_LETTERS = "MDCLXVI"
+ROMAN_NUMERAL = r"^(?=.)M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
+
+# How dates, times, temperatures, percentages, decimals, fractions, phone numbers and ranges are written.
+# S stands for white space of any kind; digits are ASCII, other decimal digits are made ASCII before.
+WRITTEN = {
+    "thousands": r"(?<=[0-9])[ ,](?=[0-9]{3})",
+    "date_ymd": r"([0-9]{4})[/.\-]([0-9]{1,2})[/.\-]([0-9]{1,2})",
+    "date_dmy": r"([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{4})",
+    "time": r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?",
+    "temperature": r"(-?)([0-9]+)°S*([CcFf])?",
+    "percent": r"([0-9]+)%",
+    "decimal": r"([0-9]+)\.([0-9]+)",
+    "fraction": r"([0-9]{1,2})/([0-9]{1,2})",
+    "phone": r"\+[0-9](?:[0-9-]|S){6,15}[0-9]",
+    "range": r"([0-9]+)S*[-–—]S*([0-9]+)",
+    "cardinal": r"[0-9]+",
+}
+
 # Words around numbers.
 WORDS = {
     "mn": {
@@ -73,5 +102,8 @@ AGE_TOKENS = {
 }
 NO_METADATA = ("none", "null", "nan", "other", "unknown", "")
 
+# Fixed value: the error for a language that isn't supported.
+UNSUPPORTED = ("Unsupported language '", "'. Expected one of: kz, mn")
+
 # Text columns in order of preference.
 TEXT_COLUMNS = ("sentence_norm", "text", "sentence", "transcript", "transcription")

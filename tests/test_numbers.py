@@ -76,3 +76,20 @@ def test_edges(spark):
     ).first()
     assert (r.zero, r.below, r.none, r.third, r.roman, r.bad, r.empty) == ("тэг", "минус бес", None, "гуравдугаар", 1994, None, None)
     assert r.least.startswith("хасах ")
+
+
+def test_digits_of_other_scripts(spark):
+    """Every stage reads decimal digits of any script like ASCII ones, and none fails on them."""
+    from lexwind.functions.numbers import digit_reading, stages
+
+    plain = "1,234 мод 2024-05-06 ба 07.08.2023 12:30:05 -3° C 15 USD $ 20 25% 1.5 3/4 +976 99112233 10 - 20 5-р 6-дугаар 7-ші 8-ны 9 өдөр 11"
+    for zero in ("٠", "०", "０", "᠐", "𝟎"):
+        other = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in plain)
+        rows = spark.createDataFrame([(plain,), (other,)], "text string")
+        for lang in ("mn", "kz"):
+            got = [r.text for r in normalize_numbers(rows, "text", lang).collect()]
+            assert got[0] == got[1] and not any(c.isdigit() for c in got[1])
+    rows = spark.createDataFrame([("٣° C ٥ ба ٣ сар",)], "text string")
+    for name, stage in stages("mn").items():
+        assert rows.select(stage(F.col("text"))).first() is not None, name
+    assert rows.select(digit_reading(F.lit("٣0"))).first()[0] == "гурав тэг"

@@ -80,3 +80,11 @@ def test_stretch_and_masks(spark):
 def test_metadata_tokens(spark):
     r = one(spark, K.attribute_tokens(F.lit("female"), F.lit("twenties")), K.attribute_tokens(F.lit("other"), F.lit("unknown")), K.attribute_tokens(F.lit(None).cast("string"), F.lit(" 80S ")))
     assert tuple(r) == (["[FEMALE]", "[YOUNG]"], [], ["[ELDERLY]"])
+
+
+def test_filters_on_cleaned_text_are_planned(spark):
+    """A filter above the stages is not rewritten in terms of their input, which would take exponential time."""
+    from lexwind.functions.text import clean_text
+
+    rows = spark.createDataFrame([("5 мод",), ("xyz",)], "text string")
+    assert [r.cleaned for r in clean_text(rows, "text", "mn", "cleaned").where("length(cleaned) >= 2").collect()] == ["таван мод"]
