@@ -45,7 +45,7 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
 
 
 def resampled(x: np.ndarray, rate: int, wanted: int, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
-    """Windowed-sinc resampling (Hann window, `zeros` zero crossings), ceil(n * wanted / rate) samples."""
+    """Windowed-sinc resampling as signal libraries define it (Hann window, `zeros` zero crossings), ceil(n * wanted / rate) samples."""
     if rate == wanted or not len(x):
         return x.astype(np.float32)
     g = math.gcd(rate, wanted)
@@ -75,7 +75,7 @@ def decoded(raw: bytes, wanted: int, mix_first: bool = True, first_channel: bool
 
 @lru_cache
 def mel_filters(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
-    """Triangular filters on the HTK scale, (bins, mels)."""
+    """Triangular filters on the HTK scale by their public definition, (bins, mels)."""
     mel = lambda hz: 2595 * np.log10(1 + hz / 700)
     points = 700 * (10 ** (np.linspace(0, mel(rate / 2), n_mels + 2) / 2595) - 1)
     hz = np.linspace(0, rate // 2, n_fft // 2 + 1)
@@ -145,29 +145,51 @@ def encode_wav(samples: Column, rate: int = SAMPLE_RATE) -> Column:
     return per_row("binary", lambda x: write_wav(np.asarray(x), rate), samples)
 
 
-def decode_mp3(raw: Column, rate: int = SAMPLE_RATE, ffmpeg: str = "ffmpeg") -> Column:
+def decoded_mp3(raw: bytes, wanted: int, ffmpeg: str = "ffmpeg") -> np.ndarray | None:
     """Mono samples through an ffmpeg child process; null if it fails or gives under 100 bytes."""
+    try:
+        made = subprocess.run([ffmpeg, "-v", "error", "-i", "pipe:0", "-f", "f32le", "-ac", "1", "-ar", str(wanted), "pipe:1"], input=raw, capture_output=True, check=False)
+    except OSError:
+        return None
+    return np.frombuffer(made.stdout, "<f4") if made.returncode == 0 and len(made.stdout) >= 100 else None
+
+
+def decode_mp3(raw: Column, rate: int = SAMPLE_RATE, ffmpeg: str = "ffmpeg") -> Column:
+    return per_row("array<float>", lambda b: decoded_mp3(b, rate, ffmpeg), raw)
+
+
+def at_full_scale(x: np.ndarray) -> np.ndarray:
+    """Divided by the peak and clamped to [-1, 1]; near silence stays as it is."""
+    top = float(np.abs(x).max(initial=0.0))
+    return x if top < 1e-8 or math.isnan(top) else np.clip(x / (top + 1e-7), -1.0, 1.0).astype(np.float32)
+
+
+def voice(raw: Column, rate: int = SAMPLE_RATE, read=decoded, model=None, trim: bool = True) -> Column:
+    """Bytes to samples in one pass: read, denoised if there is a model, at full scale, without silence at the ends; null if unreadable."""
 
     def run(b: bytes) -> np.ndarray | None:
-        try:
-            made = subprocess.run([ffmpeg, "-v", "error", "-i", "pipe:0", "-f", "f32le", "-ac", "1", "-ar", str(rate), "pipe:1"], input=b, capture_output=True, check=False)
-        except OSError:
+        x = read(b, rate)
+        if x is None:
             return None
-        return np.frombuffer(made.stdout, "<f4") if made.returncode == 0 and len(made.stdout) >= 100 else None
+        if model is not None:
+            x = denoised(x, model)
+        x = at_full_scale(x)
+        return trimmed_silence(x) if trim else x
 
     return per_row("array<float>", run, raw)
 
 
-def denoise(samples: Column, model) -> Column:
-    """Apply a pluggable model (samples -> samples); a row on which it fails keeps its samples."""
+def denoised(x: np.ndarray, model) -> np.ndarray:
+    """The model's output, or the samples themselves where it fails."""
+    try:
+        return np.asarray(model(np.asarray(x)), dtype=np.float32)
+    except Exception:  # noqa: BLE001  each row fails for itself
+        return np.asarray(x, dtype=np.float32)
 
-    def run(x: np.ndarray) -> np.ndarray:
-        try:
-            return np.asarray(model(np.asarray(x)), dtype=np.float32)
-        except Exception:  # noqa: BLE001  each row fails for itself
-            return np.asarray(x, dtype=np.float32)
 
-    return per_row("array<float>", run, samples)
+def denoise(samples: Column, model) -> Column:
+    """Apply a pluggable model (samples -> samples); a row on which it fails keeps its samples."""
+    return per_row("array<float>", lambda x: denoised(x, model), samples)
 
 
 def concat_with_pause(waveforms: Column, rate: int = SAMPLE_RATE, pause: float = 0.25) -> Column:

@@ -40,17 +40,32 @@ def train_val_split(df: DataFrame, id_: str, share: float = 0.1, seed: int = 42)
     return keyed.withColumn("split", F.when(val, F.lit("val")).otherwise(F.lit("train"))).drop("_key")
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """The rows dealt by range, sorted and stored, with _task (the range) and _at (a number that rises with the order)."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    return ranged.withColumn("_task", F.shiftright("_at", 33))
+
+
 def global_row_number(df: DataFrame, *order: str) -> DataFrame:
     """Adds n = 1, 2, ... by the order, without one task that sorts everything.
 
     Rows are dealt by range, sorted and stored; each task's first number follows from the counts of the tasks before it.
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    ranged = in_ranges(df, *order)
     counts = ranged.groupBy("_task").agg(F.count("*").alias("_rows"))  # one row a task
     before = counts.select("_task", (F.sum("_rows").over(Window.orderBy("_task")) - F.col("_rows")).alias("_before"))
     return ranged.join(F.broadcast(before), "_task").withColumn("n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_task", "_at", "_before")
 
 
+def least_before(df: DataFrame, value: Column, order: str, out: str) -> DataFrame:
+    """Adds the least value of all rows before by the order, without one task that holds everything; null for the first."""
+    ranged = in_ranges(df, order).withColumn("_value", value)
+    counts = ranged.groupBy("_task").agg(F.min("_value").alias("_least"))  # one row a task
+    before = counts.select("_task", F.min("_least").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.min("_value").over(Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(F.broadcast(before), "_task").withColumn(out, F.least(own, F.col("_before"))).drop("_task", "_at", "_value", "_before")
+
+
 def fixed_batches(df: DataFrame, order: str, size: int, drop_last: bool = False) -> DataFrame:
     """Adds batch_id and pos; `drop_last` leaves out an incomplete last batch."""
     numbered = global_row_number(df, order)
@@ -59,11 +74,10 @@ def fixed_batches(df: DataFrame, order: str, size: int, drop_last: bool = False)
 
 
 def shard_rows(df: DataFrame, order: str, world: int) -> DataFrame:
-    """Adds rank and pos: every world-th row to a rank; ranks are filled up to equal sizes with the first rows again."""
+    """Adds rank and pos: every world-th row to a rank; ranks are filled up to equal sizes with the rows from the first on again."""
     numbered = global_row_number(df, order)
     total = numbered.count()
-    missing = -total % world
-    places = F.array_compact(F.array(F.col("n") - 1, F.when(F.col("n") <= missing, F.col("n") - 1 + total)))
+    places = F.sequence(F.col("n") - 1, F.lit(-(-total // world) * world - 1).cast("long"), F.lit(max(total, 1)).cast("long"))
     dealt = numbered.withColumn("_place", F.explode(places))
     return dealt.withColumns({"rank": F.col("_place") % world, "pos": F.floor(F.col("_place") / world)}).drop("n", "_place")
 

@@ -151,11 +151,16 @@ def zip_by_position(left: DataFrame, right: DataFrame, index: str = "idx", stric
 
 
 def union_sources(sources: Iterable[tuple[int, Callable[[], DataFrame]]]) -> tuple[DataFrame | None, list[str]]:
-    """Union by name of (speaker id, loader) sources. One that fails is skipped; its error is returned."""
+    """Union by name of (speaker id, loader) sources. One that fails is skipped; its error is returned.
+
+    A source is tried by reading its first row, so one that can be planned but not read is skipped too.
+    """
     loaded, errors = [], []
     for speaker, load in sources:
         try:
-            loaded.append(load().withColumn("speaker_id", F.lit(speaker)))
+            rows = load().withColumn("speaker_id", F.lit(speaker))
+            rows.take(1)
+            loaded.append(rows)
         except Exception as e:  # noqa: BLE001  any failure of one source leaves the others
             errors.append(str(e))
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded) if loaded else None), errors

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexwind.operators.batching import global_row_number, least_before
+
 #: In order of preference.
 WEIGHTS = ("ema_state_dict", "ema_model_state_dict", "model_state_dict")
 COMPILED = "._orig_mod."
@@ -85,9 +87,9 @@ def preferred_weights(available: DataFrame, by: str, name: str = "name", use_ave
 
 def with_best(metrics: DataFrame, by: str, loss: str = "val_loss") -> DataFrame:
     """Adds best_before and is_new_best: strictly lower than all before, and positive."""
-    before = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     valid = F.when(F.col(loss) > 0, F.col(loss))
-    return metrics.withColumn("best_before", F.min(valid).over(before)).withColumn("is_new_best", F.coalesce(valid < F.coalesce("best_before", F.lit(float("inf"))), F.lit(False)))
+    out = least_before(metrics, valid, by, "best_before")
+    return out.withColumn("is_new_best", F.coalesce(valid < F.coalesce("best_before", F.lit(float("inf"))), F.lit(False)))
 
 
 def saved_epochs(metrics: DataFrame, interval: int, by: str = "epoch", loss: str = "val_loss") -> DataFrame:
@@ -97,14 +99,16 @@ def saved_epochs(metrics: DataFrame, interval: int, by: str = "epoch", loss: str
 
 def every_nth(saves: DataFrame, order: str, n: int) -> DataFrame:
     """Every n-th save is pushed."""
-    return saves.withColumn("_n", F.row_number().over(Window.orderBy(order))).where(F.col("_n") % n == 0).drop("_n")
+    return global_row_number(saves, order).where(F.col("n") % n == 0).drop("n")
 
 
 def metric_tag(lang: Column, text: Column) -> Column:
     return F.concat(lang, F.lit("/"), F.replace(F.substring(text, 1, 20), F.lit(" "), F.lit("_")))
 
 
-def model_card(config: dict, name: str) -> str:
-    """Markdown about a model; values that the configuration lacks are shown as ?."""
-    rows = [f"| {k} | {config.get(k, '?')} |" for k in ("dim", "depth", "heads", "n_mels", "sample_rate", "vocab_size", "learning_rate", "num_epochs")]
-    return "\n".join([f"# {name}", "", "| setting | value |", "|---|---|", *rows, ""])
+def model_card(config: dict | None, name: str) -> str:
+    """Markdown about a model: its size from `model` in the configuration, with ? for what is missing, and the shapes of its data."""
+    model = (config or {}).get("model", {})
+    rows = [(k, model.get(k, "?")) for k in ("dim", "depth", "heads")]
+    rows += [("vocab_size", model.get("vocab_size", 65)), ("sample_rate", f"{(config or {}).get('sample_rate', 24_000)} Hz"), ("mel_bins", (config or {}).get("n_mels", 100))]
+    return "\n".join([f"# {name}", "", "| parameter | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in rows), ""])

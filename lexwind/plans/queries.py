@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 from lexwind import lexicon as L
 from lexwind.functions import maths as M
 from lexwind.functions import tokens as K
-from lexwind.functions.audio import concat_with_pause, mel_spectrogram, trim_silence
+from lexwind.functions.audio import concat_with_pause, decode_audio, decoded, encode_wav, mel_spectrogram, trim_silence, wav_seconds
 from lexwind.functions.numbers import digit_reading, normalize_numbers, number_words, ordinal_words, roman_to_int, stages, thousands_joined
 from lexwind.functions.text import basic_clean, clean_text, expand_abbreviations, foreign_letters, split_chunks
 from lexwind.operators import batching as B
 from lexwind.operators import ingest as I
 from lexwind.operators import metrics as X
 from lexwind.operators import registry as R
+from lexwind.operators.preparation import clean_clips, prepare_corpus, training_batches, training_samples
 from lexwind.operators.synthesis import synthesis_plan
 from lexwind.plans import oracle as O
-from lexwind.sources.corpora import archive_metadata, attribute_list, wav_name
+from lexwind.sources.corpora import archive_metadata, attribute_list, from_lists, load_split, member_rows, metadata_document, resolved_audio, wav_name
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -385,9 +387,15 @@ def shard_assignment(s, d):
     return B.shard_rows(t(s, d, "supplier").select("s_suppkey"), "s_suppkey", 7).select("s_suppkey", c("rank").cast("long").alias("rank"), c("pos").cast("long").alias("pos"))
 
 
-@query("SELECT DISTINCT s_suppkey % 20 AS batch_id FROM supplier ORDER BY 1")
+_epoch = "(((batch_id * 2654435761 + 3 * 40503) % 4294967296 * 1103515245 + 12345) % 2147483648)"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT CAST(s_suppkey % 20 AS HUGEINT) AS batch_id FROM supplier)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, row_number() OVER (ORDER BY {_epoch}, batch_id) AS place FROM b""")
 def epoch_order(s, d):
-    return B.epoch_order(t(s, d, "supplier").select((c("s_suppkey") % 20).alias("batch_id")).distinct(), 3)
+    """Places are those at which the ordered batches arrive."""
+    ordered = B.epoch_order(t(s, d, "supplier").select((c("s_suppkey") % 20).cast("long").alias("batch_id")).distinct(), 3).toArrow()
+    return s.createDataFrame([(x, i + 1) for i, x in enumerate(ordered["batch_id"].to_pylist())], "batch_id long, place long")
 
 
 @query("""WITH b AS (SELECT c_custkey, c_custkey // 16 AS batch_id, range(11, 12 + c_custkey % 13) AS ids FROM customer), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS longest FROM b)
@@ -418,6 +426,21 @@ def synthesis_plans(s, d):
     return plan.select("request", "idx", "chunk", c("weight").cast("long").alias("weight"), F.round("duration", 6).alias("duration"), "seed", "frames", "sample_offset")
 
 
+_own = "(len(CAST(p_partkey AS VARCHAR)) + 3 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END)"
+_spoken = f"(len({O.words('p_partkey', 'mn', True)} || ' мод') + CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END)"
+
+
+@query(O.select(f"p_partkey, CAST({_spoken} AS INTEGER) AS tokens, CASE WHEN p_partkey % 4 = 0 THEN 'қ' ELSE '' END AS letters, "
+                f"CASE WHEN p_partkey % 3 = 0 THEN greatest(50, CAST(floor(CAST(400 * {_spoken} AS DOUBLE) / 11 / CAST(1.25 AS DOUBLE)) AS BIGINT)) "
+                f"ELSE greatest(50, CAST(floor(CAST({_own} * 13 AS DOUBLE) / CAST(1.25 AS DOUBLE)) AS BIGINT)) END AS frames", "part"))
+def reference_voices(s, d):
+    """Plans in which every third request has a reference voice, and every fourth a letter of the other language."""
+    p = c("p_partkey")
+    q = t(s, d, "part").select("p_partkey", text(p, " мод", F.when(p % 4 == 0, "қ").otherwise("")).alias("text"), lit("Сайн байна").alias("said"), F.when(p % 3 == 0, 400).alias("heard"), lit(1.25).alias("pace"))
+    plan = synthesis_plan(q, "p_partkey", "text", speed="pace", lang="mn", reference_text="said", reference_frames="heard")
+    return plan.select("p_partkey", "tokens", F.array_join("foreign", "").alias("letters"), "frames")
+
+
 @query("""SELECT c_custkey, greatest(50, CAST(floor(greatest(c_custkey % 40, 1) * 13 / 1.5) AS BIGINT)) AS free, CASE WHEN c_custkey % 3 = 0 THEN greatest(50, CAST(floor((c_custkey % 500) * (c_custkey % 40) / 20 / 1.5) AS BIGINT))
   ELSE greatest(50, CAST(floor(greatest(c_custkey % 40, 1) * 13 / 1.5) AS BIGINT)) END AS referenced, CAST((c_custkey % 9) * 93.75 AS DOUBLE) AS exact_frames FROM customer""")
 def target_lengths(s, d):
@@ -648,3 +671,99 @@ def head_of_source(s, d):
     return I.head(t(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100)
 
 
+
+
+# Whole jobs. Audio is a tone, written as a WAV file, so that what is decoded is known.
+
+
+def tone(n: Column) -> Column:
+    return F.transform(F.sequence(lit(0), n.cast("int") - 1), lambda i: (F.sin(i * (2 * math.pi * 220 / M.SAMPLE_RATE)) * 0.3).cast("float"))
+
+
+def spoken_rows(s, d, long: int, short: int) -> DataFrame:
+    """k, sentence and content (WAV bytes) for each supplier: every seventh sentence too short, the next one in other letters, every fifth tone short."""
+    k = c("s_suppkey")
+    sentence = F.when(k % 7 == 0, " ю ").when(k % 7 == 1, "xyz").otherwise(text(k, " мод"))
+    return t(s, d, "supplier").select(k.alias("k"), sentence.alias("sentence"), encode_wav(tone(F.when(k % 5 == 0, short).otherwise(long + 2560 * (k % 3)))).alias("content"))
+
+
+@query(O.select(f"s_suppkey AS k, 'sample_' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.wav' AS audio_path, {O.words('s_suppkey', 'mn', True)} || ' мод' AS text, 4 AS speaker_id", "supplier", where="s_suppkey % 7 > 1 AND s_suppkey % 5 <> 0"))
+def prepared_corpus(s, d):
+    return prepare_corpus(spoken_rows(s, d, 4800, 900), idx="k", text="sentence", speaker_id=4).select("k", "audio_path", "text", "speaker_id")
+
+
+@query(O.select(f"""idx, CASE WHEN s_suppkey % 7 = 0 THEN 'unnamed' WHEN s_suppkey % 7 = 1 THEN 'filtered' WHEN s_suppkey % 9 = 0 THEN 'failed' WHEN s_suppkey % 5 = 0 THEN 'filtered' ELSE 'ok' END AS status,
+  CASE WHEN s_suppkey % 7 > 1 THEN {O.words('s_suppkey', 'mn', True)} || ' мод' WHEN s_suppkey % 7 = 1 THEN '' END AS text,
+  CASE WHEN s_suppkey % 7 > 0 THEN (SELECT count(*) FROM (SELECT min(CASE WHEN o.s_suppkey % 7 > 0 THEN o.s_suppkey END) AS first FROM supplier o GROUP BY o.s_suppkey % 10) f
+    WHERE f.first < (SELECT min(x.s_suppkey) FROM supplier x WHERE x.s_suppkey % 10 = s.s_suppkey % 10 AND x.s_suppkey % 7 > 0)) END AS speaker_id""", "(SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier) s"))
+def cleaned_clips(s, d):
+    """An archive's metadata file is chosen and parsed, its rows are joined with its clips; every ninth clip is missing."""
+    rows, k = spoken_rows(s, d, 14_400, 1_000), c("k")
+    clips = rows.where(k % 9 != 0).select(k.cast("long").alias("ordinal"), text("cv/clips/a", k, ".mp3").alias("name"), "content")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text("c", k % 10, "\ta", k, ".mp3\t", c("sentence")).alias("line")))), lambda x: x["line"]), "\n")
+    table = rows.agg(F.encode(F.concat(lit("client_id\tpath\tsentence\n"), listed), "UTF-8").alias("content")).select(lit(0).cast("long").alias("ordinal"), lit("cv/validated.tsv").alias("name"), "content")
+    members = table.unionByName(clips)
+    chosen = archive_metadata(members.select("ordinal", "name")).first()["name"]
+    return clean_clips(member_rows(members.where(c("name") == chosen)), members, read=decoded).select("idx", "status", "text", "speaker_id")
+
+
+_frames = "(1 + (24000 + 2560 * (s_suppkey % 3)) // 256)"
+
+
+@query(O.select(f"""s_suppkey AS k, {_frames} AS frames, (n - 1) // 4 AS batch_id, (n - 1) % 4 AS pos, array_to_string(list_concat(list_transform(range({_frames}), lambda i: ids[i * len(ids) // {_frames} + 1]),
+  list_transform(range(longest - {_frames}), lambda i: -1)), ' ') AS text_ids, longest AS width""",
+    f"""(SELECT *, max({_frames}) OVER (PARTITION BY (n - 1) // 4) AS longest FROM (SELECT s_suppkey, row_number() OVER (ORDER BY {_frames}, s_suppkey) AS n, {O.encoded(O.words('s_suppkey', 'mn', True) + " || ' мод'", 'mn')} AS ids
+    FROM supplier, (SELECT string_split('{'|'.join(O.group_words('mn', True))}', '|') AS inner_mn, string_split('{'|'.join(O.group_words('mn', False))}', '|') AS last_mn) WHERE s_suppkey % 5 <> 0))"""))
+def training_table(s, d):
+    """Samples from tones and sentences, in padded batches of four; tones under a second are left out."""
+    k = c("s_suppkey")
+    rows = t(s, d, "supplier").select(k.alias("k"), text(k, " мод").alias("text"), encode_wav(tone(F.when(k % 5 == 0, 5_000).otherwise(24_000 + 2560 * (k % 3)))).alias("content"))
+    batches = training_batches(training_samples(rows, "k"), "k", budget=1e9, most=4)
+    return batches.select("k", c("mel_length").cast("long").alias("frames"), "batch_id", "pos", joined("text_ids").alias("text_ids"), F.size(F.get("mel", lit(0))).cast("long").alias("width"))
+
+
+@query("SELECT s_suppkey AS k, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 900 ELSE 4800 + 2560 * (s_suppkey % 3) END AS DOUBLE) / 24000 AS seconds, CASE WHEN s_suppkey % 5 = 0 THEN 900 ELSE 4800 + 2560 * (s_suppkey % 3) END AS samples FROM supplier")
+def audio_headers(s, d):
+    """Durations by the headers and decoded lengths of WAV files."""
+    return spoken_rows(s, d, 4800, 900).select("k", wav_seconds(c("content")).alias("seconds"), F.size(decode_audio(c("content"))).alias("samples"))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'in ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'file ' || s_suppkey END AS content FROM supplier")
+def audio_bytes(s, d):
+    """Embedded bytes, else those of the file at the path, else null."""
+    k = c("s_suppkey")
+    rows = t(s, d, "supplier").select(k.alias("k"), F.struct(F.when(k % 3 == 0, F.encode(text("in ", k), "UTF-8")).alias("bytes"), text("/clips/", k).alias("path")).alias("audio"))
+    files = t(s, d, "supplier").where(k % 3 == 1).select(text("file:/clips/", k).alias("path"), F.encode(text("file ", k), "UTF-8").alias("content"))
+    return resolved_audio(rows, files).select("k", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT 0 AS idx, 'a.wav' AS audio_path, 'нэг' AS text, 3 AS speaker_id UNION ALL SELECT 1, 'b.wav', 'хоёр', 4")
+def rows_of_lists(s, d):
+    return from_lists(s, ["a.wav", "b.wav", "c.wav"], ["нэг", "хоёр"], [3, 4, 5]).select("idx", "audio_path", "text", "speaker_id")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_custkey FROM orders UNION ALL SELECT CAST(c_custkey AS BIGINT), c_custkey FROM customer")
+def joined_splits(s, d):
+    """Two splits of a corpus, read as one; the tables of this folder stand in for them."""
+    orders = load_split(s, d, "orders.parquet").select(c("o_orderkey").cast("long").alias("o_orderkey"), "o_custkey")
+    return orders.unionByName(load_split(s, d, "customer.parquet").select(c("c_custkey").cast("long").alias("o_orderkey"), c("c_custkey").alias("o_custkey")))
+
+
+@query("""SELECT '[' || chr(10) || string_agg('  {' || chr(10) || '    "audio_path" : "' || r_name || '.wav",' || chr(10) || '    "text" : "сайн ' || r_regionkey || '"' || chr(10) || '  }', ',' || chr(10) ORDER BY r_regionkey) || chr(10) || ']' AS json FROM region""")
+def metadata_documents(s, d):
+    rows = t(s, d, "region").select(c("r_regionkey").alias("idx"), text(c("r_name"), ".wav").alias("audio_path"), text("сайн ", c("r_regionkey")).alias("text"))
+    return metadata_document(rows, "idx")
+
+
+@query("SELECT max(s_suppkey) AS step, max(s_suppkey) % 10 AS epoch, CAST(max(s_suppkey) AS DOUBLE) / 4 AS best_val FROM supplier")
+def resumed_state(s, d):
+    k = c("s_suppkey")
+    return R.resume_state(t(s, d, "supplier").select(k.alias("step"), (k % 10).alias("epoch"), (k.cast("double") / 4).alias("best_val")))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'таван мод' WHEN 1 THEN 'таван ба гурав' ELSE 'хасах гурван градус цельсий' END AS words FROM part")
+def other_digits(s, d):
+    """Decimal digits of other scripts are read like ASCII ones."""
+    p = c("p_partkey")
+    said = F.when(p % 3 == 0, "५ мод").when(p % 3 == 1, "５ ба ٣").otherwise("-٣° C")
+    return normalize_numbers(t(s, d, "part").select("p_partkey", said.alias("words")), "words", "mn")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import tarfile
@@ -71,6 +72,25 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def member_rows(member: DataFrame) -> DataFrame:
+    """idx, path, sentence, client_id of a member (one row with content) that is a TSV file with a header; null where it has no such column.
+
+    path and sentence may go by the names filename and text. Lines end as in any text file; blank ones don't count.
+    """
+    text = F.decode("content", "UTF-8")
+    lines = member.select(F.filter(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: x != "").alias("lines"))
+    header = (lines.select(F.get("lines", F.lit(0))).first() or [None])[0] or ""
+    columns = next(csv.reader([header], delimiter="\t"), [])
+    schema = ", ".join(f"c{i} string" for i in range(max(1, len(columns))))
+    rows = lines.select(F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("idx", "line"))
+    rows = rows.select(F.col("idx").cast("long").alias("idx"), F.from_csv("line", schema, {"sep": "\t"}).alias("r"))
+
+    def column(*names: str) -> Column:
+        return next((F.col(f"r.c{columns.index(n)}") for n in names if n in columns), F.lit(None).cast("string"))
+
+    return rows.select("idx", column("path", "filename").alias("path"), column("sentence", "text").alias("sentence"), column("client_id").alias("client_id"))
+
+
 def attribute_list(value: Column) -> Column:
     """Attribute tokens of JSON text: a list, or one string; anything else is empty."""
     listed = F.from_json(value, "array<string>")
@@ -104,12 +124,15 @@ def wav_name(index: Column, prefix: str = "sample") -> Column:
 
 
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
-    """Each row's bytes to a file of its own in a folder that all executors share."""
+    """Each row's bytes to a file of its own, in a folder of any file system that Arrow knows, or a plain path that all executors share."""
 
     def save(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
         for r in rows:
-            with open(f"{folder}/{r[name]}", "wb") as f:
+            with system.open_output_stream(f"{root}/{r[name]}") as f:
                 f.write(r[content])
 
     df.select(name, content).foreachPartition(save)
