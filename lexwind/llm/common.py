@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexwind.lineage import cut, ensure_checkpoint_dir
 
-__all__ = ["KEYS", "attach", "cut", "ensure_checkpoint_dir", "join_by_frequency", "one_of_each", "pick", "positional", "repeated", "row_keys", "text_batches"]
+__all__ = ["KEYS", "attach", "cut", "ensure_checkpoint_dir", "join_by_frequency", "one_of_each", "pick", "positional", "release", "repeated", "row_keys", "text_batches"]
 
 #: Names of the two hashes of a whole row; together they tell all rows of a table apart.
 KEYS = ["_k1", "_k2"]
@@ -42,6 +43,12 @@ def row_keys(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*values).alias(KEYS[0]), F.xxhash64(F.lit(1), *values).alias(KEYS[1])]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver collects the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_batches(spark: SparkSession, most: int = 1_000) -> None:
     """Hold at most so many rows in an Arrow batch from now on: whole texts are long, and a batch lies in memory on both sides.
 

@@ -161,9 +161,10 @@ def scanned(rows: DataFrame, text: str, reach: int, many: int) -> tuple[DataFram
     total = F.lit(0)
     for c in FOUND:
         total = total + F.size(c)
-    # A part has a mark of its own or is a run of 20 characters, so only texts with many of either are searched to be counted.
-    signs = F.length(t) - F.length(F.translate(t, "=:", "")) + F.length(t) / 20 + (F.length(t) - F.length(F.replace(t, F.lit("AKIA"), F.lit("")))) / 4
-    likely = F.coalesce(signs > many, F.lit(False))
+    # A part has a mark of its own or is a run of 20 characters. Marks and length rule most texts out, a count of runs most others.
+    signs = F.length(t) - F.length(F.translate(t, "=:", "")) + (F.length(t) - F.length(F.replace(t, F.lit("AKIA"), F.lit("")))) / 4
+    runs = F.regexp_count(t, F.lit("[A-Za-z0-9+/_-]{20,}"))
+    likely = F.when(signs + F.length(t) / 20 > many, signs + runs > many).otherwise(F.lit(False))
     heavy = cut(with_matches(rows.where(likely), text).where(total > many).withColumn("_row", F.monotonically_increasing_id()))
     if heavy.isEmpty():
         return spans_in_row(found, reach), None

@@ -8,7 +8,7 @@ must agree in size, in what can follow their shared shingle and in enough pariti
 are at most the shingles that differ); what is left is compared set by set, unless links already connect it.
 
 Texts that share a shingle are compared all with all only in groups of up to SMALL. In a larger group (near copies, shared
-passages) each is first compared with one leader. Then what the links found so far connect is one component, and only
+passages) each is first compared with one leader, which the shared shingle chooses out of three. Then what the links found so far connect is one component, and only
 texts of different components are compared, those of the largest component never with each other. So no link between
 components is lost, and a group of near copies costs its size, not its square.
 """
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwind.llm.common import cut
+from lexwind.llm.common import cut, release
 from lexwind.llm.components import connected_components
 
-SAMPLE, FREQUENT, SEEN, PARITIES, SMALL, MOST = 20_000, 1 << 17, 1 << 20, 1024, 16, 1 << 16
+SAMPLE, FREQUENT, SEEN, PARITIES, SMALL = 20_000, 1 << 17, 1 << 20, 1024, 16
 
 
 class WordHashes(dict):
@@ -202,7 +202,7 @@ def similar_links(texts: DataFrame, marks: DataFrame, links: DataFrame, *, simil
                 yield found(a, b)
             if few.all():
                 continue
-            lead = np.repeat((edge[:-1] + edge[1:]) // 2, np.diff(edge))
+            lead = np.repeat(edge[:-1] + np.diff(edge) * (1 + key[edge[:-1]].view(np.uint64) % np.uint64(3)).astype(np.int64) // 4, np.diff(edge))
             held = ~few & rule.sizes(n, n[lead]) & rule.places(n, at, n[lead], at[lead]) & (node != node[lead])
             yield found(*ordered(node[held], node[lead[held]]))
             many = np.flatnonzero(~few)
@@ -240,37 +240,64 @@ def similar_links(texts: DataFrame, marks: DataFrame, links: DataFrame, *, simil
         return cut(both.mapInArrow(compare, "a long, b long").distinct())
 
     filed = texts.mapInArrow(file, "key long, node long, n int, at int")
-    met = cut(filed.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pair, "a long, b long, key long, n int, at int").distinct())
-    first = verified(met.where("b is not null").select("a", "b"), rooted(connected_components(links)))
+    met = cut(filed.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pair, "a long, b long, key long, n int, at int"))
+    release(texts.sparkSession)
+    first = verified(met.where("b is not null").select("a", "b").distinct(), rooted(connected_components(links)))
+    release(texts.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("node"), "n", "at")
     if large.isEmpty():
         return first
     known = rooted(connected_components(links.unionByName(first)))
-    placed = large.join(known.select("node", "root"), "node")
+    placed = cut(large.join(known.select("node", "root"), "node"))
     parted = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    rest = placed.join(parted, "key", "left_semi").join(known.select("node", "bits"), "node").select("key", "node", "n", "at", "root", "bits")
+    rest = placed.join(parted, "key", "left_semi").select("key", "node", "n", "at", "root")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of different components within a key; the rows of the largest component are not compared with each other."""
+        """Pairs of different components within a key; the rows of the largest component are not compared with each other.
+
+        Rows without bits whose key has over SMALL others are passed on (with b null), to come again with bits.
+        """
         for t in whole_keys(batches):
             key, node, n, at, root = (c.to_numpy() for c in t.columns[:5])
             n, at = n.astype(np.int64), at.astype(np.int64)
-            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64) if t.num_columns > 5 else None
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            out = [[], []]
+            out, on = [[], []], [np.empty(0, dtype=np.int64)]
             for first, last in zip(edge[:-1], edge[1:], strict=True):
                 names, counts = np.unique(root[first:last], return_counts=True)
                 largest = names[counts.argmax()]
-                for i in (first + np.flatnonzero(root[first:last] != largest)).tolist():
+                others = first + np.flatnonzero(root[first:last] != largest)
+                if bits is None and len(others) > SMALL:
+                    on.append(np.arange(first, last))
+                    continue
+                for i in others.tolist():
                     j = np.arange(first, last)
                     j = j[(root[j] != root[i]) & ((root[j] == largest) | (j > i))]
                     j = j[rule.sizes(n[j], n[i]) & rule.places(n[j], at[j], n[i], at[i])]
-                    j = j[rule.bits(bits[j], bits[i], n[j] + n[i])]
+                    if bits is not None:
+                        j = j[rule.bits(bits[j], bits[i], n[j] + n[i])]
                     a, b = ordered(node[j], np.full(len(j), node[i]))
                     out[0].append(a)
                     out[1].append(b)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b"])
-
-    more = cut(rest.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(cross, "a long, b long").distinct())
-    return first if more.isEmpty() else first.unionByName(verified(more, known))
+            a, b = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in out)
+            i = np.concatenate(on)
+            columns = [pa.array(np.concatenate((a, node[i]))), pa.concat_arrays([pa.array(b), pa.nulls(len(i), pa.int64())])]
+            for c, kind in ((key, pa.int64()), (n, pa.int32()), (at, pa.int32()), (root, pa.int64())):
+                columns.append(pa.concat_arrays([pa.nulls(len(a), kind), pa.array(c[i]).cast(kind)]))
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "n", "at", "root"])
+
+    def crossed(rows: DataFrame) -> DataFrame:
+        return cut(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(cross, "a long, b long, key long, n int, at int, root long"))
+
+    found = crossed(rest)
+    more = found.where("b is not null").select("a", "b")
+    hard = found.where("b is null").select("key", F.col("a").alias("node"), "n", "at", "root")
+    if not hard.isEmpty():
+        more = more.unionByName(crossed(hard.join(known.select("node", "bits"), "node").select("key", "node", "n", "at", "root", "bits")).select("a", "b"))
+    more = cut(more.distinct())
+    release(texts.sparkSession)
+    if more.isEmpty():
+        return first
+    second = verified(more, known)
+    release(texts.sparkSession)
+    return first.unionByName(second)

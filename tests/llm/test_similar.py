@@ -59,3 +59,26 @@ def test_stage_drops_near_copies(spark):
     assert similar(texts[6], texts[145]) and similar(texts[1], texts[177])
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
     assert not kept & {145, 177} and kept >= {1, 6}
+
+
+def test_large_groups_by_brute_force(spark):
+    """Families of up to 80 texts that drift apart, so that some are similar only through others, over a passage that all share."""
+    draw = random.Random(21)
+    passage = " ".join(f"shared{i}" for i in range(30))
+    texts = {}
+    for family, size in enumerate((80, 40, 25)):
+        words = [f"f{family}w{i}" for i in range(90)]
+        for copy in range(size):
+            words = list(words)
+            if copy % 3 == 0:
+                words[draw.randrange(len(words))] = f"new{draw.randrange(10**6)}"
+            texts[1000 * family + copy] = " ".join(words) + " " + passage
+    for i in range(60):
+        texts[5000 + i] = " ".join(f"own{i}w{k}" for k in range(12)) + " " + passage
+    label = {i: i for i in texts}
+    edges = [(a, b) for a in texts for b in texts if a < b and (similar(texts[a], texts[b]) or (fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count() <= 3)]
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, similarity=0.8).collect()} == label
