@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexwind.exprs import trimmed
+from lexwind.exprs import opaque, trimmed
 from lexwind.functions import audio as A
 from lexwind.functions.maths import SAMPLE_RATE
 from lexwind.functions.text import clean_text
@@ -88,19 +88,24 @@ def training_samples(
     usable = F.coalesce(usable_audio(F.col("_samples"), rate, shortest), F.lit(False))
     if strict:
         usable = F.when(usable, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("Audio is not usable in row "), F.col(id_).cast("string"))).cast("boolean"))
-    made = clean_text(made.where(usable), text, lang, "_cleaned")
-    ids = encode_text(F.col("_cleaned"), lang, F.col(attributes) if attributes else None)
-    made = made.withColumns({"mel": A.mel_spectrogram(F.col("_samples"), rate), "_ids": ids})
-    made = made.withColumn("frames", F.size(F.get("mel", F.lit(0))))
+    made = made.where(usable).withColumn("mel", A.mel_spectrogram(F.col("_samples"), rate))
+    # Features are stored before the texts are cleaned: Spark plans Python functions below the cleaning stages very slowly.
+    heard = cut(made.select(id_, text, *([attributes] if attributes else []), *([] if isinstance(lang, str) else [lang.alias("_lang")]), "mel"))
+    spoken = lang if isinstance(lang, str) else F.col("_lang")
+    heard = clean_text(heard.withColumn("frames", F.size(F.get("mel", F.lit(0)))), text, spoken, "_cleaned")
+    ids = opaque(encode_text(F.col("_cleaned"), spoken, F.col(attributes) if attributes else None))
+    made = heard.withColumn("_ids", ids)
     return made.select(id_, text, "mel", stretch_ids(F.col("_ids"), F.col("frames")).alias("text_ids"), F.array_repeat(F.lit(True), F.col("frames")).alias("mask"), "frames")
 
 
 def training_batches(samples: DataFrame, id_: str, *, budget: float, most: int = 0, split: str | None = None, drop_last: bool = False) -> DataFrame:
     """The samples in batches of a frame budget: batch_id, pos, id, mel, text_ids, mask (padded to the batch's longest), mel_length.
 
-    Samples are ordered by length, so they are padded little. `split` names a column whose values are batched apart.
+    Samples are ordered by length, so they are padded little. `split` names a column whose values are batched apart. The samples
+    are stored first, since the plan of batches and the batches both read them and features are dear.
     """
     by = split or "_all"
+    samples = cut(samples)
     rows = samples if split else samples.withColumn("_all", F.lit(0))
     plan = frame_batches(rows, id_, "frames", by, budget, most, drop_last).select(by, "batch_id", "pos", id_)
     longest = plan.join(rows.select(id_, F.col("frames").alias("_n")), id_).groupBy(by, "batch_id").agg(F.max("_n").alias("_longest"))
