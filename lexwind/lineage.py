@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def forget_later(path: str) -> None:
+    """A folder that a step has written in the shared folder: deleted along with what cut() stored, where passing_cuts() is in use."""
+    if (made := _made.get()) is not None:
+        made.append(path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark knows, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
