@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexwind.llm import oracle
+from lexwind.llm.alignment import align_documents
 from lexwind.llm.chat import format_chat, read_back
+from lexwind.llm.chunks import encode_documents
 from lexwind.llm.langid import fit, identify
 from lexwind.llm.mixing import mix_documents
+from lexwind.llm.negatives import hard_negatives
 from lexwind.llm.packing import pack_documents
 from lexwind.llm.quality import robust_outliers
 from lexwind.llm.secrets import scan_secrets, written
@@ -22,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,23 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op11_sorted_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return made.select("doc_id", "n_tokens", *[F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256")])
+
+
+def op13_aligned_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.coalesce(F.lower(F.hex("groups_sha256")), F.lit("")).alias("groups_sha256")
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +120,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_cost_balanced_packing, op2_robust_outliers, op3_blocked_bloom_urls, op4_pigeonring_simhash, op5_budgeted_chat_windows,
-    op6_maxscore_top_k, op7_linked_secrets, op8_viterbi_language, op9_kd_tree_shards, op10_pivotal_mixing, pipeline,
+    op6_maxscore_top_k, op7_linked_secrets, op8_viterbi_language, op9_kd_tree_shards, op10_pivotal_mixing,
+    op11_sorted_hard_negatives, op12_chunked_bpe, op13_aligned_tokenizers, pipeline,
 )}
 
 #: DuckDB SQL where SQL can express the whole result. The others are tested against brute force in tests/llm.
@@ -109,4 +130,5 @@ ORACLE_SQL = {
     "op5_budgeted_chat_windows": oracle.CHAT,
     "op6_maxscore_top_k": oracle.TOP_K,
     "op7_linked_secrets": oracle.SECRETS,
+    "op11_sorted_hard_negatives": oracle.HARD_NEGATIVES,
 }

@@ -14,6 +14,7 @@ TABLES = {
     "op3_blocked_bloom_urls": ("pages", "page_id long, url string", [(i, u) for i, u in enumerate(URLS)] * 2),
     "op5_budgeted_chat_windows": ("conversations", "conv_id long, turn long, role string, text string", [t for t in TURNS if t[0] is not None]),
     "op6_maxscore_top_k": ("embeddings", "vec_id long, embedding array<float>", [(i, [float(i % 7), -1.5, 0.25 * i]) for i in range(90)] + [(100, None), (120, [None, 1.0, 2.0]), (140, [float("nan"), 0.0, 0.0])]),
+    "op11_sorted_hard_negatives": ("embeddings", "vec_id long, embedding array<float>, label int", [(i % 250, [float(i % 7), 1.5, 0.25 * (i % 60)], i % 9) for i in range(300)] + [(300, None, 1), (400, [None, 1.0, 2.0], 2), (500, [float("nan"), 0.0, 0.0], 3), (600, [2.0, 1.0, 3.0], None), (700, [2.0, -1.0, 3.0], 4)]),
     "op7_linked_secrets": ("documents", "doc_id long, text string", [(i, t) for i, t in enumerate([t for t in TEXTS if t != TEXTS[15]] + LINKED)]),
 }
 
