@@ -9,10 +9,11 @@ import io
 import math
 import subprocess
 import wave
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,12 +85,17 @@ def mel_filters(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum(-slopes[:, :-2] / steps[:-1], slopes[:, 2:] / steps[1:]))
 
 
+@lru_cache
+def hann(n: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+
+
 def log_mel(x: np.ndarray, rate: int = SAMPLE_RATE, n_fft: int = 1024, hop: int = HOP, n_mels: int = 100) -> np.ndarray:
     """(mels, 1 + n // hop): magnitudes of centred Hann frames, mel filters, logarithm of at least 1e-5."""
     wide = np.pad(np.asarray(x, dtype=np.float64), n_fft // 2, mode="reflect" if len(x) > n_fft // 2 else "constant")
     frames = np.lib.stride_tricks.sliding_window_view(wide, n_fft)[::hop]
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
-    return np.log(np.maximum(np.abs(np.fft.rfft(frames * window)) @ mel_filters(rate, n_fft, n_mels), 1e-5)).T
+    spectrum = np.fft.rfft(frames * hann(n_fft))
+    return np.log(np.maximum(np.abs(spectrum) @ mel_filters(rate, n_fft, n_mels), 1e-5)).T
 
 
 def trimmed_silence(x: np.ndarray, top_db: float = 20.0, frame: int = 2048, hop: int = 512) -> np.ndarray:
@@ -102,14 +108,37 @@ def trimmed_silence(x: np.ndarray, top_db: float = 20.0, frame: int = 2048, hop:
     return x[: 0] if not len(loud) else x[loud[0] * hop : min(len(x), (loud[-1] + 1) * hop)]
 
 
-def per_row(kind: str, made, *inputs: Column) -> Column:
-    """An Arrow function that maps rows without nulls, null otherwise."""
+def as_column(made: list[np.ndarray | float | bytes | None], kind: str) -> pa.Array:
+    """An Arrow column of what a batch's rows were made into; arrays go in as one flat buffer and their shapes."""
+    if not kind.startswith("array"):
+        return pa.array(made, {"double": pa.float64(), "binary": pa.binary()}[kind])
+    missing = pa.array([x is None for x in made])
+    held = [x for x in made if x is not None]
+    flat = np.concatenate([np.empty(0, dtype=np.float32), *(np.asarray(x, dtype=np.float32).ravel() for x in held)], dtype=np.float32)
+    sizes = [0 if x is None else len(x) for x in made]
+    values: pa.Array = pa.array(flat)
+    if kind == "array<array<float>>":
+        inner = np.cumsum([0, *(width for x in held for width in [x.shape[1]] * x.shape[0])])
+        values = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), values)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values, mask=missing)
+
+
+def rows_of(column: pa.Array) -> list[np.ndarray | bytes | None]:
+    """A batch's values: samples as parts of the column's own buffer, bytes as they are."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, at, null = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+    return [None if n else flat[a:b] for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), null.tolist(), strict=True)]
+
+
+def per_row(kind: str, made: Callable, value: Column) -> Column:
+    """An Arrow function over flat buffers that maps each value but null."""
 
-    def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else made(*row) for row in zip(*columns, strict=True)], dtype=object)
+    def run(column: pa.Array) -> pa.Array:
+        return as_column([None if x is None else made(x) for x in rows_of(column)], kind)
 
-    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, kind)(*inputs)
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)(value)
 
 
 def wav_seconds(raw: Column) -> Column:
@@ -130,19 +159,19 @@ def decode_audio(raw: Column, rate: int = SAMPLE_RATE, mix_first: bool = True, f
 
 
 def resample(samples: Column, rate: int, wanted: int = SAMPLE_RATE) -> Column:
-    return per_row("array<float>", lambda x: resampled(np.asarray(x), rate, wanted), samples)
+    return per_row("array<float>", lambda x: resampled(x, rate, wanted), samples)
 
 
 def mel_spectrogram(samples: Column, rate: int = SAMPLE_RATE) -> Column:
-    return per_row("array<array<float>>", lambda x: list(log_mel(np.asarray(x), rate).astype(np.float32)), samples)
+    return per_row("array<array<float>>", lambda x: log_mel(x, rate), samples)
 
 
 def trim_silence(samples: Column, top_db: float = 20.0) -> Column:
-    return per_row("array<float>", lambda x: trimmed_silence(np.asarray(x), top_db), samples)
+    return per_row("array<float>", lambda x: trimmed_silence(x, top_db), samples)
 
 
 def encode_wav(samples: Column, rate: int = SAMPLE_RATE) -> Column:
-    return per_row("binary", lambda x: write_wav(np.asarray(x), rate), samples)
+    return per_row("binary", lambda x: write_wav(x, rate), samples)
 
 
 def decoded_mp3(raw: bytes, wanted: int, ffmpeg: str = "ffmpeg") -> np.ndarray | None:

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from lexwind import lexicon as L
 from lexwind.exprs import SPACE, ascii_digits, by_lang, div, let, lookup, opaque, replace_matches, word_table
 
-#: Digits of a chunk, and the most digits that are read as one number.
+#: Digits of a chunk.
 CHUNK_DIGITS = {"mn": 12, "kz": 9}
-MOST_DIGITS = 36
 
 
 @lru_cache
@@ -84,37 +83,32 @@ def sql_table(words) -> str:
 def digits_lambda(lang: str, attributive: bool) -> str:
     """SQL of a lambda from significant digits to words, for use inside other lambdas: as text it is quick to plan.
 
-    The digits become three-digit groups, the highest first. Group x at k stands i groups from the end, at `place`
-    within its chunk; in higher chunks words are attributive and the largest scale's word closes the chunk.
+    The digits, of which the first isn't 0, become three-digit groups, the highest first, in any number. Group x at k stands i groups
+    from the end, at `place` within its chunk; in higher chunks words are attributive and the largest scale's word closes the
+    chunk. Each group is looked at by itself and at most three that follow, so the time grows with the digits.
     """
     size, scales = CHUNK_DIGITS[lang] // 3, L.MN_SCALES if lang == "mn" else L.KZ_SCALES
     inner = sql_table(group_words(lang, True))
     final = inner if attributive else sql_table(group_words(lang, False))
     base, attr = (sql_table(["", *(s[k] for s in scales[:-1])]) for k in (0, 1))
-    i, groups = "(size(g) - 1 - k)", MOST_DIGITS // 3
+    i = "(size(g) - 1 - k)"
     place, higher = f"({i} % {size})", f"({i} >= {size})"
     scale = f"element_at({base}, {place} + 1)"
     if lang == "mn":  # nothing follows within this chunk
         scale = f"if(({higher} OR {str(attributive).lower()}) AND NOT exists(slice(g, k + 2, {place}), y -> y > 0), element_at({attr}, {place} + 1), {scale})"
-    above = "exists(slice(g, 1, k), y -> y > 0)"
+    above = "(k > 0)"
     own = (
         f"CASE WHEN x = 0 THEN NULL WHEN {place} > 0 AND x = 1 THEN {scale} WHEN {place} > 0 THEN concat(element_at({inner}, x + 1), ' ', {scale}) "
         f"WHEN {higher} AND x = 1 AND NOT {above} THEN NULL WHEN {higher} THEN element_at({inner}, x + 1) ELSE element_at({final}, x + 1) END"
     )
     phrase = f"concat_ws(' ', {own}, CASE WHEN {place} = 0 AND {higher} AND ({above} OR x > 0) THEN '{scales[-1][0]}' END)"
     words = f"array_join(filter(transform(g, (x, k) -> {phrase}), p -> p != ''), ' ')"
-    all_groups = ", ".join(f"cast(substring(lpad(s, {MOST_DIGITS}, '0'), {a + 1}, 3) AS int)" for a in range(0, MOST_DIGITS, 3))
-    few = "cast(ceil(length(s) / 3) AS int)"
-    digit = sql_table([L.WORDS[lang]["zero"], *group_words(lang, False)[1:10]])
-    spoken = f"array_join(transform(split(s, '(?<=.)(?=.)'), c -> element_at({digit}, cast(c AS int) + 1)), ' ')"
-    return (
-        f"s -> CASE WHEN s = '' THEN '{L.WORDS[lang]['zero']}' "
-        f"WHEN length(s) <= {MOST_DIGITS} THEN element_at(transform(array(slice(array({all_groups}), {groups + 1} - {few}, {few})), g -> {words}), 1) ELSE {spoken} END"
-    )
+    groups = "transform(regexp_extract_all(lpad(s, cast(ceil(length(s) / 3) AS int) * 3, '0'), '[0-9]{3}', 0), y -> cast(y AS int))"
+    return f"s -> CASE WHEN s = '' THEN '{L.WORDS[lang]['zero']}' ELSE element_at(transform(array({groups}), g -> {words}), 1) END"
 
 
 def digits_words(d: Column, lang: str, attributive: bool) -> Column:
-    """Words of a string of digits; beyond MOST_DIGITS significant digits it is spoken digit by digit."""
+    """Words of a string of digits of any length."""
     significant = F.array(F.regexp_replace(d, "^0+", ""))
     return F.element_at(F.call_function("transform", significant, F.expr(digits_lambda(lang, attributive))), 1)
 

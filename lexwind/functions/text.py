@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexwind import lexicon as L
-from lexwind.exprs import SPACE, by_lang, collapsed, ranges
+from lexwind.exprs import SPACE, by_lang, collapsed, lookup, ranges, replace_matches
 from lexwind.functions.numbers import normalize_numbers
 
 #: Texts of these characters alone are composed already: no marks that combine, no singletons.
@@ -31,6 +33,51 @@ def nfc(text: Column) -> Column:
     return F.coalesce(compose(needed), text)
 
 
+def pairs_with_marks() -> dict[str, str]:
+    """All composed characters of a kept character and one combining mark, by the two."""
+    marks = [chr(c) for c in range(0x300, sys.maxunicode) if unicodedata.combining(chr(c)) == ABOVE]
+    made = {b + m: unicodedata.normalize("NFC", b + m) for b in sorted(set(KEPT)) for m in marks}
+    return {pair: whole for pair, whole in made.items() if len(whole) == 1}
+
+
+#: The combining class of marks above a letter. Of all marks only these compose with kept characters (a test holds this).
+ABOVE = 230
+
+
+@functools.cache
+def composition() -> tuple[dict[str, str], str, str, dict[str, str]]:
+    """Pairs that compose; classes of all combining marks and of those above; characters that stand for kept ones (or for marks), with these."""
+    marks = [chr(c) for c in range(0x300, sys.maxunicode) if unicodedata.combining(chr(c))]
+    kept = {*KEPT, *L.MARKS_FROM, *marks}
+    singles = {}
+    for c in map(chr, range(0x80, sys.maxunicode)):
+        plain = unicodedata.normalize("NFC", c)
+        if plain != c and set(plain) <= kept:
+            singles[c] = plain
+    return pairs_with_marks(), ranges("".join(marks)), ranges("".join(m for m in marks if unicodedata.combining(m) == ABOVE)), singles
+
+
+def compose_kept(text: Column) -> Column:
+    """NFC as far as kept characters and those of map_punctuation go, without Python; others may stay as they are, and so may marks that compose with nothing.
+
+    A kept character and its marks: the first mark above it composes with it if the two have a composed form; another mark
+    above stands in the way of those behind it, marks elsewhere don't.
+    """
+    pairs, marks, above, singles = composition()
+    one = {k: v for k, v in singles.items() if len(v) == 1}
+    plain = F.when(text.rlike(f"[{ranges(''.join(singles))}]"), F.translate(text, "".join(one), "".join(one.values()))).otherwise(text)
+    for k in (k for k in singles if k not in one):
+        plain = F.replace(plain, F.lit(k), F.lit(singles[k]))
+    bases = ranges("".join({p[0] for p in pairs}))
+
+    def composed(hit: Column) -> Column:
+        base, first = F.substring(hit, 1, 1), F.regexp_extract(hit, f"[{above}]", 0)
+        found = lookup(pairs, F.concat(base, first))
+        return F.when(found.isNotNull(), F.concat(found, F.replace(F.substr(hit, F.lit(2)), first, F.lit("")))).otherwise(hit)
+
+    return F.when(text.rlike(f"[{marks}{ranges(''.join(singles))}]"), replace_matches(plain, f"[{bases}][{marks}]+", composed)).otherwise(text)
+
+
 def map_punctuation(text: Column) -> Column:
     """Typographic dashes and quotes become plain ones, the ellipsis three dots."""
     return F.replace(F.translate(text, L.MARKS_FROM, L.MARKS_TO), F.lit(L.ELLIPSIS[0]), F.lit(L.ELLIPSIS[1]))
@@ -81,7 +128,7 @@ def clean_text(df: DataFrame, text: str = "text", lang: str | Column = "mn", out
 
 def basic_clean(text: Column) -> Column:
     """Cleaning without abbreviations and numbers."""
-    return F.lower(single_marks(single_spaces(drop_other_characters(map_punctuation(nfc(text))))))
+    return F.lower(single_marks(single_spaces(drop_other_characters(map_punctuation(compose_kept(text))))))
 
 
 def foreign_letters(text: Column, lang: str | Column = "mn") -> Column:
@@ -91,6 +138,12 @@ def foreign_letters(text: Column, lang: str | Column = "mn") -> Column:
     return by_lang(lang, lambda x: F.when(text.isNotNull(), found) if x == "mn" else none)
 
 
+def chunk_pattern(most: object, least: object = None, before: object = None) -> str:
+    """A piece of at most `most` characters and the spaces before it; a mark stands in it behind `least` to `before` characters."""
+    marked = [] if least is None else [f".{{{least},{before}}}[{marks}]" for marks in (MAJOR_BREAKS, MINOR_BREAKS, " ")]
+    return f"(?s) *({'|'.join([f'.{{1,{most}}}$', *marked, f'.{{1,{most}}}'])})"
+
+
 def split_chunks(text: Column, most: int = 120) -> Column:
     """Pieces of at most `most` characters, cut behind a sentence mark, else a lesser mark, else a space, else anywhere.
 
@@ -100,7 +153,5 @@ def split_chunks(text: Column, most: int = 120) -> Column:
     if most < 1:
         return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
     least = max(1, int(most * 0.55))
-    marked = [rf".{{{least},{most - 1}}}[{marks}]" for marks in (MAJOR_BREAKS, MINOR_BREAKS, " ")] if least < most else []
-    piece = "|".join([rf".{{1,{most}}}$", *marked, rf".{{1,{most}}}"])
-    found = F.regexp_extract_all(whole, F.lit(rf"(?s) *({piece})"), F.lit(1))
+    found = F.regexp_extract_all(whole, F.lit(chunk_pattern(most, least, most - 1) if least < most else chunk_pattern(most)), F.lit(1))
     return F.filter(F.transform(found, lambda c: F.trim(c)), lambda c: c != "")

@@ -48,6 +48,20 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark knows; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def rename_folder(spark: SparkSession, path: str, to: str) -> bool:
+    """False, without a change, if there is something by the new name."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not fs.exists(new) and fs.rename(old, new)
+
+
 @contextmanager
 def passing_cuts(spark: SparkSession) -> Iterator[None]:
     """What cut() stores inside the block is deleted after it, so nothing lazy that reads it may leave the block."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,35 +83,150 @@ def shard_rows(df: DataFrame, order: str, world: int) -> DataFrame:
     return dealt.withColumns({"rank": F.col("_place") % world, "pos": F.floor(F.col("_place") / world)}).drop("n", "_place")
 
 
-def greedy(frames: list[float], budget: float, most: int) -> tuple[list[int], list[int]]:
-    """Batch number and position of each item in turn: it joins the open batch if the running sum allows, else opens one."""
-    batch, pos, number, held, used = [], [], 0, 0, 0.0
-    for f in frames:
-        if held and not (used + f <= budget and (most == 0 or held < most)):
-            number, held, used = number + 1, 0, 0.0
-        batch.append(number)
-        pos.append(held)
-        held, used = held + 1, used + f
-    return batch, pos
+def offsets(ranged: DataFrame, *sums: Column) -> dict[int, tuple[int, ...]]:
+    """For each range (_task) what the ranges before it sum up to; one row a range comes to the driver."""
+    totals = ranged.groupBy("_task").agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(sums)]).collect()
+    before, out = (0,) * len(sums), {}
+    for r in sorted(totals):
+        out[r["_task"]] = before
+        before = tuple(x + y for x, y in zip(before, r[1:], strict=True))
+    return out
 
 
-def frame_batches(df: DataFrame, id_: str, frames: str, by: str, budget: float, most: int = 0, drop_last: bool = False) -> DataFrame:
-    """Plan of batches within each group of `by`: by, batch_id, pos, id, frames.
+def running_totals(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """The rows of in_ranges with, for each sum, the total of all rows before in the whole order; in place of _task and _at."""
+    named = ranged.withColumns({name: value.cast("long") for name, value in sums.items()})
+    before, names = offsets(named, *sums.values()), list(sums)
+    kept = [c for c in named.columns if c not in ("_task", "_at")]
+    schema = named.select(*kept).schema
 
-    Samples in order of frames (ties by id) fill batches of a frame budget and a number of samples; one that exceeds
-    the budget alone is a batch of its own. `drop_last` leaves out the last batch, whatever its size. A group is a
-    split or shard that one task can hold; use `frame_batches_streamed` for larger ones.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[int] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = now or list(before[b.column("_task")[0].as_py()])
+            made = {}
+            for k, name in enumerate(names):
+                x = b.column(name).to_numpy()
+                made[name] = pa.array(np.cumsum(x) - x + now[k])
+                now[k] += int(x.sum())
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in kept], names=kept)
+
+    return named.mapInArrow(run, schema)
+
+
+#: A millionth of a frame: lengths are compared and summed as whole numbers of these.
+MICRO = 1_000_000
+
+
+def exits(first: int, following: np.ndarray) -> np.ndarray:
+    """For each place of a range that begins at `first` the place at which its chain of batches leaves the range."""
+    to, end = following.copy(), first + len(following)
+    while (inside := np.flatnonzero(to < end)).size:
+        to[inside] = to[to[inside] - first]
+    return to
+
+
+def reached(edges: DataFrame) -> DataFrame:
+    """place: all that the chain of edges (place, to) from place 0 comes to, by pointer doubling."""
+    jumps, found, n = cut(edges), edges.where("place = 0").select("place"), 1
+    while True:
+        more = found.join(jumps, "place").select(F.col("to").alias("place"))
+        found = cut(found.unionByName(more).distinct())
+        before, n = n, found.count()
+        if n == before:
+            return found
+        jumps = cut(jumps.join(jumps.select(F.col("place").alias("to"), F.col("to").alias("_far")), "to").select("place", F.col("_far").alias("to")))
+
+
+def batch_starts(following: DataFrame, range_rows: int) -> DataFrame:
+    """(range, place) of each batch's first sample, from rows (range, place, to): where the batch would end if one began there.
+
+    Only a range is ever followed in one task: a chain's way through it, from where it comes in to where it leaves. The
+    places where chains can come in are few, a batch's length for each range, and the one chain that counts is found among
+    them by pointer doubling.
     """
-    rows = df.select(by, id_, F.col(frames).cast("double").alias("frames"))
-    schema = T.StructType([rows.schema[by], T.StructField("batch_id", T.LongType()), T.StructField("pos", T.LongType()), rows.schema[id_], T.StructField("frames", T.DoubleType())])
 
-    def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("frames", "ascending"), (id_, "ascending")])
-        batch, pos = greedy(t["frames"].to_pylist(), budget, most)
-        out = pa.table({by: t[by], "batch_id": pa.array(batch, pa.int64()), "pos": pa.array(pos, pa.int64()), id_: t[id_], "frames": t["frames"]})
-        return out.filter(pa.compute.less(out["batch_id"], batch[-1])) if drop_last and batch else out
+    def leave(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        return pa.table({"place": pa.array(np.unique(exits(t["place"][0].as_py(), t["to"].to_numpy())))})
 
-    return rows.groupBy(by).applyInArrow(pack, schema)
+    def step(key: tuple, entries: pa.Table, t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        places, first = np.unique(entries["place"].to_numpy()), key[0].as_py() * range_rows
+        held = places[places < first + t.num_rows]
+        return pa.table({"place": pa.array(held), "to": pa.array(exits(first, t["to"].to_numpy())[held - first])})
+
+    def walk(key: tuple, entries: pa.Table, t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        to, first, found = t["to"].to_numpy().tolist(), key[0].as_py() * range_rows, []
+        place = min(entries["place"].to_pylist(), default=first + len(to))
+        while place < first + len(to):
+            found.append(place)
+            place = to[place - first]
+        return pa.table({"range": pa.array([key[0].as_py()] * len(found), pa.int64()), "place": pa.array(found, pa.int64())})
+
+    def ranged(places: DataFrame) -> DataFrame:
+        return places.withColumn("range", F.floor(F.col("place") / range_rows))
+
+    zero = following.sparkSession.range(1).select(F.col("id").alias("place"))
+    entries = cut(following.groupBy("range").applyInArrow(leave, "place long").unionByName(zero).distinct())
+    by_range = following.groupBy("range")
+    edges = ranged(entries).groupBy("range").cogroup(by_range).applyInArrow(step, "place long, to long")
+    return cut(ranged(reached(edges)).groupBy("range").cogroup(by_range).applyInArrow(walk, "range long, place long"))
+
+
+def frame_batches(df: DataFrame, id_: str, frames: str, by: str, budget: float, most: int = 0, drop_last: bool = False, range_rows: int = 1 << 17) -> DataFrame:
+    """Plan of batches within each group of `by`: by, batch_id, pos, id, frames.
+
+    Samples in order of frames (ties by id) fill batches of a frame budget and a number of samples; one that exceeds
+    the budget alone is a batch of its own. `drop_last` leaves out the last batch, whatever its size. Lengths count to a
+    millionth, null and NaN as 0.
+
+    Groups may have any size. Running totals by ranges give each sample the place at which a batch from there would end:
+    among all running totals, sorted together with the limits, a limit stands behind the totals that it allows. Then
+    batch_starts() follows the chain of batches through ranges of `range_rows` places.
+    """
+    length = F.coalesce(F.nanvl(F.col("frames"), F.lit(0.0)), F.lit(0.0))
+    rows = df.select(F.col(by).alias("_by"), F.col(id_).alias("_id"), F.col(frames).cast("double").alias("frames"))
+    ranged = in_ranges(rows.withColumn("_length", length).withColumn("_units", F.round(length * MICRO).cast("long")), "_by", "_length", "_id")
+    placed = cut(running_totals(ranged, {"place": F.lit(1), "total": F.col("_units")}))
+    limits = placed.select("_by", (F.col("total") + round(budget * MICRO)).alias("value"), F.lit(1).alias("kind"), "place")
+    points = placed.select("_by", (F.col("total") + F.col("_units")).alias("value"), F.lit(0).alias("kind"), "place")
+    sorted_ = in_ranges(points.unionByName(limits), "_by", "value", "kind", "place")
+    counted = running_totals(sorted_, {"allowed": 1 - F.col("kind")}).where("kind = 1")
+    to = F.greatest(F.col("place") + 1, F.least("allowed", F.col("place") + most) if most else F.col("allowed"))
+    in_range = F.floor(F.col("place") / range_rows).alias("range")
+    following = cut(counted.select(in_range, "place", to.alias("to")))
+    if following.isEmpty():
+        return rows.select(F.col("_by").alias(by), F.lit(0).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("pos"), F.col("_id").alias(id_), "frames")
+    starts = batch_starts(following, range_rows)
+    # One row a range: how many batches began before it, and where the last of them did.
+    tally = starts.groupBy("range").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
+    before, last, opened = {}, 0, 0
+    counts = {r["range"]: r for r in tally}
+    for k in range(max(counts) + 1):
+        before[k] = (opened, last)
+        if k in counts:
+            opened, last = opened + counts[k]["n"], counts[k]["last"]
+
+    def settle(key: tuple, begun: pa.Table, t: pa.Table) -> pa.Table:
+        n, carried = before.get(key[0].as_py(), (opened, last))
+        edge, place = np.sort(begun["place"].to_numpy()), t["place"].to_numpy()
+        at = np.searchsorted(edge, place, side="right")
+        start = np.where(at > 0, edge[np.maximum(at, 1) - 1] if len(edge) else 0, carried)
+        return pa.table({"_by": t["_by"], "batch": pa.array(at + n), "pos": pa.array(place - start), "_id": t["_id"], "frames": t["frames"]})
+
+    schema = T.StructType([rows.schema["_by"], T.StructField("batch", T.LongType()), T.StructField("pos", T.LongType()), rows.schema["_id"], T.StructField("frames", T.DoubleType())])
+    held = placed.select(in_range, "place", "_by", "_id", "frames")
+    plan = cut(starts.groupBy("range").cogroup(held.groupBy("range")).applyInArrow(settle, schema))
+    groups = plan.groupBy(F.col("_by").alias("_group")).agg(F.min("batch").alias("_least"), F.max("batch").alias("_most"))
+    few = groups.limit(50_001).count() <= 50_000  # then a broadcast leaves the rows where they are, however many a group has
+    joined = plan.join(F.broadcast(groups) if few else groups, F.col("_by").eqNullSafe(F.col("_group")))
+    if drop_last:
+        joined = joined.where("batch < _most")
+    return joined.select(F.col("_by").alias(by), (F.col("batch") - F.col("_least")).alias("batch_id"), "pos", F.col("_id").alias(id_), "frames")
 
 
 def frame_batches_streamed(df: DataFrame, id_: str, frames: str, budget: float, most: int = 0) -> DataFrame:
@@ -137,9 +253,34 @@ def frame_batches_streamed(df: DataFrame, id_: str, frames: str, budget: float,
     return rows.mapInArrow(pack, schema)
 
 
+def shuffled_place(number: Column, n: Column | int, seed: int, rounds: int = 64) -> Column:
+    """Where 0..n-1 stand after a shuffle that the seed chooses: a permutation for every n, one expression a row, no sort.
+
+    In each round the numbers x and (k - x) mod n are partners, and a bit of their larger one decides whether they
+    change places. Plain arithmetic, so that any engine can repeat it.
+    """
+    n = (F.lit(n) if isinstance(n, int) else n).cast("long")
+
+    def step(x: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(mixed(r, seed), n) - x, n)
+        return F.when(F.shiftright(mixed(F.greatest(x, partner) * F.lit(64) + r, seed), 16).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), number.cast("long"), step)
+
+
+def mixed(x: Column, seed: int) -> Column:
+    """A number below 2**31 from a number and a seed."""
+    m = F.lit(2147483648)
+    return F.pmod(F.pmod(F.pmod(x, m) * F.lit(1103515245) + F.lit(12345 + seed * 40503), m) * F.lit(1664525) + F.lit(1013904223), m)
+
+
 def epoch_order(batches: DataFrame, epoch: int, batch: str = "batch_id") -> DataFrame:
-    """Batches in an order that the epoch's number seeds; the same for each run."""
-    return batches.orderBy(portable_key(F.col(batch), epoch), batch)
+    """Adds place (from 1): where each batch stands in the order that the epoch's number seeds; the same for each run.
+
+    Batches are numbered by ranges; their places follow from their numbers, so nothing is sorted by the shuffled order.
+    """
+    numbered = global_row_number(batches, batch)
+    return numbered.withColumn("place", shuffled_place(F.col("n") - 1, numbered.count(), epoch) + 1).drop("n")
 
 
 def collate(df: DataFrame, batch: str, order: str, ids: str) -> DataFrame:

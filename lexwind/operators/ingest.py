@@ -119,24 +119,26 @@ def dense_ids_by_appearance(df: DataFrame, key: str, order: str, out: str = "spe
     return named.join(ranked, "_key").drop("_key")
 
 
-def join_members(rows: DataFrame, members: DataFrame, file: str = "path", prefixes: Iterable[str] = ("clips/",)) -> DataFrame:
+def join_members(rows: DataFrame, members: DataFrame, file: str = "path", prefixes: Iterable[str | Column] = ("clips/",), by: tuple[str, ...] = ()) -> DataFrame:
     """Left join of metadata rows with archive members (ordinal, name), adding member and ordinal; null where none fits.
 
     The first prefix that the reader tries decides: the exact name prefix + file, else the first member in archive
     order whose name ends with the file's name; later prefixes matter only if that finds nothing, which a further
     exact name may still do. The suffix match runs as an equi-join on the names' last `n` characters for each length n
-    of a file name that the exact join has left over, so no rows are compared all against all.
+    of a file name that the exact join has left over, so no rows are compared all against all. `by` names columns of both sides,
+    such as the archive, that must agree.
     """
     keyed = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-    names = members.groupBy("name").agg(F.min("ordinal").alias("ordinal"))
-    tried = [F.concat(F.lit(p), F.col(file)) for p in prefixes]
-    exact = keyed.join(names.select(F.col("name").alias("_exact"), F.col("ordinal").alias("_at")), tried[0] == F.col("_exact"), "left")
-    left = exact.where("_exact is null").select("_row", F.col(file).alias("_file")).where("_file is not null and _file != ''")
+    names = members.groupBy(*by, "name").agg(F.min("ordinal").alias("ordinal"))
+    first = next(iter(prefixes))
+    wanted = keyed.withColumn("_exact", F.concat(F.lit(first) if isinstance(first, str) else first, F.col(file)))
+    exact = wanted.join(names.select(*by, F.col("name").alias("_exact"), F.col("ordinal").alias("_at")), [*by, "_exact"], "left")
+    left = exact.where("_at is null").select("_row", *by, F.col(file).alias("_file")).where("_file is not null and _file != ''")
     lengths = left.select(F.length("_file").alias("_n")).distinct()
-    ends = names.join(F.broadcast(lengths), F.length("name") >= F.col("_n")).select(F.substring("name", F.length("name") - F.col("_n") + 1, F.col("_n")).alias("_file"), "name", "ordinal")
-    ends = ends.groupBy("_file").agg(F.min_by("name", "ordinal").alias("_suffix"), F.min("ordinal").alias("_suffix_at"))
-    found = exact.join(left.join(ends, "_file").select("_row", "_suffix", "_suffix_at"), "_row", "left")
-    member, ordinal = F.coalesce("_exact", "_suffix"), F.coalesce("_at", "_suffix_at")
+    ends = names.join(F.broadcast(lengths), F.length("name") >= F.col("_n")).select(*by, F.substring("name", F.length("name") - F.col("_n") + 1, F.col("_n")).alias("_file"), "name", "ordinal")
+    ends = ends.groupBy(*by, "_file").agg(F.min_by("name", "ordinal").alias("_suffix"), F.min("ordinal").alias("_suffix_at"))
+    found = exact.join(left.join(ends, [*by, "_file"]).select("_row", "_suffix", "_suffix_at"), "_row", "left")
+    member, ordinal = F.coalesce(F.when(F.col("_at").isNotNull(), F.col("_exact")), "_suffix"), F.coalesce("_at", "_suffix_at")
     return found.select(*rows.columns, member.alias("member"), ordinal.alias("ordinal"))
 
 

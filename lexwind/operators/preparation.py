@@ -16,9 +16,10 @@ from lexwind.functions.maths import SAMPLE_RATE
 from lexwind.functions.text import clean_text
 from lexwind.functions.tokens import encode_text, padded, stretch_ids
 from lexwind.lineage import cut
-from lexwind.operators.batching import frame_batches
+from lexwind.operators.batching import frame_batches, global_row_number
 from lexwind.operators.ingest import clip_status, dense_ids_by_appearance, head, join_members, prepared, usable_audio
-from lexwind.sources.corpora import TarSource, archive_metadata, member_rows, wav_name
+from lexwind.sources.archives import member_contents, metadata_rows, tar_index
+from lexwind.sources.corpora import archive_metadata, wav_name
 
 #: Bytes and a rate to samples, or None.
 Read = Callable[[bytes, int], object]
@@ -40,24 +41,33 @@ def prepare_corpus(
     return passed.select(idx, wav_name(F.col(idx)).alias("audio_path"), F.col("_cleaned").alias("text"), F.lit(speaker_id).alias("speaker_id"), "samples")
 
 
-def clean_clips(rows: DataFrame, members: DataFrame, *, lang: str = "mn", rate: int = SAMPLE_RATE, read: Read = A.decoded_mp3, model=None) -> DataFrame:
+def clean_clips(
+    rows: DataFrame, members: DataFrame, *, lang: str = "mn", rate: int = SAMPLE_RATE, read: Read = A.decoded_mp3, model=None,
+    contents: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """All rows of an archive's metadata with what became of them: idx, client_id, speaker_id, audio_path, text, samples, status.
 
     rows: idx, path, sentence, client_id; members: ordinal, name, content. The status is ok, failed (no member or no audio),
     filtered or unnamed; samples are those of ok rows. Speaker ids go by first appearance among the named rows.
-    """
+
+    Rows and members of several archives have a column archive besides; a row then finds members of its own archive alone.
+    `contents` adds content to rows of found members, given their columns; without it content is a column of members.
+    """
+    by = ("archive",) if "archive" in rows.columns and "archive" in members.columns else ()
+    kept = ["idx", "client_id", "speaker_id", "text", "path", "sentence"]
     named = F.coalesce((F.col("path") != "") & (F.length(trimmed(F.col("sentence"))) >= 2), F.lit(False))
-    unnamed = rows.where(~named).select("idx", "client_id", F.lit(None).cast("long").alias("speaker_id"), F.lit(None).cast("string").alias("text"), "path", "sentence")
+    unnamed = rows.where(~named).withColumns({"speaker_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}).select(*kept)
     speakers = dense_ids_by_appearance(rows.where(named), "client_id", "idx")
-    texts = clean_text(speakers, "sentence", lang, "text").select("idx", "client_id", F.col("speaker_id").cast("long").alias("speaker_id"), "text", "path", "sentence")
+    texts = cut(clean_text(speakers, "sentence", lang, "text").withColumn("speaker_id", F.col("speaker_id").cast("long")).select(*kept, *by))
     clip = F.contains("name", F.lit("/clips/")) & F.endswith("name", F.lit(".mp3"))
-    first = members.where(clip).agg(F.min_by(F.regexp_replace("name", "[^/]*$", ""), "ordinal")).first()[0]
-    names = members.select("ordinal", "name")
-    found = join_members(cut(texts.where(F.length("text") >= 2)), names, "path", [p for p in (first, "clips/", "") if p is not None])
-    played = found.join(members.select("ordinal", F.col("content").alias("_content")), "ordinal", "left")
-    played = played.withColumn("samples", A.voice(F.col("_content"), rate, read, model))
-    every = played.select("idx", "client_id", "speaker_id", "text", "path", "sentence", "member", "samples").unionByName(
-        texts.where(F.coalesce(F.length("text") < 2, F.lit(True))).unionByName(unnamed).withColumns({"member": F.lit(None).cast("string"), "samples": F.lit(None).cast("array<float>")}))
+    folder = members.where(clip).groupBy(*by).agg(F.min_by(F.regexp_replace("name", "[^/]*$", ""), "ordinal").alias("_folder"))
+    spoken = texts.where(F.length("text") >= 2)
+    spoken = spoken.join(folder, list(by), "left") if by else spoken.crossJoin(F.broadcast(folder))  # one row
+    found = cut(join_members(spoken, members.select(*by, "ordinal", "name"), "path", [F.coalesce("_folder", F.lit("clips/"))], by))
+    met = found.where("ordinal is not null")
+    played = contents(met.select("idx", *by, "ordinal")) if contents else met.select("idx", *by, "ordinal").join(members.select(*by, "ordinal", "content"), [*by, "ordinal"])
+    heard = played.select("idx", A.voice(F.col("content"), rate, read, model).alias("samples"))
+    every = found.select(*kept, "member").join(heard, "idx", "left").unionByName(texts.where(F.coalesce(F.length("text") < 2, F.lit(True))).select(*kept).unionByName(unnamed), allowMissingColumns=True)
     n = F.when(F.col("samples").isNotNull(), F.size("samples"))
     status = clip_status(F.col("path"), F.col("sentence"), F.col("text"), F.col("member").isNotNull(), n, n / F.lit(float(rate)))
     out = every.withColumn("status", status)
@@ -65,15 +75,20 @@ def clean_clips(rows: DataFrame, members: DataFrame, *, lang: str = "mn", rate:
 
 
 def clean_archive(spark: SparkSession, path: str, *, most: int | None = None, **options) -> DataFrame:
-    """clean_clips of a tar archive: its metadata file is chosen, parsed and joined with its clips."""
-    spark.dataSource.register(TarSource)
-    scan = lambda suffix: spark.read.format("tar_members").option("suffix", suffix).load(path)
-    tables = scan(".tsv")
-    chosen = archive_metadata(tables.select("ordinal", "name")).first()["name"]
-    if chosen is None:
+    """clean_clips of a tar archive or several (comma-separated): each one's metadata file is chosen and parsed, and its rows find its clips.
+
+    idx counts the rows of all archives in turn. The archives are indexed once; then only the metadata and the clips that rows
+    have found are read, each from its place.
+    """
+    index = cut(tar_index(spark, path))
+    chosen = archive_metadata(index.select("archive", "ordinal", "name"), ("archive",)).where("name is not null")
+    tables = index.join(chosen, ["archive", "name"])
+    rows = metadata_rows(tables.groupBy("archive", "name").agg(F.max(F.struct("ordinal", "place", "offset", "size", "packed")).alias("m")).select("archive", "m.*"))
+    if tables.isEmpty():
         raise ValueError("No TSV metadata in the archive")
-    rows = member_rows(tables.where(F.col("name") == chosen))
-    return clean_clips(head(rows, "idx", most), scan(".mp3"), **options)
+    rows = global_row_number(rows, "place", "line").withColumn("idx", F.col("n") - 1).drop("n", "place", "line")
+    where = index.select("archive", "ordinal", "offset", "size", "packed")
+    return clean_clips(head(rows, "idx", most), index, contents=lambda met: member_contents(met.join(where, ["archive", "ordinal"])), **options)
 
 
 def training_samples(
@@ -104,8 +119,8 @@ def training_batches(samples: DataFrame, id_: str, *, budget: float, most: int =
     Samples are ordered by length, so they are padded little. `split` names a column whose values are batched apart. The samples
     are stored first, since the plan of batches and the batches both read them and features are dear.
     """
-    by = split or "_all"
     samples = cut(samples)
+    by = split or "_all"
     rows = samples if split else samples.withColumn("_all", F.lit(0))
     plan = frame_batches(rows, id_, "frames", by, budget, most, drop_last).select(by, "batch_id", "pos", id_)
     longest = plan.join(rows.select(id_, F.col("frames").alias("_n")), id_).groupBy(by, "batch_id").agg(F.max("_n").alias("_longest"))

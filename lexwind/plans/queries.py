@@ -387,15 +387,15 @@ def shard_assignment(s, d):
     return B.shard_rows(t(s, d, "supplier").select("s_suppkey"), "s_suppkey", 7).select("s_suppkey", c("rank").cast("long").alias("rank"), c("pos").cast("long").alias("pos"))
 
 
-_epoch = "(((batch_id * 2654435761 + 3 * 40503) % 4294967296 * 1103515245 + 12345) % 2147483648)"
+_mixed = lambda x: f"((({x}) % 2147483648 * 1103515245 + 12345 + 3 * 40503) % 2147483648 * 1664525 + 1013904223) % 2147483648"
 
 
-@query(f"""WITH b AS (SELECT DISTINCT CAST(s_suppkey % 20 AS HUGEINT) AS batch_id FROM supplier)
-SELECT CAST(batch_id AS BIGINT) AS batch_id, row_number() OVER (ORDER BY {_epoch}, batch_id) AS place FROM b""")
+@query(f"""WITH RECURSIVE b AS (SELECT s_suppkey AS batch_id, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS HUGEINT) AS x, CAST(count(*) OVER () AS HUGEINT) AS n FROM supplier),
+r AS (SELECT batch_id, x, n, CAST(0 AS HUGEINT) AS r FROM b UNION ALL SELECT batch_id, CASE WHEN {_mixed("greatest(x, partner) * 64 + r + 1")} // 65536 % 2 = 1 THEN partner ELSE x END, n, r + 1
+  FROM (SELECT *, (({_mixed("r + 1")} % n - x) % n + n) % n AS partner FROM r WHERE r < 64))
+SELECT batch_id, CAST(x + 1 AS BIGINT) AS place FROM r WHERE r = 64""")
 def epoch_order(s, d):
-    """Places are those at which the ordered batches arrive."""
-    ordered = B.epoch_order(t(s, d, "supplier").select((c("s_suppkey") % 20).cast("long").alias("batch_id")).distinct(), 3).toArrow()
-    return s.createDataFrame([(x, i + 1) for i, x in enumerate(ordered["batch_id"].to_pylist())], "batch_id long, place long")
+    return B.epoch_order(t(s, d, "supplier").select(c("s_suppkey").alias("batch_id")), 3)
 
 
 @query("""WITH b AS (SELECT c_custkey, c_custkey // 16 AS batch_id, range(11, 12 + c_custkey % 13) AS ids FROM customer), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS longest FROM b)
@@ -737,9 +737,11 @@ def audio_bytes(s, d):
     return resolved_audio(rows, files).select("k", F.decode("content", "UTF-8").alias("content"))
 
 
-@query("SELECT 0 AS idx, 'a.wav' AS audio_path, 'нэг' AS text, 3 AS speaker_id UNION ALL SELECT 1, 'b.wav', 'хоёр', 4")
+@query("SELECT n_nationkey AS idx, n_name AS audio_path, r_name AS text, n_regionkey AS speaker_id FROM nation JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS n, r_name FROM region) ON n = n_nationkey")
 def rows_of_lists(s, d):
-    return from_lists(s, ["a.wav", "b.wav", "c.wav"], ["нэг", "хоёр"], [3, 4, 5]).select("idx", "audio_path", "text", "speaker_id")
+    """Parallel lists that are read from tables; the shortest has one value a region."""
+    nations, regions = t(s, d, "nation").orderBy("n_nationkey").collect(), t(s, d, "region").orderBy("r_regionkey").collect()
+    return from_lists(s, [r.n_name for r in nations], [r.r_name for r in regions], [r.n_regionkey for r in nations]).select("idx", "audio_path", "text", c("speaker_id").cast("long").alias("speaker_id"))
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_custkey FROM orders UNION ALL SELECT CAST(c_custkey AS BIGINT), c_custkey FROM customer")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import csv
 import json
 import os
-import tarfile
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from lexwind.sources.sinks import pretty_json
 
 
 @dataclass(frozen=True)
@@ -111,9 +111,8 @@ def write_metadata(df: DataFrame, path: str) -> None:
 
 
 def metadata_document(df: DataFrame, order: str) -> DataFrame:
-    """One row with all records as one indented JSON array; for small exports, as it gathers the table."""
-    columns = [c for c in df.columns if c != order]
-    pretty = F.concat(F.lit("  "), F.replace(F.to_json(F.struct(*columns), {"pretty": "true"}), F.lit("\n"), F.lit("\n  ")))
+    """One row with all records as one indented JSON array; for small exports, as it gathers the table. `write_json_array` has no such bound."""
+    pretty = pretty_json([c for c in df.columns if c != order])
     gathered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), pretty.alias("j")))), lambda x: x["j"])
     return df.agg(F.concat(F.lit("[\n"), F.array_join(gathered, ",\n"), F.lit("\n]")).alias("json"))
 
@@ -123,21 +122,6 @@ def wav_name(index: Column, prefix: str = "sample") -> Column:
     return F.format_string(f"{prefix}_%06d.wav", index)
 
 
-def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
-    """Each row's bytes to a file of its own, in a folder of any file system that Arrow knows, or a plain path that all executors share."""
-
-    def save(rows) -> None:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        system.create_dir(root, recursive=True)
-        for r in rows:
-            with system.open_output_stream(f"{root}/{r[name]}") as f:
-                f.write(r[content])
-
-    df.select(name, content).foreachPartition(save)
-
-
 def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -164,41 +148,14 @@ def first_setting(*values: str | None, names: tuple[str, ...] = ()) -> str | Non
     return next((v for v in (*values, *(os.environ.get(n) for n in names)) if v), None)
 
 
-class TarSource(DataSource):
-    """Members of tar archives: spark.read.format("tar_members").load(path or comma-separated paths). One task an archive."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tar_members"
-
-    def schema(self) -> str:
-        return "archive string, ordinal long, name string, content binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return TarReader(self.options)
-
-
-class TarReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.suffix = options.get("suffix", "")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition):
-        with tarfile.open(partition.value) as tar:
-            for ordinal, member in enumerate(tar):
-                if member.isfile():
-                    wanted = not self.suffix or member.name.endswith(tuple(self.suffix.split("|")))
-                    yield partition.value, ordinal, member.name, tar.extractfile(member).read() if wanted else None
-
-
-def archive_metadata(members: DataFrame) -> DataFrame:
-    """One row (name): the last validated.tsv or train.tsv before the first clip, else the first other .tsv."""
+def archive_metadata(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """name: the last validated.tsv or train.tsv before the first clip, else the first other .tsv; one row, or one for each of `by`."""
     name = F.col("name")
-    first_clip = members.where(F.contains(name, F.lit("/clips/")) & F.endswith(name, F.lit(".mp3"))).agg(F.min("ordinal").alias("clip"))
+    clip = F.contains(name, F.lit("/clips/")) & F.endswith(name, F.lit(".mp3"))
+    first_clip = members.groupBy(*by).agg(F.min(F.when(clip, F.col("ordinal"))).alias("clip"))
     chosen = F.endswith(name, F.lit("validated.tsv")) | F.endswith(name, F.lit("train.tsv"))
     other = F.endswith(name, F.lit(".tsv")) & ~F.contains(F.lower(name), F.lit("validated"))
+    tables = members.where(F.endswith(name, F.lit(".tsv")))  # few, so the join below is small
+    placed = tables.join(first_clip, list(by)) if by else tables.crossJoin(F.broadcast(first_clip))
     seen = chosen & (F.col("clip").isNull() | (F.col("ordinal") < F.col("clip")))
-    return members.crossJoin(F.broadcast(first_clip)).agg(F.coalesce(F.max_by(F.when(seen, name), F.when(seen, F.col("ordinal"))), F.min_by(F.when(other, name), F.when(other, F.col("ordinal")))).alias("name"))
+    return placed.groupBy(*by).agg(F.coalesce(F.max_by(F.when(seen, name), F.when(seen, F.col("ordinal"))), F.min_by(F.when(other, name), F.when(other, F.col("ordinal")))).alias("name"))

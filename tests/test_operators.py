@@ -199,28 +199,3 @@ def test_running_best_over_ranges(spark):
         assert got[i] == (best, v > 0 and (best is None or v < best))
         best = v if v > 0 and (best is None or v < best) else best
     assert sorted(r.epoch for r in every_nth(spark.createDataFrame(losses, "epoch long, val_loss double"), "epoch", 7).collect()) == list(range(6, 300, 7))
-
-
-def test_archive_to_clips(spark, tmp_path):
-    """A tar archive with metadata and clips; WAV bytes stand in for MP3, since no ffmpeg is at hand."""
-    import io
-    import tarfile
-
-    import numpy as np
-
-    from lexwind.functions.audio import decoded, write_wav
-    from lexwind.operators.preparation import clean_archive
-
-    tone = lambda n: write_wav(0.3 * np.sin(np.arange(n) / 9), 24_000)
-    table = "client_id\tpath\tsentence\r\nc1\ta.mp3\t5 мод\r\n\nc2\tgone.mp3\tсайн уу\nc1\tb.mp3\tю\nc3\tb.mp3\tсайн байна\nc4\tc.mp3\tсайн байна\nc5\td.mp3\tHello\n"
-    members = [("cv/train.tsv", table.encode()), ("cv/clips/a.mp3", tone(14_400)), ("cv/clips/xb.mp3", tone(14_400)), ("cv/clips/c.mp3", b"no sound"), ("cv/clips/d.mp3", tone(14_400))]
-    with tarfile.open(tmp_path / "a.tar", "w") as tar:
-        for name, data in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    got = {r.idx: r for r in clean_archive(spark, str(tmp_path / "a.tar"), read=decoded).collect()}
-    assert {i: (r.status, r.speaker_id, r.text) for i, r in got.items()} == {
-        0: ("ok", 0, "таван мод"), 1: ("failed", 1, "сайн уу"), 2: ("unnamed", None, None), 3: ("ok", 2, "сайн байна"), 4: ("failed", 3, "сайн байна"), 5: ("filtered", 4, "")}
-    assert got[0].audio_path == "cv_000000.wav" and 12_000 <= len(got[0].samples) <= 14_400 and got[1].samples is None
-    assert len(clean_archive(spark, str(tmp_path / "a.tar"), read=decoded, most=1).collect()) == 1
