@@ -154,13 +154,17 @@ def spans_by_rows(rows: DataFrame, reach: int) -> DataFrame:
     return joined.select(*[c for c in rows.columns if c not in (*FOUND, "_row")], none("base", PART), none("spans", PART), none("cuts", "struct<at:int,start:int,kind:int>"))
 
 
-def scanned(rows: DataFrame, text: str, reach: int, many: int) -> tuple[DataFrame, DataFrame | None]:
-    """The rows with base and spans: those with up to `many` parts, and the others (with cuts), if there are any."""
-    t = F.col(text)
-    found = with_matches(rows, text)
+def n_parts() -> Column:
     total = F.lit(0)
     for c in FOUND:
         total = total + F.size(c)
+    return total
+
+
+def scanned(rows: DataFrame, text: str, reach: int, many: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with base and spans: those with up to `many` parts, and the others (with cuts), if there are any."""
+    t = F.col(text)
+    found, total = with_matches(rows, text), n_parts()
     # A part has a mark of its own or is a run of 20 characters. Marks and length rule most texts out, a count of runs most others.
     signs = F.length(t) - F.length(F.translate(t, "=:", "")) + (F.length(t) - F.length(F.replace(t, F.lit("AKIA"), F.lit("")))) / 4
     runs = F.regexp_count(t, F.lit("[A-Za-z0-9+/_-]{20,}"))
@@ -171,12 +175,6 @@ def scanned(rows: DataFrame, text: str, reach: int, many: int) -> tuple[DataFram
     return spans_in_row(found.where(~likely | (total <= many)), reach), spans_by_rows(heavy, reach)
 
 
-def add_spans(rows: DataFrame, text: str, reach: int = 200, many: int = MANY) -> DataFrame:
-    """Adds base and spans: arrays of (start, kind, end) in that order; kinds are positions in KINDS. Null texts have none."""
-    light, heavy = scanned(rows, text, reach, many)
-    return light if heavy is None else light.unionByName(heavy.drop("cuts"))
-
-
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 200, many: int = MANY) -> DataFrame:
     """One row per document: doc_id, base and spans (arrays of start, kind, end in code points, end exclusive).
 
@@ -184,14 +182,19 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     go by kind; texts of any length are scanned whole; extra columns do no harm; an empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    return add_spans(rows, "text", reach, many).drop("text")
+    # Texts are read once: what was found in them is stored, and its number decides how it is put together.
+    found = cut(with_matches(rows, "text").select("doc_id", *FOUND))
+    heavy = found.where(n_parts() > many).withColumn("_row", F.monotonically_increasing_id())
+    light = spans_in_row(found.where(n_parts() <= many), reach)
+    return light if heavy.isEmpty() else light.unionByName(spans_by_rows(cut(heavy), reach).drop("cuts"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = None, reach: int = 200, many: int = MANY) -> DataFrame:
     """The rows of `docs` with every span in the text replaced by its kind in brackets; overlapping spans become one.
 
     `chars_col`, if given, is set to the new length. Rows without spans, null texts among them, are unchanged, as are extra
-    columns; an empty table gives no rows.
+    columns; an empty table gives no rows. Of spans that start together the first kind names the whole; texts of any length are
+    rewritten whole, and repeated rows each for itself.
     """
     flat = positional(docs)
     text = f"_c{docs.columns.index(text_col)}"
