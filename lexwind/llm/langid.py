@@ -127,7 +127,7 @@ def fit(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_col:
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text or ""))
-        langs, kinds, values = [], [], []
+        langs, buckets_, scripts_, values = [], [], [], []
         for lang, words in seen.items():
             sums, scripts, listed = np.zeros(BUCKETS), Counter(), list(words)
             for at in range(0, len(listed), 10_000):
@@ -138,33 +138,39 @@ def fit(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_col:
                 scripts[script_of(w)] += n
             for k in np.flatnonzero(sums).tolist():
                 langs.append(lang)
-                kinds.append(str(k))
+                buckets_.append(k)
+                scripts_.append("")
                 values.append(int(sums[k]))
             for s, n in scripts.items():
                 langs.append(lang)
-                kinds.append(s)
+                buckets_.append(-1)
+                scripts_.append(s)
                 values.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.int64())], names=["lang", "kind", "n"])
+        columns = [pa.array(langs, pa.string()), pa.array(buckets_, pa.int32()), pa.array(scripts_, pa.string()), pa.array(values, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "script", "n"])
 
-    # The sample is at most sample_docs rows a language, so it is broadcast; of equal rows one stays.
-    sample = rows.join(F.broadcast(chosen), ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.first("text").alias("text")).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang string, kind string, n long").groupBy("lang", "kind").agg(F.sum("n").alias("n")).toPandas()
-    return build(counts, least_share)
+    # The sample is at most sample_docs rows a language; of equal rows one stays.
+    sample = attach(rows, chosen, ["lang", "draw"], "inner").groupBy("lang", "draw").agg(F.first("text").alias("text")).select("text", "lang")
+    counts = cut(sample.mapInArrow(count, "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")))
+    # One row a language comes to the driver, with at most BUCKETS numbers and one for each script.
+    tables = counts.where("bucket >= 0").groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    return build(tables.orderBy("lang").toArrow(), counts.where("bucket < 0").groupBy("lang", "script").agg(F.sum("n").alias("n")).collect(), least_share)
 
 
-def build(counts, least_share: float) -> Model:
-    langs = sorted(counts["lang"].unique().tolist())
-    at = counts["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=np.int64)
-    numeric = counts["kind"].str.isdigit().to_numpy(dtype=bool)
+def build(tables: pa.Table, seen: list, least_share: float) -> Model:
+    """tables: lang and counts (bucket and n) by language; seen: rows lang, script, n."""
+    langs = sorted(tables["lang"].to_pylist())
     table = np.full((BUCKETS, len(langs)), 0.05)
-    table[counts["kind"].to_numpy()[numeric].astype(np.int64), at[numeric]] += counts["n"].to_numpy()[numeric]
+    for lang, row in zip(tables["lang"].to_pylist(), tables["counts"], strict=True):
+        table[row.values.field("bucket").to_numpy(), langs.index(lang)] += row.values.field("n").to_numpy()
     log_prob = np.log(table / table.sum(axis=0)).astype(np.float32) if langs else table.astype(np.float32)
     totals = np.zeros(len(langs))
-    np.add.at(totals, at[~numeric], counts["n"].to_numpy()[~numeric])
+    for r in seen:
+        totals[langs.index(r.lang)] += r.n
     scripts: dict[str, np.ndarray] = {}
-    for k, n, i in zip(counts["kind"].to_numpy()[~numeric], counts["n"].to_numpy()[~numeric], at[~numeric], strict=True):
-        if n >= least_share * totals[i]:
-            scripts.setdefault(k, np.zeros(len(langs), dtype=bool))[i] = True
+    for r in seen:
+        if r.n >= least_share * totals[langs.index(r.lang)]:
+            scripts.setdefault(r.script, np.zeros(len(langs), dtype=bool))[langs.index(r.lang)] = True
     return Model(langs, log_prob, scripts, int(totals.argmax()) if langs else -1)
 
 

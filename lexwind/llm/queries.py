@@ -80,7 +80,7 @@ def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labelled = identify(docs, fit(docs, ~held_out))
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
