@@ -108,16 +108,26 @@ def placed_rows(rows: DataFrame, levels: int) -> DataFrame:
     return join_by_frequency(table.select(*kept, "g"), counted, "g", "n").select(*kept, "shard")
 
 
-def kd_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", levels: int = 4) -> DataFrame:
+def kd_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", levels: int = 4, target_bytes: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard (0 to 2**levels - 1) and slot (gapless from 0 in its shard).
 
     size is the UTF-8 bytes of the text plus 1; a null text has none. Null languages and sources stand first along
     their dimension, null ids first within a shard. Repeated rows and equal texts get slots of their own; texts of any
     length count whole; extra columns do no harm. An empty table gives no rows; with fewer groups than shards some
-    shards stay empty.
+    shards stay empty. With `target_bytes`, `levels` is the least number of splits after which an even leaf holds at most
+    so many bytes.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col)
-    return slots(placed_rows(rows, levels))
+    return slots(placed_rows(rows, levels if target_bytes is None else levels_for(rows, target_bytes)))
+
+
+def levels_for(rows: DataFrame, target_bytes: int) -> int:
+    """How often everything is halved until a leaf has the target size. Splits are at weighted medians, so all leaves get there together."""
+    total = rows.agg(F.sum(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1)).first()[0] or 0
+    levels = 0
+    while total > target_bytes << levels:
+        levels += 1
+    return levels
 
 
 def slots(placed: DataFrame) -> DataFrame:
@@ -135,7 +145,9 @@ def slots(placed: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(before), ["shard", "task"]).select(*placed.columns, (F.col("before") + F.col("at") - F.col("first_at")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", levels: int = 4, salts: int = 16) -> None:
+def write_shards(
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", levels: int = 4, target_bytes: int | None = None, salts: int = 16,
+) -> None:
     """Write whole documents into one folder a shard (shard=0, shard=1, ...), many files a shard, by slot order within each.
 
     Every row of `docs` is written once. Rows meet their places by a hash of the whole row; of equal rows one stands for
@@ -145,6 +157,8 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     flat = positional(docs)
     at = {new: F.col(f"_c{docs.columns.index(c)}").alias(new) for new, c in (("doc_id", id_col), ("text", text_col), ("lang", lang_col), ("source", source_col))}
     keyed = flat.select("*", *row_keys(flat))
+    if target_bytes is not None:
+        levels = levels_for(keyed.select(at["text"]), target_bytes)
     places = cut(slots(placed_rows(keyed.select(*KEYS, *at.values()), levels)).select(*KEYS, "shard", "slot"))
     counts = cut(places.groupBy(*KEYS).agg(F.count("*").alias("n")))
     whole = one_of_each(keyed, counts.withColumn("_salts", F.least(F.lit(salts).cast("long"), F.col("n"))))
