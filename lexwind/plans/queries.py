@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexwind import lexicon as L
 from lexwind.functions import maths as M
+from lexwind.functions import sql
 from lexwind.functions import tokens as K
 from lexwind.functions.audio import concat_with_pause, decode_audio, decoded, encode_wav, mel_spectrogram, trim_silence, wav_seconds
 from lexwind.functions.numbers import digit_reading, normalize_numbers, number_words, ordinal_words, roman_to_int, stages, thousands_joined
@@ -29,11 +30,11 @@ c, lit = F.col, F.lit
 MN, KZ = L.WORDS["mn"], L.WORDS["kz"]
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
         return f
 
     return add
@@ -63,6 +64,14 @@ def number_words_mn(s, d):
     return t(s, d, "orders").select("o_orderkey", number_words(c("o_orderkey"), "mn").alias("words"))
 
 
+@query(O.select(f"p_partkey, {O.words('p_partkey', 'mn')} AS mn, {O.words('p_partkey', 'kz')} AS kz, {O.ordinal('p_partkey', 'mn')} AS nth_mn, {O.ordinal('p_partkey', 'kz')} AS nth_kz", "part", "mn kz"))
+def words_in_sql(s, d):
+    """Number words by their SQL names."""
+    sql.register(s)
+    t(s, d, "part").createOrReplaceTempView("lexwind_part")
+    return s.sql("SELECT p_partkey, number_words(p_partkey, 'mn') AS mn, number_words(p_partkey, 'kz') AS kz, ordinal_words(p_partkey, 'mn') AS nth_mn, ordinal_words(p_partkey, 'kz') AS nth_kz FROM lexwind_part")
+
+
 @query(O.select(f"o_orderkey, {O.words('o_orderkey', 'kz')} AS words", "orders", "kz"))
 def number_words_kz(s, d):
     return t(s, d, "orders").select("o_orderkey", number_words(c("o_orderkey"), "kz").alias("words"))
@@ -375,6 +384,14 @@ def frame_batches(s, d):
     return B.frame_batches(rows, "event_id", "f", "event_type", 48_000, 48).drop("frames")
 
 
+@query(ORACLE_SQL["frame_batches"])
+def packed_batches(s, d):
+    """The plan of frame_batches by its table function, called in SQL."""
+    sql.register(s)
+    t(s, d, "events").where(c("value").between(1, 30)).withColumn("f", M.frames(c("value"))).createOrReplaceTempView("lexwind_samples")
+    return s.sql("SELECT event_type, batch_id, pos, event_id FROM pack_batches(TABLE(lexwind_samples), by => 'event_type', id => 'event_id', frames => 'f', budget => 48000.0, most => 48)")
+
+
 @query("""WITH b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents), k AS (SELECT *, n // 48 AS batch_id, n % 48 AS pos, count(*) OVER (PARTITION BY n // 48) AS size FROM b)
 SELECT doc_id, batch_id, pos FROM k WHERE size = 48""")
 def fixed_batches(s, d):
@@ -722,10 +739,12 @@ def training_table(s, d):
     return batches.select("k", c("mel_length").cast("long").alias("frames"), "batch_id", "pos", joined("text_ids").alias("text_ids"), F.size(F.get("mel", lit(0))).cast("long").alias("width"))
 
 
-@query("SELECT s_suppkey AS k, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 900 ELSE 4800 + 2560 * (s_suppkey % 3) END AS DOUBLE) / 24000 AS seconds, CASE WHEN s_suppkey % 5 = 0 THEN 900 ELSE 4800 + 2560 * (s_suppkey % 3) END AS samples FROM supplier")
+@query("""SELECT s_suppkey AS k, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 900 ELSE 4800 + 2560 * (s_suppkey % 3) END AS DOUBLE) / 24000 AS seconds, CASE WHEN s_suppkey % 5 = 0 THEN 900 ELSE 4800 + 2560 * (s_suppkey % 3) END AS samples,
+  round(round(sin((100 + s_suppkey % 800) * (2 * pi() * 220 / 24000)) * 0.3 * 32767) / 32768, 3) AS sample FROM supplier""")
 def audio_headers(s, d):
-    """Durations by the headers and decoded lengths of WAV files."""
-    return spoken_rows(s, d, 4800, 900).select("k", wav_seconds(c("content")).alias("seconds"), F.size(decode_audio(c("content"))).alias("samples"))
+    """Durations by the headers, decoded lengths and one sample's value of WAV files."""
+    rows = spoken_rows(s, d, 4800, 900).select("k", wav_seconds(c("content")).alias("seconds"), decode_audio(c("content")).alias("x"))
+    return rows.select("k", "seconds", F.size("x").alias("samples"), F.round(F.get("x", (c("k") % 800 + 100).cast("int")).cast("double"), 3).alias("sample"))
 
 
 @query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'in ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'file ' || s_suppkey END AS content FROM supplier")

@@ -93,3 +93,18 @@ def test_digits_of_other_scripts(spark):
     for name, stage in stages("mn").items():
         assert rows.select(stage(F.col("text"))).first() is not None, name
     assert rows.select(digit_reading(F.lit("٣0"))).first()[0] == "гурав тэг"
+
+
+@pytest.mark.parametrize("lang", ["mn", "kz"])
+@pytest.mark.parametrize("attributive", [False, True])
+def test_numbers_of_any_length(spark, lang, attributive):
+    draw = random.Random(7)
+    numbers = [draw.randrange(10 ** (n - 1), 10**n) for n in (37, 40, 48, 49, 64, 100, 121)] + [10**100, 10**99 + 1, 2 * 10**60, int("1" * 300), draw.randrange(10**2000)]
+    rows = spark.createDataFrame([(str(n), spelled(n, lang, attributive)) for n in numbers] + [("000" + "7" * 50, spelled(int("7" * 50), lang, attributive)), ("0" * 60, spelled(0, lang, attributive) or L.WORDS[lang]["zero"])], "d string, wanted string")
+    for r in rows.select("wanted", digits_words(F.col("d"), lang, attributive).alias("said")).collect():
+        assert r.said == r.wanted
+
+
+def test_a_very_long_run_of_digits_takes_linear_time(spark):
+    said = spark.createDataFrame([("9" * 120_000,)], "d string").select(F.length(digits_words(F.col("d"), "mn", False))).first()[0]
+    assert said > 120_000
