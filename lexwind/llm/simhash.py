@@ -244,17 +244,41 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
         filed = filed_under(large.select("fp", "masks"), F.col("masks"))
 
 
-def linked_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float | None, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(rows doc_id, KEYS, fp, n: distinct rows and how often they come; fp, root, component_id, n: fingerprints and their components)."""
-    made = fingerprints(docs, id_col, text_col, shingle if similarity is not None else None)
+def verified_links(docs: DataFrame, text_col: str, rows: DataFrame, links: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links between texts (by node) of that similarity: among those within 3 bits, and all others.
+
+    Each fingerprint's texts are compared with its first one, and the first ones of linked fingerprints with each other.
+    """
+    marks = cut(rows.where("shingles > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "shingles", "bits")]))
+    first = marks.groupBy("print").agg(F.min("node").alias("first"))
+    equal = marks.join(first, "print").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (first.select(F.col("print").alias(k), F.col("first").alias(f"_{k}")) for k in ("a", "b"))
+    near = links.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    texts = pick(docs, text=text_col).where("text is not null").select(F.xxhash64("text").alias("node"), "text")
+    return similar_links(texts, marks.withColumn("fp", F.col("node")), candidates=equal.unionByName(near), similarity=similarity, shingle=shingle)
+
+
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float | None, shingle: int, verify: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows doc_id, KEYS, fp, print, n: distinct rows and how often they come; fp, root, component_id, n: what is linked, and its components).
+
+    print is the fingerprint, and so is fp, unless `verify`: then fp stands for the text (0 for all without words).
+    """
+    made = fingerprints(docs, id_col, text_col, shingle if similarity is not None else None).withColumn("print", F.col("fp"))
+    if verify:
+        made = made.withColumn("node", F.when(F.col("shingles") > 0, F.col("node")).otherwise(F.lit(0))).withColumn("fp", F.col("node"))
     rows = cut(made.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in made.columns if c not in KEYS], F.count("*").alias("n")))
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
-    links = link_fingerprints(groups.select("fp"))
-    if similarity is not None:
+    if verify:
+        prints = rows.where("shingles > 0").select(F.col("print").alias("fp")).distinct()
+        links = verified_links(docs, text_col, rows, cut(link_fingerprints(prints)), similarity, shingle)
+    else:
+        links = link_fingerprints(groups.select("fp"))
+    if similarity is not None and not verify:
         links = cut(links)
         texts = pick(docs, text=text_col).where("text is not null").select(F.xxhash64("text").alias("node"), "text")
         marks = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "shingles", "bits")]))
         links = links.unionByName(similar_links(texts, marks, links, similarity=similarity, shingle=shingle))
+    if similarity is not None:
         rows = rows.drop("node", "shingles", "bits")
     roots = cut(connected_components(links))
     # A component's root is a node without a row of its own in roots.
@@ -264,29 +288,31 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float |
     return rows, cut(groups.join(labelled, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"), "n"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5, verify: bool = False) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id (the smallest doc_id reachable over links of at most 3 bits).
 
     With `similarity`, texts whose sets of `shingle`-word shingles have at least that Jaccard similarity are linked too,
-    all of them, however many bits their fingerprints differ in.
+    all of them, however many bits their fingerprints differ in. With `verify` no others are: links of 3 bits, and texts with equal
+    fingerprints, are compared by their shingles too.
 
     Null texts and texts without words have the fingerprint 0, which links like any other; texts of any length are read
     whole. Repeated rows stay rows of their own in the same component. A null id never is the smallest, unless the
     component has no other. Extra columns do no harm. An empty table gives no rows.
     """
-    rows, named = linked_rows(docs, id_col, text_col, similarity, shingle)
+    rows, named = linked_rows(docs, id_col, text_col, similarity, shingle, verify)
     labelled = join_by_frequency(rows.withColumnRenamed("n", "times"), named.drop("root"), "fp", "n")
-    return repeated(labelled, "times").select("doc_id", "fp", "component_id")
+    return repeated(labelled, "times").select("doc_id", F.col("print").alias("fp"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
-    """Of each component the row with the smallest id, whole.
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle: int = 5, verify: bool = False) -> DataFrame:
+    """Of each component (as near_duplicates has them) the row with the smallest id, whole.
 
     Rows that share an id but differ otherwise are told apart, so each component keeps one row; of several rows with its
     smallest id the one with the least hash of all columns stays, however the table is partitioned. Rows without an id
-    stand last. Null and empty texts are one component.
+    stand last. Null and empty texts, and all others without words, are one component. Texts of any length are read whole; an empty table gives no
+    rows; extra columns are kept and do no harm.
     """
-    rows, named = linked_rows(docs, id_col, text_col, similarity, shingle)
+    rows, named = linked_rows(docs, id_col, text_col, similarity, shingle, verify)
     labelled = join_by_frequency(rows.withColumnRenamed("n", "times"), named.select("fp", "root", "n"), "fp", "n")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *KEYS, "times")).alias("first")
     chosen = cut(labelled.groupBy("root").agg(first).select(*[f"first.{k}" for k in KEYS], F.col("first.times").alias("n")))

@@ -155,11 +155,13 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray |
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def similar_links(texts: DataFrame, marks: DataFrame, links: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def similar_links(texts: DataFrame, marks: DataFrame, links: DataFrame | None = None, *, candidates: DataFrame | None = None, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Links (a, b) between fingerprints that connect, along with `links`, all texts whose shingle sets are that similar.
 
-    texts: node (a hash of the text) and text, not null; marks: node, fp, shingles (how many), bits (parities). Texts
-    without words have no shingles and no links.
+    texts: node (a hash of the text) and text, not null; marks: node, fp, shingles (how many), bits (parities). In place of `links`
+    there may be `candidates`, pairs (a, b) of nodes that are compared first; those that are similar are among the result. Texts
+    without words have no shingles and no links; texts of any length are compared whole; repeated texts are one; of an empty
+    table there are no links; extra columns do no harm.
     """
     share = Fraction(str(similarity))
     rule = Rule(share)
@@ -239,65 +241,48 @@ def similar_links(texts: DataFrame, marks: DataFrame, links: DataFrame, *, simil
         both = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("fp_a", "fp_b", "x", "y")
         return cut(both.mapInArrow(compare, "a long, b long").distinct())
 
+    near = None
+    if candidates is not None:
+        links = near = verified(candidates.distinct(), marks.withColumn("root", F.col("fp")))
     filed = texts.mapInArrow(file, "key long, node long, n int, at int")
     met = cut(filed.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pair, "a long, b long, key long, n int, at int"))
     release(texts.sparkSession)
     first = verified(met.where("b is not null").select("a", "b").distinct(), rooted(connected_components(links)))
     release(texts.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("node"), "n", "at")
+    found = first if near is None else near.unionByName(first)
     if large.isEmpty():
-        return first
+        return found
     known = rooted(connected_components(links.unionByName(first)))
-    placed = cut(large.join(known.select("node", "root"), "node"))
-    parted = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    rest = placed.join(parted, "key", "left_semi").select("key", "node", "n", "at", "root")
+    # A key matters only if its texts are of several components; how many aren't of the largest one is counted first.
+    sizes = large.join(known.select("node", "root"), "node").groupBy("key", "root").agg(F.count("*").alias("n"))
+    parted = cut(sizes.groupBy("key").agg((F.sum("n") - F.max("n")).alias("others")).where("others > 0").select("key"))
+    rest = large.join(known.select("node", "root", "bits"), "node").join(parted, "key", "left_semi").select("key", "node", "n", "at", "root", "bits")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of different components within a key; the rows of the largest component are not compared with each other.
-
-        Rows without bits whose key has over SMALL others are passed on (with b null), to come again with bits.
-        """
+        """Pairs of different components within a key; the rows of the largest component are not compared with each other."""
         for t in whole_keys(batches):
             key, node, n, at, root = (c.to_numpy() for c in t.columns[:5])
             n, at = n.astype(np.int64), at.astype(np.int64)
-            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64) if t.num_columns > 5 else None
+            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            out, on = [[], []], [np.empty(0, dtype=np.int64)]
-            for first, last in zip(edge[:-1], edge[1:], strict=True):
-                names, counts = np.unique(root[first:last], return_counts=True)
+            for first_, last in zip(edge[:-1], edge[1:], strict=True):
+                names, counts = np.unique(root[first_:last], return_counts=True)
                 largest = names[counts.argmax()]
-                others = first + np.flatnonzero(root[first:last] != largest)
-                if bits is None and len(others) > SMALL:
-                    on.append(np.arange(first, last))
-                    continue
-                for i in others.tolist():
-                    j = np.arange(first, last)
+                out = [[np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]]
+                for i in (first_ + np.flatnonzero(root[first_:last] != largest)).tolist():
+                    j = np.arange(first_, last)
                     j = j[(root[j] != root[i]) & ((root[j] == largest) | (j > i))]
                     j = j[rule.sizes(n[j], n[i]) & rule.places(n[j], at[j], n[i], at[i])]
-                    if bits is not None:
-                        j = j[rule.bits(bits[j], bits[i], n[j] + n[i])]
-                    a, b = ordered(node[j], np.full(len(j), node[i]))
-                    out[0].append(a)
-                    out[1].append(b)
-            a, b = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in out)
-            i = np.concatenate(on)
-            columns = [pa.array(np.concatenate((a, node[i]))), pa.concat_arrays([pa.array(b), pa.nulls(len(i), pa.int64())])]
-            for c, kind in ((key, pa.int64()), (n, pa.int32()), (at, pa.int32()), (root, pa.int64())):
-                columns.append(pa.concat_arrays([pa.nulls(len(a), kind), pa.array(c[i]).cast(kind)]))
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "n", "at", "root"])
-
-    def crossed(rows: DataFrame) -> DataFrame:
-        return cut(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(cross, "a long, b long, key long, n int, at int, root long"))
-
-    found = crossed(rest)
-    more = found.where("b is not null").select("a", "b")
-    hard = found.where("b is null").select("key", F.col("a").alias("node"), "n", "at", "root")
-    if not hard.isEmpty():
-        more = more.unionByName(crossed(hard.join(known.select("node", "bits"), "node").select("key", "node", "n", "at", "root", "bits")).select("a", "b"))
-    more = cut(more.distinct())
+                    j = j[rule.bits(bits[j], bits[i], n[j] + n[i])]
+                    for side, x in zip(out, ordered(node[j], np.full(len(j), node[i])), strict=True):
+                        side.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b"])
+
+    more = cut(rest.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(cross, "a long, b long").distinct())
     release(texts.sparkSession)
     if more.isEmpty():
-        return first
+        return found
     second = verified(more, known)
     release(texts.sparkSession)
-    return first.unionByName(second)
+    return found.unionByName(second)

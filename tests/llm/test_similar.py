@@ -82,3 +82,23 @@ def test_large_groups_by_brute_force(spark):
             label[a] = label[b] = min(label[a], label[b])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, similarity=0.8).collect()} == label
+
+
+def test_verified_links_are_the_similar_pairs(spark):
+    """With verify nothing but the similarity counts, over families, short texts within few bits, and texts without words."""
+    texts = changed_texts() | {9000 + i: f"a b c d {'x' if i % 2 else 'y'} w{i // 8}" for i in range(80)}
+    draw = random.Random(5)
+    short = {10_000 + i: " ".join(draw.choices("abcdefg", k=8)) for i in range(300)}
+    texts |= short
+    label = {i: i for i in texts}
+    edges = [(a, b) for a in texts for b in texts if a < b and similar(texts[a], texts[b])]
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [*texts.items(), (20_000, None), (20_001, ""), (20_002, " \n"), (20_003, None)]
+    label |= {i: 20_000 for i in range(20_000, 20_004)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.component_id, r.fp) for r in near_duplicates(docs, similarity=0.8, verify=True).collect()}
+    assert {i: c for i, (c, _) in got.items()} == label
+    assert all(f % (1 << 64) == fingerprint(dict(rows)[i]) for i, (_, f) in got.items())
+    assert {r.doc_id for r in keep_representatives(docs, similarity=0.8, verify=True).collect()} == set(label.values())
