@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from lexwind.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, WEAK_ID, WEAK_SECRET
+# Patterns and names of the secret scan, stated here a second time, so that a slip in the operator shows.
+KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
+WORDY = "[A-Za-z0-9+/_.=-]"
+ASSIGN = rf"""((?i:passw(?:or)?d|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?({WORDY}+)"""
+ACCESS = "AKIA[0-9A-Z]+"
+HEX = "[a-f0-9]{24,}"
+WEAK_ID = r"""(?i:access_?key_?id|client_?id|account(?:_?name)?|user(?:_?name)?|login)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9@+/_.-]{3,})"""
+WEAK_SECRET = "[0-9A-Za-z_/+-]{20,}={0,2}"
+ENDPOINT = r"(?:http|https|ftp|ssh|s3|postgres|postgresql|mysql|mongodb|redis|amqp)://[0-9A-Za-z%=;,+*()&$!@#?/:~_.-]+"
 
 URLS = r"""
 WITH parsed AS (

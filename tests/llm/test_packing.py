@@ -97,3 +97,26 @@ def test_query_by_brute_force(spark):
         seen[p.doc_id] += p.length
     assert all(seen[d] == len(w) for d, w in whole.items())
     assert len({p.sequence_id for p in pieces}) == -(-sum(map(len, whole.values())) // 2048)
+
+
+def test_white_space_of_a_million_signs_through_all_stages(spark):
+    """A text with a run of 1,000,000 white-space signs passes every stage of the pipeline whole; the others are untouched."""
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    some = lambda: " ".join(f"{draw.choice('bcdfg')}a{draw.choice('lmnprst')}{draw.randrange(900)}" for _ in range(60))
+    rows = [(i, some(), "en", "ab"[i % 2], 1) for i in range(40)] + [(100 + k, f"{some()}{sign * 1_000_000}{some()}", "en", "a", 1) for k, sign in enumerate(" \t\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        if name in ("simhash_near_dedup", "secret_scans"):
+            texts = {r.doc_id: r.text for r in now.collect()}
+            assert all(texts[i] == t for i, t, *_ in rows if i in texts)
+    long = docs.where("doc_id >= 100")
+    pieces = corpus_pipeline.packing(spark, long, "").collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t, *_ in rows[40:]:
+        mine = sorted((p.start, bytes(p.tokens)) for p in pieces if p.doc_id == i)
+        ids = np.frombuffer(b"".join(x for _, x in mine), dtype="<u4").tolist()
+        assert ids == [*library.encode(t, add_special_tokens=False).ids, 1]
