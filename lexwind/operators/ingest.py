@@ -155,7 +155,8 @@ def zip_by_position(left: DataFrame, right: DataFrame, index: str = "idx", stric
 def union_sources(sources: Iterable[tuple[int, Callable[[], DataFrame]]]) -> tuple[DataFrame | None, list[str]]:
     """Union by name of (speaker id, loader) sources. One that fails is skipped; its error is returned.
 
-    A source is tried by reading its first row, so one that can be planned but not read is skipped too.
+    A source is tried by reading its first row, so one that can be planned but not read is skipped too. What is damaged further on
+    shows only when the union is read, and then as an error: rows are not left out silently.
     """
     loaded, errors = [], []
     for speaker, load in sources:

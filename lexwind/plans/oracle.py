@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 from lexwind import lexicon as L
-from lexwind.functions.numbers import CHUNK_DIGITS, group_words
 
 Z = {k: v["zero"] for k, v in L.WORDS.items()}
+#: Digits below the largest scale.
+CHUNK_DIGITS = {"mn": 12, "kz": 9}
+
+
+def group_words(lang: str, attributive: bool) -> list[str]:
+    """0 to 999 in words, sign by sign: a word is attributive if another follows or the whole is."""
+    plain = (L.MN_ONES, L.MN_TENS, L.MN_HUNDRED) if lang == "mn" else (L.KZ_ONES, L.KZ_TENS, L.KZ_HUNDRED)
+    before = (L.MN_ONES_ATTR, L.MN_TENS_ATTR) if lang == "mn" else (L.KZ_ONES, L.KZ_TENS)
+    said = []
+    for h, t, o in (map(int, f"{n:03d}") for n in range(1000)):
+        parts = [before[0][h - 1]] if h > 1 else []
+        if h:
+            parts.append(plain[2][1 if attributive or t or o else 0])
+        if t:
+            parts.append((before if attributive or o else plain)[1][t - 1])
+        if o:
+            parts.append((before if attributive else plain)[0][o - 1])
+        said.append(" ".join(parts))
+    return said
+
 
 
 def tables(lang: str) -> str:
