@@ -140,12 +140,12 @@ def reached(edges: DataFrame) -> DataFrame:
         jumps = cut(jumps.join(jumps.select(F.col("place").alias("to"), F.col("to").alias("_far")), "to").select("place", F.col("_far").alias("to")))
 
 
-def batch_starts(following: DataFrame, range_rows: int) -> DataFrame:
+def batch_starts(following: DataFrame, range_rows: int, n: int) -> DataFrame:
     """(range, place) of each batch's first sample, from rows (range, place, to): where the batch would end if one began there.
 
     Only a range is ever followed in one task: a chain's way through it, from where it comes in to where it leaves. The
     places where chains can come in are few, a batch's length for each range, and the one chain that counts is found among
-    them by pointer doubling.
+    them by pointer doubling. `n` is the number of rows; where they are one range, its first place is the only way in.
     """
 
     def leave(t: pa.Table) -> pa.Table:
@@ -171,10 +171,11 @@ def batch_starts(following: DataFrame, range_rows: int) -> DataFrame:
         return places.withColumn("range", F.floor(F.col("place") / range_rows))
 
     zero = following.sparkSession.range(1).select(F.col("id").alias("place"))
-    entries = cut(following.groupBy("range").applyInArrow(leave, "place long").unionByName(zero).distinct())
     by_range = following.groupBy("range")
-    edges = ranged(entries).groupBy("range").cogroup(by_range).applyInArrow(step, "place long, to long")
-    return cut(ranged(reached(edges)).groupBy("range").cogroup(by_range).applyInArrow(walk, "range long, place long"))
+    if n > range_rows:
+        entries = cut(following.groupBy("range").applyInArrow(leave, "place long").unionByName(zero).distinct())
+        zero = reached(ranged(entries).groupBy("range").cogroup(by_range).applyInArrow(step, "place long, to long"))
+    return cut(ranged(zero).groupBy("range").cogroup(by_range).applyInArrow(walk, "range long, place long"))
 
 
 def frame_batches(df: DataFrame, id_: str, frames: str, by: str, budget: float, most: int = 0, drop_last: bool = False, range_rows: int = 1 << 17) -> DataFrame:
@@ -199,9 +200,10 @@ def frame_batches(df: DataFrame, id_: str, frames: str, by: str, budget: float,
     to = F.greatest(F.col("place") + 1, F.least("allowed", F.col("place") + most) if most else F.col("allowed"))
     in_range = F.floor(F.col("place") / range_rows).alias("range")
     following = cut(counted.select(in_range, "place", to.alias("to")))
-    if following.isEmpty():
+    n_rows = following.count()
+    if not n_rows:
         return rows.select(F.col("_by").alias(by), F.lit(0).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("pos"), F.col("_id").alias(id_), "frames")
-    starts = batch_starts(following, range_rows)
+    starts = batch_starts(following, range_rows, n_rows)
     # One row a range: how many batches began before it, and where the last of them did.
     tally = starts.groupBy("range").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
     before, last, opened = {}, 0, 0
