@@ -15,8 +15,8 @@ from lexwind.functions import audio as A
 from lexwind.functions.maths import SAMPLE_RATE
 from lexwind.functions.text import clean_text
 from lexwind.functions.tokens import encode_text, padded, stretch_ids
-from lexwind.lineage import cut
-from lexwind.operators.batching import frame_batches, global_row_number
+from lexwind.lineage import by_shuffle, cut
+from lexwind.operators.batching import frame_batches, global_row_number, spread
 from lexwind.operators.ingest import clip_status, dense_ids_by_appearance, head, join_members, prepared, usable_audio
 from lexwind.sources.archives import member_contents, metadata_rows, tar_index
 from lexwind.sources.corpora import archive_metadata, wav_name
@@ -57,7 +57,7 @@ def clean_clips(
     kept = ["idx", "client_id", "speaker_id", "text", "path", "sentence"]
     named = F.coalesce((F.col("path") != "") & (F.length(trimmed(F.col("sentence"))) >= 2), F.lit(False))
     unnamed = rows.where(~named).withColumns({"speaker_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}).select(*kept)
-    speakers = dense_ids_by_appearance(rows.where(named), "client_id", "idx")
+    speakers = spread(dense_ids_by_appearance(rows.where(named), "client_id", "idx"), "idx")
     texts = cut(clean_text(speakers, "sentence", lang, "text").withColumn("speaker_id", F.col("speaker_id").cast("long")).select(*kept, *by))
     clip = F.contains("name", F.lit("/clips/")) & F.endswith("name", F.lit(".mp3"))
     folder = members.where(clip).groupBy(*by).agg(F.min_by(F.regexp_replace("name", "[^/]*$", ""), "ordinal").alias("_folder"))
@@ -65,11 +65,11 @@ def clean_clips(
     spoken = spoken.join(folder, list(by), "left") if by else spoken.crossJoin(F.broadcast(folder))  # one row
     found = cut(join_members(spoken, members.select(*by, "ordinal", "name"), "path", [F.coalesce("_folder", F.lit("clips/"))], by))
     met = found.where("ordinal is not null")
-    played = contents(met.select("idx", *by, "ordinal")) if contents else met.select("idx", *by, "ordinal").join(members.select(*by, "ordinal", "content"), [*by, "ordinal"])
+    played = contents(met.select("idx", *by, "ordinal")) if contents else met.select("idx", *by, "ordinal").join(by_shuffle(members.select(*by, "ordinal", "content")), [*by, "ordinal"])
     heard = played.select("idx", A.voice(F.col("content"), rate, read, model).alias("samples"))
-    every = found.select(*kept, "member").join(heard, "idx", "left").unionByName(texts.where(F.coalesce(F.length("text") < 2, F.lit(True))).select(*kept).unionByName(unnamed), allowMissingColumns=True)
-    n = F.when(F.col("samples").isNotNull(), F.size("samples"))
-    status = clip_status(F.col("path"), F.col("sentence"), F.col("text"), F.col("member").isNotNull(), n, n / F.lit(float(rate)))
+    heard = heard.withColumn("_n", F.when(F.col("samples").isNotNull(), F.size("samples")))  # counted here: who needs no samples moves none
+    every = found.select(*kept, "member").join(by_shuffle(heard), "idx", "left").unionByName(texts.where(F.coalesce(F.length("text") < 2, F.lit(True))).select(*kept).unionByName(unnamed), allowMissingColumns=True)
+    status = clip_status(F.col("path"), F.col("sentence"), F.col("text"), F.col("member").isNotNull(), F.col("_n"), F.col("_n") / F.lit(float(rate)))
     out = every.withColumn("status", status)
     return out.select("idx", "client_id", "speaker_id", wav_name(F.col("idx"), "cv").alias("audio_path"), "text", F.when(F.col("status") == "ok", F.col("samples")).alias("samples"), "status")
 
