@@ -122,9 +122,9 @@ def training_batches(samples: DataFrame, id_: str, *, budget: float, most: int =
     samples = cut(samples)
     by = split or "_all"
     rows = samples if split else samples.withColumn("_all", F.lit(0))
-    plan = frame_batches(rows, id_, "frames", by, budget, most, drop_last).select(by, "batch_id", "pos", id_)
-    longest = plan.join(rows.select(id_, F.col("frames").alias("_n")), id_).groupBy(by, "batch_id").agg(F.max("_n").alias("_longest"))
-    placed = rows.join(plan, [by, id_]).join(longest, [by, "batch_id"])
+    plan = frame_batches(rows, id_, "frames", by, budget, most, drop_last)
+    longest = plan.groupBy(by, "batch_id").agg(F.max("frames").cast(rows.schema["frames"].dataType).alias("_longest"))
+    placed = rows.join(by_shuffle(plan.join(longest, [by, "batch_id"]).select(by, "batch_id", "pos", id_, "_longest")), [by, id_])
     out = placed.select(
         by, "batch_id", "pos", id_, F.transform("mel", lambda row: padded(row, F.col("_longest"), 0.0).cast("array<float>")).alias("mel"),
         padded(F.col("text_ids"), F.col("_longest"), -1).alias("text_ids"), padded(F.col("mask"), F.col("_longest"), False).alias("mask"), F.col("frames").alias("mel_length"))

@@ -15,3 +15,9 @@ def test_clips_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert "samples" not in "".join(line for line in plan.splitlines() if "Exchange" in line and "idx" in line)
     assert {r["status"] for r in made.select("status").collect()} == {"ok", "failed", "filtered", "unnamed"}
+
+
+def test_training_rows_are_not_broadcast(spark):
+    plan = plan_of(QUERIES["training_table"](spark, SMALL))
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "SortMergeJoin" in joins[0] and "mel" not in "".join(line for line in plan.splitlines() if "BroadcastExchange" in line)
