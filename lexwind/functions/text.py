@@ -86,8 +86,12 @@ def map_punctuation(text: Column) -> Column:
 
 
 def drop_other_characters(text: Column) -> Column:
-    """Only the two alphabets and the marks stay."""
-    return F.regexp_replace(text, f"[^{ranges(KEPT)}]+", "")
+    """Only the two alphabets and the marks stay.
+
+    ASCII letters, most of what goes, go first by a class of two ranges; a character that no range of the long class holds is
+    tested against all of them.
+    """
+    return F.regexp_replace(F.regexp_replace(text, "[A-Za-z]+", ""), f"[^{ranges(KEPT)}]+", "")
 
 
 def single_spaces(text: Column) -> Column:
