@@ -91,6 +91,29 @@ def test_long_chains_are_one_component(spark):
     assert connected_components(edges.where("a < 0")).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 17, 150, 7])
+def test_components_by_brute_force(spark, held):
+    draw = random.Random(5)
+    edges = [(draw.randrange(-300, 300), draw.randrange(-300, 300)) for _ in range(240)] + [(1 << 62, k) for k in range(1000, 1040)] + [(2000, 2000)]
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), held).collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.root for r in found} == {x: y for x, y in label.items() if x != y}
+
+
+def test_small_graphs_take_few_stages(spark):
+    edges = spark.range(2000).selectExpr("id AS a", "id + 1 AS b").repartition(4)
+    spark.sparkContext.setJobGroup("small graph", "")
+    connected_components(edges)
+    spark.sparkContext.setJobGroup("others", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("small graph") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 10
+
+
 ROWS = [(5, None), (4, ""), (9, "  "), (3, "same text here today"), (7, "same text here today"), (7, "same text here today"), (1, "SAME text here today"), (2, "quite another thing entirely"), (None, "same text here today"), (None, "only without id at all"), (None, "only without id at all"), (8, "long " * 50_000)]
 
 
