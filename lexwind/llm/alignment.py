@@ -21,6 +21,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from lexwind.lineage import ensure_checkpoint_dir, forget_later
 from lexwind.llm.common import cut, pick, text_batches
-from lexwind.llm.tokens import encode, load_encoding
+from lexwind.llm.tokens import LONG_RUN, encode, load_encoding
 
 MARK, HELD, LONG_WORD = "▁", 1 << 21, 64
 
@@ -53,24 +54,38 @@ class Pieces:
         normal = spec.normalizer_spec
         self.apart = normal.name == "identity" and normal.add_dummy_prefix and not normal.remove_extra_whitespaces and not any(MARK in p.piece.lstrip(MARK) for p in spec.pieces)
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace(MARK, " ").encode() for p in spec.pieces]
-        self.space, self.most, self.met = self.model.piece_to_id(MARK), most, {}
+        self.space, self.most, self.met, self.odd = self.model.piece_to_id(MARK), most, {}, set()
 
     def encode(self, text: str) -> list[int]:
-        if not self.apart or MARK in text or not text:
-            return self.model.encode(text, num_threads=1)
-        words = self.words(text)
-        met = self.met
-        if new := list({w for w in words if w not in met}):
+        return self.encode_all([text])[0][0].tolist()
+
+    def gives_back(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
+
+    def encode_all(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether their bytes are those of a space and the text. New words of all texts are encoded in one call."""
+        parted = [self.words(t) if self.apart and t and MARK not in t else None for t in texts]
+        met, odd = self.met, self.odd
+        every = set().union(*(words for words in parted if words is not None))
+        if new := list(every.difference(met)):
             if len(met) + len(new) > self.most:
                 met.clear()
-                new = list(set(words))
+                odd.clear()
+                new = list(every)
             # A space alone is no text to the model, which puts the space itself.
             met.update(zip(new, (x if w else [self.space] for w, x in zip(new, self.model.encode(new, num_threads=1), strict=True)), strict=True))
-        ids = [i for w in words for i in met[w]]
+            odd.update(w for w in new if not self.gives_back(met[w], w))
+        out, whole = [], []
+        for text, words in zip(texts, parted, strict=True):
+            ids = self.model.encode(text, num_threads=1) if words is None else list(chain.from_iterable(map(met.__getitem__, words)))
+            out.append(np.array(ids, dtype=np.int64))
+            # If each word's bytes are its own, so are the text's; else the whole text is compared.
+            whole.append(words is not None and odd.isdisjoint(words if odd else ()) or self.gives_back(ids, text))
         for w in new:
             if len(w) > LONG_WORD:
                 del met[w]
-        return ids
+                odd.discard(w)
+        return out, whole
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -95,16 +110,32 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+class Bytes:
+    """A byte-level encoding: ids of texts, bytes of ids. If each byte is a token, the ids' bytes are the text's: the pattern leaves no sign out."""
+
+    def __init__(self, encoding, tokens: list[bytes]):
+        self.encoding, self.tokens, self.complete = encoding, tokens, len({t for t in tokens if len(t) == 1}) == 256
+
+    def encode(self, text: str) -> tuple[np.ndarray, bool]:
+        """Ids of a space and the text, and whether their bytes are theirs."""
+        text = " " + text
+        if len(text) < LONG_RUN:
+            ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+        else:
+            ids = np.array(encode(self.encoding, text, specials=False), dtype=np.uint32)
+        return ids, self.complete or b"".join(map(self.tokens.__getitem__, ids.tolist())) == text.encode()
+
+
 @functools.lru_cache(maxsize=2)
 def tables(first: str, second: str):
-    """Of both vocabularies the bytes of each id, their lengths, and each id with what may follow it in a digest."""
+    """Both tokenizers, the lengths of each id's bytes, and each id with what may follow it in a digest."""
     encoding, pieces = load_encoding(first), load_pieces(second)
     a = [b""] * encoding.n_vocab
     for token, i in encoding._mergeable_ranks.items():
         a[i] = token
     sizes = [np.array([len(x) for x in y], dtype=np.int64) for y in (a, pieces.bytes)]
-    written = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";", b"") for i in range(max(len(a), len(pieces.bytes)))]
-    return encoding, pieces, a, sizes, written
+    written = pa.array([b"%d%s" % (i, sign) for sign in (b",", b"|", b";", b"") for i in range(max(len(a), len(pieces.bytes)))], pa.large_binary())
+    return Bytes(encoding, a), pieces, sizes, written
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
@@ -117,36 +148,57 @@ def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, n.astype(np.int64)
 
 
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of each one's numbers, most of which are 1."""
+    one = n == 1
+    values, counts = counted(key[one])
+    if len(values) and one.all():
+        return values, counts
+    key, n = np.concatenate((values, key[~one])), np.concatenate((counts, n[~one]))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[new], np.add.reduceat(n, new)
+
+
 class Aligned:
     """Documents' tokens side by side: groups by document, and the distinct pairs of each group with their numbers.
 
-    `a` and `b` hold a list of ids for each document; both have the same bytes, and none is empty.
+    `a` and `b` hold the ids of each document; both have the same bytes, and none is empty.
     """
 
-    def __init__(self, a: list[list[int]], b: list[list[int]], sizes: list[np.ndarray], written: list[bytes]):
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], sizes: list[np.ndarray], written: pa.Array):
         self.n = [np.array([len(x) for x in side], dtype=np.int64) for side in (a, b)]
-        self.ids = [np.concatenate([np.array(x, dtype=np.int64) for x in side]) for side in (a, b)]
+        self.ids = [np.concatenate(side).astype(np.int64) for side in (a, b)]
         ends = [np.cumsum(size[i]) for size, i in zip(sizes, self.ids, strict=True)]
-        cuts = np.intersect1d(*ends, assume_unique=True)  # a document's end is one
-        self.group = [np.searchsorted(cuts, e) for e in ends]
-        doc_ends = ends[0][np.cumsum(self.n[0]) - 1]
-        self.doc = np.searchsorted(doc_ends, cuts)
-        self.groups, self.vocabulary, self.written = np.bincount(self.doc, minlength=len(a)), len(sizes[1]), written
+        self.group = []
+        for own, other in (ends, ends[::-1]):
+            ended = np.zeros(int(own[-1]) + 1, dtype=bool)
+            ended[other] = True
+            cut_here = ended[own]
+            self.group.append(np.cumsum(cut_here) - cut_here)
+        self.groups = np.diff(self.group[0][np.cumsum(self.n[0]) - 1] + 1, prepend=0)  # a document's end is a cut
+        self.doc = np.repeat(np.arange(len(a)), self.groups)
+        self.vocabulary, self.written = np.int64(len(sizes[1])), written
+        self.most = self.vocabulary * len(sizes[0])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, pair, links) sorted by document and pair: distinct pairs and how many links each has."""
         shift = np.int64(1 << 24)
-        (x, nx), (y, ny) = (counted(g * shift + i) for g, i in zip(self.group, self.ids, strict=True))
+        sizes = [np.bincount(g, minlength=len(self.doc)) for g in self.group]
+        single = (sizes[0] == 1) & (sizes[1] == 1)  # most groups are a token of either side
+        a, b = (i[single[g]] for g, i in zip(self.group, self.ids, strict=True))
+        keys, numbers = [self.doc[single] * self.most + a * self.vocabulary + b], [np.ones(len(a), dtype=np.int64)]
+        (x, nx), (y, ny) = (counted(g[held] * shift + i[held]) for g, i, held in ((g, i, ~single[g]) for g, i in zip(self.group, self.ids, strict=True)))
         gx, gy = x // shift, y // shift
         per = np.bincount(gy, minlength=len(self.doc))  # distinct second ids of each group
         first = np.cumsum(per) - per
         times = per[gx]
         i, j = np.repeat(np.arange(len(x)), times), np.repeat(first[gx], times) + spread(times)
-        doc, pair, n = self.doc[gx[i]], (x[i] % shift) * self.vocabulary + y[j] % shift, nx[i] * ny[j]
-        order = np.lexsort((pair, doc))
-        doc, pair, n = doc[order], pair[order], n[order]
-        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))))
-        return doc[new], pair[new], np.add.reduceat(n, new)
+        keys.append(self.doc[gx[i]] * self.most + (x[i] % shift) * self.vocabulary + y[j] % shift)
+        numbers.append(nx[i] * ny[j])
+        key, n = summed(np.concatenate(keys), np.concatenate(numbers))
+        return key // self.most, key % self.most, n
 
     def digests(self) -> list[bytes]:
         """Of each document the digest of its groups, written out."""
@@ -158,11 +210,10 @@ class Aligned:
         code = np.empty(len(ia) + len(ib), dtype=np.int64)
         code[np.arange(len(ia)) + (np.cumsum(nb) - nb)[ga]] = ia + half * last_a
         code[np.arange(len(ib)) + np.cumsum(na)[gb]] = ib + half * np.where(last_b, np.where(ends[gb], 3, 2), 0)
-        signs, at, out = list(map(self.written.__getitem__, code.tolist())), 0, []
-        for n in (self.n[0] + self.n[1]).tolist():
-            out.append(hashlib.sha256(b"".join(signs[at : at + n])).digest())
-            at += n
-        return out
+        signs = self.written.take(pa.array(code))
+        at, data = np.frombuffer(signs.buffers()[1], dtype=np.int64), memoryview(signs.buffers()[2])
+        edge = at[np.concatenate(([0], np.cumsum(self.n[0] + self.n[1])))].tolist()
+        return [hashlib.sha256(data[x:y]).digest() for x, y in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def packed(pairs: np.ndarray, links: np.ndarray) -> bytes:
@@ -256,15 +307,14 @@ def align_documents(docs: DataFrame, first: str, second: str, *, id_col: str = "
     vocabulary = len(load_pieces(second).bytes)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, pieces, tokens, sizes, written = tables(first, second)
+        bpe, pieces, sizes, written = tables(first, second)
 
         def made(b: pa.RecordBatch) -> pa.RecordBatch:
             held, a_ids, b_ids = [], [], []
-            for k, text in enumerate(b.column(1)):
-                if not (text := text.as_py()):
-                    continue
-                x, y, whole = encode(encoding, " " + text, specials=False), pieces.encode(text), b" " + text.encode()
-                if b"".join(map(tokens.__getitem__, x)) == whole == b"".join(map(pieces.bytes.__getitem__, y)):
+            texts = {k: text for k, text in enumerate(b.column(1).to_pylist()) if text}
+            for (k, text), y, whole in zip(texts.items(), *pieces.encode_all(list(texts.values())), strict=True):
+                x, whole_x = bpe.encode(text)
+                if whole and whole_x:
                     held.append(k)
                     a_ids.append(x)
                     b_ids.append(y)

@@ -115,6 +115,38 @@ def test_words_of_pieces():
         assert pieces.encode(t) == pieces.encode(t) == model.encode(t, num_threads=1)
 
 
+def test_new_words_of_many_texts_take_one_call():
+    pieces, texts, calls = Pieces(B), [t for t in TEXTS if t], []
+    model = pieces.model
+
+    class Counted:
+        def encode(self, *args, **more):
+            calls.append(args)
+            return model.encode(*args, **more)
+
+    pieces.model = Counted()
+    ids, whole = pieces.encode_all(texts)
+    assert [x.tolist() for x in ids] == [model.encode(t, num_threads=1) for t in texts]
+    assert whole == [pieces.gives_back(x.tolist(), t) for x, t in zip(ids, texts, strict=True)] and {*whole} == {True, False}
+    assert len(calls) == 1 + sum("▁" in t for t in texts)
+
+
+def test_words_whose_bytes_are_not_theirs():
+    pieces = Pieces(B)
+    pieces.bytes[pieces.model.encode("word", num_threads=1)[0]] = b" WORD"
+    for _ in range(2):
+        assert pieces.encode_all(["a word b", "a b", "word", "a  b"])[1] == [False, True, False, True]
+
+
+def test_sums_of_keys():
+    draw = np.random.default_rng(3)
+    for most in (1, 2, 9):
+        key, n = draw.integers(0, 50, 400), draw.integers(1, most + 1, 400)
+        got = alignment.summed(key, n)
+        assert [x.tolist() for x in got] == [np.unique(key).tolist(), np.bincount(key, n)[np.unique(key)].tolist()]
+    assert alignment.summed(np.array([5, 2]), np.array([3, 4]))[1].tolist() == [4, 3]
+
+
 def token_bytes():
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
